@@ -239,29 +239,27 @@ class Codec:
         return self.concatenated([(part, self.encode(part)) for part in (text[i : i + leaf_chars] for i in range(0, len(text), leaf_chars))])
 
 
-ENCODED = "doc_id long, ids binary"
+def _digests(codec: Codec, ids: np.ndarray) -> tuple[int, str, str]:
+    text = codec.decode(ids).encode("utf-8", "replace")
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, more: str = "") -> DataFrame:
-    """doc_id and `ids` (little-endian unsigned 32-bit integers) of every document.
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    Texts of one leaf are encoded where they lie. Leaves of longer texts are dealt over all tasks, encoded there, and
-    meet again by document and text digest, where the tree is put together; what meets is the text of one row.
-    """
-    return _encoded(docs, path, leaf_chars, "doc_id long, ids binary", lambda codec, doc_id, ids: (doc_id, ids.astype("<u4").tobytes()))
+
+def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """The columns of DIGESTS and `ids` (little-endian unsigned 32-bit integers) of every document."""
+    return _encoded(docs, path, leaf_chars, f"{DIGESTS}, ids binary", lambda codec, doc_id, ids: (doc_id, *_digests(codec, ids), ids.astype("<u4").tobytes()))
 
 
 def digest_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; ids are decoded again in the same pass."""
-
-    def digests(codec: Codec, doc_id: int | None, ids: np.ndarray) -> tuple:
-        text = codec.decode(ids).encode("utf-8", "replace")
-        return doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
-
-    return _encoded(docs, path, leaf_chars, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    return _encoded(docs, path, leaf_chars, DIGESTS, lambda codec, doc_id, ids: (doc_id, *_digests(codec, ids)))
 
 
 def _encoded(docs: DataFrame, path: str, leaf_chars: int, schema: str, result) -> DataFrame:
+    """Texts of one leaf are encoded where they lie. Leaves of longer texts are dealt over all tasks, encoded there, and
+    meet again by document and text digest, where the tree is put together; what meets is the text of one row."""
     names = [part.split()[0] for part in schema.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -283,7 +281,7 @@ def _encoded(docs: DataFrame, path: str, leaf_chars: int, schema: str, result) -
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     def whole(key: tuple, leaves: pd.DataFrame) -> pd.DataFrame:
-        codec, found = Codec.of(path), []
+        codec = Codec.of(path)
         leaves = leaves.sort_values("no", kind="stable")
         copies = int((leaves["no"] == 0).sum())  # repeated rows share a key and have equal leaves
         parts = [(t, np.frombuffer(i, np.uint32)) for t, i in zip(leaves["leaf"][::copies], leaves["ids"][::copies], strict=True)]

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -125,33 +126,49 @@ def mixtures(likelihoods: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -
     return share, total
 
 
+SCHEMA = "lang_pred string, score double, languages array<string>, proportions array<double>"
+
+
+def _judged(texts: list[str | None], languages: list[str], log_p: np.ndarray) -> list[pa.Array]:
+    """The columns of SCHEMA for these texts."""
+    pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    sets: list[list[str]] = [[] for _ in texts]
+    shares: list[list[float]] = [[] for _ in texts]
+    found = [word_likelihoods(t or "", log_p) if languages else np.zeros((0, 1)) for t in texts]
+    full = [i for i, x in enumerate(found) if len(x)]
+    if full:
+        likelihoods = np.concatenate([found[i] for i in full])
+        sizes = np.array([len(found[i]) for i in full])
+        best_share, chosen = best_sets(likelihoods, np.cumsum(sizes) - sizes, sizes)
+        for row, i in enumerate(full):
+            own = sorted(np.flatnonzero(chosen[row]), key=lambda k: (-best_share[row, k], k))
+            pred[i], score[i] = languages[own[0]], min(1.0, float(best_share[row, own[0]]))
+            sets[i], shares[i] = [languages[k] for k in own], [float(best_share[row, k]) for k in own]
+    return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (its proportion), and the language set with its proportions."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    schema = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, log_p = sent.value
         for batch, texts in slices(batches, most_chars=1_000_000):
-            pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            sets: list[list[str]] = [[] for _ in texts]
-            shares: list[list[float]] = [[] for _ in texts]
-            found = [word_likelihoods(t or "", log_p) if languages else np.zeros((0, 1)) for t in texts]
-            full = [i for i, x in enumerate(found) if len(x)]
-            if full:
-                likelihoods = np.concatenate([found[i] for i in full])
-                sizes = np.array([len(found[i]) for i in full])
-                best_share, chosen = best_sets(likelihoods, np.cumsum(sizes) - sizes, sizes)
-                for row, i in enumerate(full):
-                    own = sorted(np.flatnonzero(chosen[row]), key=lambda k: (-best_share[row, k], k))
-                    pred[i], score[i] = languages[own[0]], min(1.0, float(best_share[row, own[0]]))
-                    sets[i], shares[i] = [languages[k] for k in own], [float(best_share[row, k]) for k in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "languages", "proportions"],
-            )
+            names = ["doc_id", "lang_pred", "score", "languages", "proportions"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_judged(texts, *sent.value)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, f"doc_id long, {SCHEMA}")
+
+
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """The table itself with _lang_pred and _score; no join brings them together."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, most_chars=1_000_000):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_judged(texts, *sent.value)[:2]], names=[*batch.schema.names, "_lang_pred", "_score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, schema)
+    return docs.mapInArrow(judged, schema)
 
 
 def best_sets(likelihoods: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, sharding, token_counts
+from . import bpe, decontam, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -23,10 +23,60 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op1_hilbert(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+#: For queries and tests; a deployment passes its own.
+PII_KEY = b"evidentia-test-key"
+ORDER_KEY = 20_240_229
+
+
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select(F.col("doc_id").cast("long"), "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = materialise.sequences(table(spark, sf_dir, "documents"), tokenizer_path())
+    ordered = materialise.by_slot(materialise.in_training_order(made, ORDER_KEY))
+    return ordered.select("doc_id", "seq_no", "n_tokens", "index", "slot", "shard", "offset", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
+), ks AS (SELECT DISTINCT k FROM b
+), ig AS (
+  SELECT item_id, n, k, gram, count(*) AS c FROM (
+    SELECT item_id, n, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM b)) GROUP BY ALL
+), dg AS (
+  SELECT doc_id, len_w, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
+  FROM (SELECT doc_id, w, len(w) AS len_w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)
+), hit AS (
+  SELECT doc_id, len_w, item_id, n, dg.k, i, gram, c FROM dg JOIN ig USING (k, gram)
+), win AS (
+  SELECT DISTINCT doc_id, item_id, n, k, unnest(range(greatest(1, i - (n - k)), least(i, len_w - n + 1) + 1)) AS s FROM hit
+), o AS (
+  SELECT doc_id, item_id, s, n, k, sum(least(x, c)) AS o FROM (
+    SELECT win.doc_id, win.item_id, win.s, win.n, win.k, gram, any_value(c) AS c, count(*) AS x
+    FROM win JOIN hit ON win.doc_id = hit.doc_id AND win.item_id = hit.item_id AND i BETWEEN s AND s + win.n - win.k GROUP BY ALL) GROUP BY ALL
+), m AS (
+  SELECT doc_id, item_id, max(o / (2.0 * (n - k + 1) - o)) AS similarity FROM o WHERE 180 * o >= 160 * (n - k + 1) GROUP BY ALL
+), p AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, max(similarity) AS similarity FROM m GROUP BY doc_id)
+SELECT d.doc_id, p.items IS NOT NULL AS contaminated, coalesce(len(p.items), 0)::BIGINT AS n_items, coalesce(p.items, []::BIGINT[]) AS items,
+       coalesce(p.similarity, 0.0)::DOUBLE AS similarity
+FROM d LEFT JOIN p USING (doc_id)
+"""
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
@@ -51,6 +101,11 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -106,11 +161,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_feistel_pii": op2_feistel_pii,
     "op3_bpe_tree": op3_bpe_tree,
+    "op4_training_order": op4_training_order,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_prefix_token_counts": op6_prefix_token_counts,
     "op7_rule_ledger": op7_rule_ledger,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_language_mixture": op9_language_mixture,
     "op10_minmax_neardup": op10_minmax_neardup,
 }
 
-ORACLES: dict[str, str] = {"op7_rule_ledger": OP7_SQL, "op10_minmax_neardup": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_simhash_decontamination": OP5_SQL, "op7_rule_ledger": OP7_SQL, "op10_minmax_neardup": OP10_SQL}
