@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity
+from . import activity, reports
 
-_MODULES = (activity,)
+_MODULES = (activity, reports)
 
 
 def queries() -> dict:
