@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, reports
+from . import activity, reports, texts
 
-_MODULES = (activity, reports)
+_MODULES = (activity, reports, texts)
 
 
 def queries() -> dict:
