@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, reports, texts
+from . import activity, incremental, reports, texts
 
-_MODULES = (activity, reports, texts)
+_MODULES = (activity, reports, texts, incremental)
 
 
 def queries() -> dict:
