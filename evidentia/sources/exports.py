@@ -46,7 +46,7 @@ def app_server(rows: DataFrame, key: bytes) -> DataFrame:
     usage = F.col("_p.tokenUsage.total")
     tokens = {"input": usage["inputTokens"], "cached": usage["cachedInputTokens"], "output": usage["outputTokens"], "reasoning": usage["reasoningOutputTokens"]}
     sound = F.coalesce(F.ltrim("line").startswith("{"), F.lit(False))
-    issue = F.when(~sound | F.col("_w").isNull(), "malformed_json").when(kind.isNull(), "unknown_method").when(session.isNull(), "missing_session").when(
+    issue = F.when(~sound | F.coalesce("_w.message", "_w.method").isNull(), "malformed_json").when(kind.isNull(), "unknown_method").when(session.isNull(), "missing_session").when(
         F.coalesce(tokens["cached"] > tokens["input"], F.lit(False)), "invalid_tokens")
     return r.select(
         *rows.columns, issue.alias("issue"), F.when(issue.isNull(), kind).alias("kind"), F.when(issue.isNull(), pseudonym("session", session, key)).alias("session_key"),
