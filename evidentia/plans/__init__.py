@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, incremental, reports, texts
+from . import activity, incremental, models, reports, texts
 
-_MODULES = (activity, reports, texts, incremental)
+_MODULES = (activity, reports, models, texts, incremental)
 
 
 def queries() -> dict:
