@@ -1,7 +1,8 @@
 """A corpus from documents to token ids, in five stages over the columns of `documents`.
 
 Each stage takes the whole of what its predecessor kept. All but the last return the columns of documents; a stage
-reads only the columns it names and passes the others on.
+reads only the columns it names and passes the others on. What goes grows with the documents, so it meets them in a
+join that deals both by doc_id, whatever the size.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
     ship_package(spark)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     gone = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
