@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, incremental, models, reports, texts
+from . import activity, incremental, models, reports, resolutions, texts
 
-_MODULES = (activity, reports, models, texts, incremental)
+_MODULES = (activity, reports, resolutions, models, texts, incremental)
 
 
 def queries() -> dict:
