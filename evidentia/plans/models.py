@@ -92,11 +92,11 @@ def catalog_upsert(spark, sf_dir):
 
 @query("""WITH t AS (SELECT c_nationkey, o_orderkey, o_orderdate, round(o_totalprice * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS r
   FROM orders JOIN customer ON c_custkey = o_custkey)
-SELECT c_nationkey, count(*) AS tasks, sum(cents)::BIGINT AS amount, list(o_orderkey ORDER BY r) FILTER (r <= 10) AS recent, max(o_orderkey) FILTER (r = 1) AS latest FROM t GROUP BY c_nationkey""")
+SELECT c_nationkey, count(*) AS tasks, sum(cents)::BIGINT AS amount, array_to_string(list(o_orderkey ORDER BY r) FILTER (r <= 10), ',') AS recent, max(o_orderkey) FILTER (r = 1) AS latest FROM t GROUP BY c_nationkey""")
 def project_overview(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     rows = orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return evidence.overview(rows, ["c_nationkey"], "o_orderdate", "o_orderkey", "cents")
+    return evidence.overview(rows, ["c_nationkey"], "o_orderdate", "o_orderkey", "cents").withColumn("recent", F.array_join(F.col("recent").cast("array<string>"), ","))
 
 
 @query("""SELECT o_orderstatus AS state, count(*) AS n, count(DISTINCT o_custkey) AS owners, count(*) FILTER (o_orderkey > 7500) AS grown FROM orders GROUP BY o_orderstatus""")

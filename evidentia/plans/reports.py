@@ -139,11 +139,11 @@ def pairwise_compare(spark, sf_dir):
 @query("""WITH o AS (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
 j AS (SELECT c_nationkey, v FROM customer LEFT JOIN o ON o_custkey = c_custkey)
 SELECT c_nationkey, CASE WHEN count(*) = count(v) THEN sum(v) END::BIGINT AS value, coalesce(sum(v), 0)::BIGINT AS lower_bound,
-  CASE WHEN count(*) = count(v) THEN 'derived' ELSE 'estimated' END AS provenance, CASE WHEN count(*) = count(v) THEN []::VARCHAR[] ELSE ['aggregate_component_unavailable'] END AS caveats FROM j GROUP BY c_nationkey""")
+  CASE WHEN count(*) = count(v) THEN 'derived' ELSE 'estimated' END AS provenance, CASE WHEN count(*) = count(v) THEN '' ELSE 'aggregate_component_unavailable' END AS caveats FROM j GROUP BY c_nationkey""")
 def null_guarded_sum(spark, sf_dir):
     totals = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(_cents("o_totalprice")).alias("v"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(totals, "c_custkey", "left")
-    return facts.sum_facts(rows, ["c_nationkey"], "v")
+    return facts.sum_facts(rows, ["c_nationkey"], "v").withColumn("caveats", F.array_join("caveats", ","))
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey),

@@ -43,14 +43,14 @@ def cause_resolution(spark, sf_dir):
 
 
 @query("""SELECT event_type, CASE event_type WHEN 'click' THEN 'web' WHEN 'view' THEN 'mcp' WHEN 'purchase' THEN 'file_write' WHEN 'signup' THEN 'apply_patch' ELSE 'unknown' END AS family,
-  CASE WHEN event_type = 'signup' THEN ['a/b.py', 'c.md'] ELSE []::VARCHAR[] END AS files, CASE WHEN event_type IN ('click', 'view') THEN event_type || ' one' END AS label, count(*) AS n FROM events GROUP BY event_type""")
+  CASE WHEN event_type = 'signup' THEN 'a/b.py,c.md' ELSE '' END AS files, CASE WHEN event_type IN ('click', 'view') THEN event_type || ' one' END AS label, count(*) AS n FROM events GROUP BY event_type""")
 def tool_names(spark, sf_dir):
     kind = F.col("event_type")
     name = F.when(kind == "click", "web.run").when(kind == "view", "mcp__x__y").when(kind == "purchase", "write_file").when(kind == "signup", "apply_patch").otherwise("rm")
     patch = F.when(kind == "signup", "*** Begin\n*** Update File: a/b.py\n+x\n*** Add File: c.md\n*** Delete File: a/b.py\n").otherwise("")
     given = F.when(kind == "click", F.lit("click  one")).when(kind == "view", F.lit("view one ")).when(kind == "purchase", F.lit("token: x")).when(kind == "signup", F.lit("a/b")).otherwise(F.lit("x\u0000"))
     rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("event_type", resolution.tool_family(name).alias("family"), resolution.patched_files(patch).alias("files"), resolution.label(given).alias("label"), "n")
+    return rows.select("event_type", resolution.tool_family(name).alias("family"), F.array_join(resolution.patched_files(patch), ",").alias("files"), resolution.label(given).alias("label"), "n")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey > 14000")
