@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 
@@ -39,14 +38,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df; for tables that a finished step no longer needs."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Arrow batches cut so that a slice holds about most_chars characters of text (one row at least)."""
     for batch in batches:
@@ -59,7 +50,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_chars: in
                 start, chars = i + 1, 0
         if start < len(texts):
             yield batch.slice(start), texts[start:]
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    return df.select([F.col(f"`{c}`") for c in df.columns if c not in names])

@@ -44,7 +44,8 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 OP5_SQL = r"""
@@ -71,7 +72,7 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, item_id, max(o / (2.0 * (n - k + 1) - o)) AS similarity FROM o WHERE 180 * o >= 160 * (n - k + 1) GROUP BY ALL
 ), p AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, max(similarity) AS similarity FROM m GROUP BY doc_id)
-SELECT d.doc_id, p.items IS NOT NULL AS contaminated, coalesce(len(p.items), 0)::BIGINT AS n_items, coalesce(p.items, []::BIGINT[]) AS items,
+SELECT d.doc_id, p.items IS NOT NULL AS contaminated, coalesce(len(p.items), 0)::BIGINT AS n_items, coalesce(array_to_string(p.items, ','), '') AS items,
        coalesce(p.similarity, 0.0)::DOUBLE AS similarity
 FROM d LEFT JOIN p USING (doc_id)
 """
