@@ -36,11 +36,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text.cast("string")), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingles(w: Column, k: int) -> Column:
-    """Hashes of the k words from each place on."""
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)]))).otherwise(
-        F.array().cast("array<long>")
-    )
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value bound to a variable, so that it is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shingles(hw: Column, k: int) -> Column:
+    """Hashes of the k words from each place on; null where there are fewer."""
+    return _once(hw, lambda v: F.when(F.size(v) >= k, F.transform(F.sequence(F.lit(0), F.size(v) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(v, i + j) for j in range(k)]))))
 
 
 class _Lanes:
@@ -67,7 +74,7 @@ class _Lanes:
             over = [F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + lift, self.width - 1).bitwiseAND(ones), j) for j in lanes]
             return reduce(lambda a, b: a.bitwiseOR(b), over)
 
-        return F.transform(F.array(sums), finish)[0]
+        return F.coalesce(_once(sums, finish), F.lit(0).cast("long"))
 
     def blocks(self, fingerprint: Column, n_blocks: int) -> list[Column]:
         """The fingerprint's bits in n_blocks runs."""
@@ -77,9 +84,13 @@ class _Lanes:
 
 def bag_overlap(a: Column, b: Column) -> Column:
     """Shared weight of two bags."""
-    return F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
-    )
+
+    def shared(own: Column) -> Column:
+        return F.aggregate(
+            F.array_intersect(own, b), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(own, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
+        )
+
+    return _once(a, shared)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -88,8 +99,8 @@ def _few(df: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, first_word (place of the window among the document's words), n_words, similarity."""
-    known = items.select(F.col("item_id").cast("long"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    known = stored(known.withColumn("n", F.size("w")).withColumn("k", F.least(F.col("n"), F.lit(SHINGLE))), "items")
+    known = items.select(F.col("item_id").cast("long"), word_hashes(F.col("text")).alias("hw")).where(F.size("hw") > 0)
+    known = stored(known.withColumn("n", F.size("hw")).withColumn("k", F.least(F.col("n"), F.lit(SHINGLE))), "items")
     shapes = known.agg(F.max("n").alias("longest"), F.collect_set("k").alias("ks")).first()  # a number, and SHINGLE at most
     if shapes["longest"] is None:
         return docs.select(F.col("doc_id").cast("long")).limit(0).selectExpr("doc_id", "0L AS item_id", "0L AS first_word", "0 AS n_words", "0D AS similarity")
@@ -99,29 +110,28 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFram
 
 def _matches(docs: DataFrame, items: DataFrame, k: int, longest: int, radius: int) -> DataFrame:
     lanes = _Lanes(longest)
-    hashed = items.withColumn("bag", _shingles(F.col("w"), k)).withColumn("m", F.size("bag"))
+    hashed = items.withColumn("bag", _shingles(F.col("hw"), k)).withColumn("m", F.size("bag"))
     few = F.col("m") - F.ceil(F.col("m") * (2 * NUM) / F.lit(float(NUM + DEN)) - F.lit(1e-9)) + 1
     anchors = hashed.select("n", F.explode(F.slice(F.array_sort("bag"), F.lit(1), few.cast("int"))).alias("h")).distinct()
     anchors = _few(anchors)
 
     step = max(STRETCH, 8 * longest)
-    texts = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w")).where(F.size("w") >= k)
-    stretches = texts.select("doc_id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)),
-        lambda at: F.struct(at.alias("at"), F.slice(F.col("w"), at + 1, F.lit(step + longest - 1)).alias("w")),
-    )).alias("part")).select("doc_id", "part.at", "part.w")
-    placed = stretches.withColumn("sh", _shingles(F.col("w"), k)).withColumn("here", F.col("sh"))
-    hits = placed.select("doc_id", "at", "w", "sh", F.posexplode("here").alias("pos", "h")).join(anchors, "h")
+    texts = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("hw"))
+    # outer, and without conditions on what is computed here: those would be computed a second time for the condition
+    stretches = texts.select("doc_id", F.explode_outer(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("hw") - 1, F.lit(0)), F.lit(step)),
+        lambda at: F.struct(at.alias("at"), F.slice(F.col("hw"), at + 1, F.lit(step + longest - 1)).alias("hw")),
+    )).alias("part")).select("doc_id", "part.at", "part.hw")
+    placed = stretches.withColumn("sh", _shingles(F.col("hw"), k)).withColumn("here", F.col("sh"))
+    hits = placed.select("doc_id", "at", "hw", "sh", F.posexplode_outer("here").alias("pos", "h")).join(anchors, "h")
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("n") - k))
-    near = hits.select(
-        "doc_id", "n", (F.col("at") + first).alias("at"),
-        F.transform(F.slice("w", first + 1, 2 * F.col("n") - k), lambda x: F.xxhash64(x)).alias("hw"),
-        F.slice("sh", first + 1, 2 * (F.col("n") - k) + 1).alias("sh"),
-    ).where(F.size("hw") >= F.col("n"))
+    near = hits.where(F.size("hw") - first >= F.col("n")).select(
+        "doc_id", "n", (F.col("at") + first).alias("at"), F.slice("hw", first + 1, 2 * F.col("n") - k).alias("hw"), F.slice("sh", first + 1, 2 * (F.col("n") - k) + 1).alias("sh")
+    )
 
     windows = near.select("doc_id", "n", "at", "hw", "sh", F.explode(F.sequence(F.lit(0), F.size("hw") - F.col("n"))).alias("s"))
     windows = windows.withColumn("fp", lanes.fingerprint(F.slice("hw", F.col("s") + 1, F.col("n")), F.col("n"))).drop("hw")
-    marks = hashed.withColumn("fp", lanes.fingerprint(F.transform("w", lambda x: F.xxhash64(x)), F.col("n"))).select("item_id", "n", "fp", "bag")
+    marks = hashed.withColumn("fp", lanes.fingerprint(F.col("hw"), F.col("n"))).select("item_id", "n", "fp", "bag")
 
     n_blocks = radius + 1
     listed = lambda c: F.array(*lanes.blocks(c, n_blocks))
