@@ -20,10 +20,10 @@ SENSITIVE = (
     r"(?<!\w)/(?:Users|home|private|var|etc|tmp|opt|Volumes)(?:/\S*)?",
     r"(?<![\w-])[A-Za-z0-9+/=_-]{20,}(?![\w-])",
 )
-# The segments that a task family may consist of.
+# The segments that a task family may consist of; names of products are passed to family() as more.
 FAMILY_SEGMENTS = (
     "accounting", "analysis", "annotation", "answer", "architecture", "audit", "auth", "block", "browser", "cleanup", "cli", "closeout",
-    "codex", "core", "docs", "essay", "feature", "fix", "foundation", "hardening", "hooks", "integration", "legacy", "lesson", "local",
+    "core", "docs", "essay", "feature", "fix", "foundation", "hardening", "hooks", "integration", "legacy", "lesson", "local",
     "migration", "monitoring", "multi", "multiple", "quiz", "refactor", "release", "report", "review", "runtime", "service", "services",
     "telemetry", "test", "tests", "tooling", "ui", "unclassified", "workflow",
 )
@@ -44,10 +44,10 @@ def redacted(note: Column) -> Column:
     return F.when((clean == "") | reduce(lambda a, b: a | b, matches_sensitive(clean)), "[redacted]").otherwise(clean)
 
 
-def family(value: Column) -> Column:
+def family(value: Column, more: tuple[str, ...] = ()) -> Column:
     """The value if it is a short code of public segments, else null."""
     shape = value.rlike(r"\A[a-z][a-z0-9]*(?:[._-][a-z0-9]+){0,7}\z") & (F.char_length(value) <= 80)
-    known = F.forall(F.split(value, "[._-]"), lambda s: s.isin(*FAMILY_SEGMENTS))
+    known = F.forall(F.split(value, "[._-]"), lambda s: s.isin(*FAMILY_SEGMENTS, *more))
     return F.when(shape & known, value)
 
 

@@ -68,7 +68,7 @@ def test_app_server(spark):
 
 
 def test_otel(spark):
-    record = lambda attrs, name="codex.sse_event": {"timeUnixNano": "1704067200000000001", "body": {"stringValue": name}, "attributes": [{"key": k, "value": v} for k, v in attrs]}
+    record = lambda attrs, name="sse_event": {"timeUnixNano": "1704067200000000001", "body": {"stringValue": name}, "attributes": [{"key": k, "value": v} for k, v in attrs]}
     given = [
         record([("conversation.id", {"stringValue": "s"}), ("input_tokens", {"intValue": "5"}), ("output_tokens", {"intValue": "2"})]),
         record([("conversation.id", {"stringValue": "s"}), ("conversation.id", {"stringValue": "s"})]), record([("conversation.id", {"stringValue": "s", "intValue": "1"})]), record([("x", {"boolValue": True})]),
