@@ -27,6 +27,7 @@ from .common import slices, stored
 ORDER = 4
 BITS = 15  # per character; code points beyond are hashed into it
 MOST_SENT = 2_000_000
+MOST_LANGUAGES = 10_000
 QUANTILE, SLACK = 0.99, 1.25
 DOCS_PER_BLOCK = 2000
 
@@ -80,12 +81,18 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", *ds)
 
 
-def model(counts: DataFrame) -> list[dict[str, DataFrame]]:
+def _per_language(df: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per language, sent to all tasks where there are MOST_LANGUAGES at most: dealing rows by
+    language would give one task the largest."""
+    return F.broadcast(df) if few else df
+
+
+def model(counts: DataFrame, few: bool = True) -> list[dict[str, DataFrame]]:
     """Per order from ORDER to 1: `share` (lang, g, discounted share) and `context` (lang, h, back-off weight)."""
     tables = []
     for order in range(ORDER, 0, -1):
         c = F.col("c")
-        discounted = counts.join(_discounts(counts), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("h", F.shiftrightunsigned("g", BITS))
+        discounted = counts.join(_per_language(_discounts(counts), few), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("h", F.shiftrightunsigned("g", BITS))
         context = discounted.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("taken"))
         share = discounted.join(context, ["lang", "h"]).select("lang", "g", (F.greatest(c - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"))
         tables.append({"share": share, "context": context.select("lang", "h", (F.col("taken") / F.col("total")).alias("weight"))})
@@ -94,11 +101,11 @@ def model(counts: DataFrame) -> list[dict[str, DataFrame]]:
     return tables
 
 
-def log_probabilities(asked: DataFrame, tables: list[dict[str, DataFrame]]) -> DataFrame:
+def log_probabilities(asked: DataFrame, tables: list[dict[str, DataFrame]], few: bool = True) -> DataFrame:
     """lang, g, log_p for the ORDER-grams asked for, of languages that have a model: p = share + weight * p of the
     shorter gram, down to equal chances for all characters."""
     known = tables[-1]["share"].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
-    rows = asked.join(known, "lang").withColumns({"p": F.lit(0.0), "w": F.lit(1.0)})
+    rows = asked.join(_per_language(known, few), "lang").withColumns({"p": F.lit(0.0), "w": F.lit(1.0)})
     for order, t in zip(range(ORDER, 0, -1), tables, strict=True):
         key = F.col("g").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
         rows = rows.withColumns({"_g": key, "_h": F.shiftrightunsigned(key, BITS)})
@@ -185,12 +192,14 @@ def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_scored, perplexity, threshold, kept. trusted_ids: doc_id of the texts to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), named(F.col("lang")).alias("lang"), F.col("text").cast("string"))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).distinct()
-    counts = stored(gram_counts(rows.join(ids, "doc_id", "left_semi")), "trusted-grams")
+    # both sides are dealt by doc_id at every size: the ids grow with the documents
+    counts = stored(gram_counts(rows.join(ids.hint("merge"), "doc_id", "left_semi")), "trusted-grams")
+    few = counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
     asked = gram_counts(rows).select("lang", "g")
-    log_p = stored(log_probabilities(asked, model(counts)), "log-probabilities")
+    log_p = stored(log_probabilities(asked, model(counts, few), few), "log-probabilities")
     scored = stored(perplexities(rows, log_p), "perplexities")
     trusted = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
     limits = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold"))
-    return scored.join(limits, "lang", "left").select(
+    return scored.join(_per_language(limits, few), "lang", "left").select(
         "doc_id", "lang", "n_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept")
     )
