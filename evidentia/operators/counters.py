@@ -59,6 +59,17 @@ def component_maxima(df: DataFrame, keys: list[str], components: list[str], epoc
     return df.groupBy(*keys, epoch).agg(*[F.max(c).alias(c) for c in components])
 
 
+def epoch_vectors(df: DataFrame, keys: list[str], at: str, order: list[str], components: list[str], epoch: str = "epoch") -> DataFrame:
+    """Per key and epoch the last known value of each component, rows without an instant after all others; `ambiguous`
+    where there is such a row. `least_*`: the value, or 0, and for an ambiguous epoch the greatest value seen."""
+    place = F.struct(F.col(at).isNull(), F.coalesce(F.col(at), F.lit(0).cast("long")), *order)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in components]
+    top = [F.max(c).alias(f"_top_{c}") for c in components]
+    found = df.groupBy(*keys, epoch).agg(*last, *top, F.bool_or(F.col(at).isNull()).alias("ambiguous"))
+    least = [F.coalesce(F.when(F.col("ambiguous"), F.col(f"_top_{c}")).otherwise(F.col(c)), F.lit(0).cast("long")).alias(f"least_{c}") for c in components]
+    return found.select(*keys, epoch, *components, *least, "ambiguous")
+
+
 def whole_sum(c: Column) -> Column:
     """The sum, or null if any value is."""
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))

@@ -34,18 +34,27 @@ def compare(long_form: DataFrame, keys: list[str], metric: str, side: str, value
         "verdict": F.when(F.col("baseline").isNull() | F.col("current").isNull(), "unknown").when(F.col("baseline") == 0, "partial").otherwise("comparable")})
 
 
-def trend(df: DataFrame, keys: list[str], at: str, value: str, n: int = 4) -> DataFrame:
-    """Adds twice the median of the n latest strictly earlier values (null with fewer), and `warning`: above it.
+def earlier(df: DataFrame, keys: list[str], at: str, ref: str, values: list[str], n: int) -> DataFrame:
+    """Adds `_last`: the values of the n latest rows (by at, then ref) that are strictly earlier.
 
-    A range frame ends before the row's own instant, so equal instants don't see each other.
+    Each instant keeps its n last rows, and n instants before hold enough of them: no row ever carries its whole history.
     """
-    earlier = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    listed = F.array_sort(F.collect_list(F.struct(at, value)).over(earlier))
-    last = F.array_sort(F.transform(F.slice(listed, F.greatest(F.lit(1), F.size(listed) - n + 1), F.lit(n)), lambda x: x[value]))
-    found = df.withColumn("_last", last)
+    ties = Window.partitionBy(*keys, at).orderBy(F.col(ref).desc())
+    kept = df.select(*keys, at, F.struct(ref, *[v for v in values if v != ref]).alias("_v"), F.row_number().over(ties).alias("_back")).where(F.col("_back") <= n)
+    instants = kept.groupBy(*keys, at).agg(F.array_sort(F.collect_list("_v")).alias("_own"))
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(-n, -1)
+    listed = F.flatten(F.collect_list("_own").over(before))
+    last = F.slice(listed, F.greatest(F.lit(1), F.size(listed) - n + 1), F.lit(n))
+    return df.join(instants.select(*keys, at, last.alias("_last")), [*keys, at])
+
+
+def trend(df: DataFrame, keys: list[str], at: str, value: str, n: int = 4) -> DataFrame:
+    """Adds twice the median of the n latest strictly earlier values (null with fewer), and `warning`: above it."""
+    last = F.array_sort(F.transform("_last", lambda x: x[value]))
     low, high = (n - 1) // 2, n // 2
-    twice = F.when(F.size("_last") == n, F.get("_last", F.lit(low)) + F.get("_last", F.lit(high)))
-    return found.withColumn("twice_median", twice).withColumn("warning", F.coalesce(2 * F.col(value) > F.col("twice_median"), F.lit(False))).drop("_last")
+    twice = F.when(F.size("_last") == n, F.get(last, F.lit(low)) + F.get(last, F.lit(high)))
+    found = earlier(df, keys, at, value, [value], n).withColumn("twice_median", twice)
+    return found.select(*df.columns, "twice_median", F.coalesce(2 * F.col(value) > F.col("twice_median"), F.lit(False)).alias("warning"))
 
 
 def thresholds(facts: DataFrame, gates: dict[str, Column]) -> DataFrame:

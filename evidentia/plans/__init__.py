@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, incremental, models, reports, resolutions, texts
+from . import activity, audits, incremental, models, reports, resolutions, texts
 
-_MODULES = (activity, reports, resolutions, models, texts, incremental)
+_MODULES = (activity, reports, resolutions, models, audits, texts, incremental)
 
 
 def queries() -> dict:

@@ -97,13 +97,13 @@ def lifecycle_boundary(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT l_orderkey, date_trunc('month', l_shipdate) AS m, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS fam, l_linenumber, l_quantity::BIGINT AS d FROM lineitem),
-i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, m, fam ORDER BY l_linenumber) AS i FROM e)
+i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, m, fam ORDER BY l_linenumber, d) AS i FROM e)
 SELECT l_orderkey, epoch_us(m) AS m, max(fam)::BIGINT AS fam, CASE WHEN min(d) = max(d) THEN min(d) END AS d, count(*) AS told FROM i GROUP BY l_orderkey, m, i""")
 def lifecycle_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.unix_micros(F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))).alias("m"), F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "N", 2).otherwise(1).cast("long").alias("fam"),
         "l_linenumber", F.col("l_quantity").cast("long").alias("d"))
-    return arbitration.zip_families(rows, ["l_orderkey"], "m", "fam", ["l_linenumber"], "d")
+    return arbitration.zip_families(rows, ["l_orderkey"], "m", "fam", ["l_linenumber", "d"], "d")
 
 
 _MONTHLY = """WITH r AS (SELECT c_nationkey AS nation, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS month, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS revenue
