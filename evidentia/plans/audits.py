@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import render
 from ..functions import shapes
-from ..operators import audit, counters, origins
+from ..operators import audit, counters, origins, pilots
 from .adapters import OBS, observations, table
 from .texts import KEY, _hmac_sql
 
@@ -158,3 +158,16 @@ def task_report_tree(spark, sf_dir):
         "ref", F.col("ref").alias("task"), "family", F.struct("working", "reads").alias("tokens"),
         F.struct(F.col("retries").alias("value"), F.when(F.col("reads") > 0, "derived").otherwise("estimated").alias("provenance")).alias("retries"))
     return audit.public(made).select("ref", render.as_json("task", "family", "tokens", "retries").alias("report"))
+
+
+@query("""WITH q AS (SELECT c_nationkey AS project, o_orderkey AS request, o_orderkey % 3 AS target, o_orderstatus AS family FROM orders JOIN customer ON c_custkey = o_custkey),
+p AS (SELECT n_nationkey AS project, 1 AS target, 'F' AS family FROM nation WHERE n_nationkey % 2 = 0), f AS (SELECT project, min_by((target, family), request) AS b, min(request) AS request FROM q WHERE target >= 1 GROUP BY project)
+SELECT q.project, q.request, CASE WHEN q.target < 1 THEN 'invalid' WHEN p.project IS NULL AND q.request = f.request THEN 'started'
+  WHEN (p.project IS NOT NULL AND q.target = p.target AND q.family = p.family) OR (p.project IS NULL AND (q.target, q.family) = f.b) THEN 'resumed' ELSE 'refused' END AS outcome
+FROM q LEFT JOIN p ON p.project = q.project LEFT JOIN f ON f.project = q.project""")
+def pilot_start(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project"))
+    asked = table(spark, sf_dir, "orders").join(customers, "o_custkey").select("project", F.col("o_orderkey").alias("request"), (F.col("o_orderkey") % 3).alias("target"), F.col("o_orderstatus").alias("family"))
+    runs = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("project"), F.lit(1).cast("long").alias("target"), F.lit("F").alias("family"), F.when(F.col("n_nationkey") % 2 == 0, "open").otherwise("closed").alias("state"))
+    return pilots.started(runs, asked, "request").select("project", "request", "outcome")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import shapes
-from evidentia.operators import audit, counters, facts, origins
+from evidentia.operators import audit, counters, facts, origins, pilots
 
 
 def rows(df, *columns):
@@ -68,3 +68,12 @@ def test_stale_stats_and_disagreements(spark):
     left = spark.createDataFrame([("a", None, 1), ("b", "x", 2)], "k string, s string, n long")
     right = spark.createDataFrame([("a", None, 2), ("b", "y", None)], "k string, s string, n long")
     assert rows(audit.disagreements(left, right, "k", ["s"], ["n"]), "k", "field") == [("a", "n"), ("b", "s")]
+
+
+def test_pilots_open_once_and_need_every_gate(spark):
+    runs = spark.createDataFrame([("a", 5, "docs", "open"), ("b", 5, "docs", "closed")], "project string, target int, family string, state string")
+    asked = spark.createDataFrame([(1, "a", 5, "docs"), (2, "a", 6, "docs"), (3, "b", 7, "test"), (4, "b", 7, "test"), (5, "b", 5, "docs"), (6, "c", 0, "docs"), (7, None, 5, "docs")], "at long, project string, target int, family string")
+    assert [x[1] for x in rows(pilots.started(runs, asked, "at"), "at", "outcome")] == ["resumed", "refused", "started", "resumed", "refused", "invalid", "invalid"]
+    fields = "id int, target int, completed long, enrolled long, failures long, finish_missing long, conflicts long, issues long, coverage double, least_coverage double, p95_ms long"
+    cohorts = spark.createDataFrame([(1, 3, 5, 5, 0, 0, 0, 0, 0.85, 0.6, 2000), (2, 3, 4, 4, 0, 0, 0, 0, 0.9, 0.9, 10), (3, 3, 5, 5, 0, 0, 0, 0, 0.9, 0.9, None)], fields)
+    assert rows(pilots.decided(cohorts), "id", "enough_tasks", "fast", "passed") == [(1, True, True, True), (2, False, True, False), (3, True, False, False)]
