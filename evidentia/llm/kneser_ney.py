@@ -3,11 +3,14 @@
 Counts of ORDER-grams come from all trusted texts of a language; lower orders count distinct predecessors. Discounts,
 context totals and back-off weights are grouped sums, and the probability of each gram that occurs anywhere in the
 documents follows from joins of these tables, order by order, sharded by language and gram. A document's perplexity is
-the mean over its characters; it is kept up to SLACK times a high quantile of its language's trusted documents.
+the mean over its characters; it is kept up to a high quantile of its language's perplexities, taken over the trusted
+documents that held_out names under a model trained on the others. The model that judges is trained on all of them.
 
 The table of probabilities is sent to the tasks if it has MOST_SENT rows at most. Beyond that, documents are dealt into
 blocks, each block asks only for the grams it has, and meets the answers in a cogroup.
 
+A language without a held-out document takes the quantile over its trusted documents under the model of all.
+
 Defined cases: a null or empty text, and a language without trusted text (null counts as one language), have no
 perplexity and are kept; repeated doc_ids are judged row by row; an empty table gives no rows; only the named columns
 are read.
@@ -28,7 +31,7 @@ ORDER = 4
 BITS = 15  # per character; code points beyond are hashed into it
 MOST_SENT = 2_000_000
 MOST_LANGUAGES = 10_000
-QUANTILE, SLACK = 0.99, 1.25
+QUANTILE = 0.99
 DOCS_PER_BLOCK = 2000
 
 
@@ -48,14 +51,18 @@ def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, g, c over all texts: each task sums what it has seen before anything moves."""
+    """lang, g, c over all texts, and o without the rows marked `held`: each task sums what it has seen before anything
+    moves."""
+
+    def batch_of(lang: str, held: bool, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return _batch([pa.array([lang] * len(g), pa.string()), pa.array([held] * len(g), pa.bool_()), pa.array(g), pa.array(c)], ["lang", "held", "g", "c"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, dict] = {}
+        totals: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch, texts in slices(batches, most_chars=2_000_000):
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-                by_lang.setdefault(lang, []).append(grams(text))
+            by_lang: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for lang, held, text in zip(batch.column("lang").to_pylist(), batch.column("held").to_pylist(), texts, strict=True):
+                by_lang.setdefault((lang, held), []).append(grams(text))
             for lang, own in by_lang.items():
                 g, c = np.unique(np.concatenate(own), return_counts=True)
                 if lang in totals:
@@ -65,12 +72,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     totals[lang] = g, c.astype(np.int64)
                 if len(totals[lang][0]) > 2_000_000:  # a task holds so many at most, then sends them on
                     g, c = totals.pop(lang)
-                    yield _batch([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "g", "c"])
+                    yield batch_of(*lang, g, c)
         for lang, (g, c) in totals.items():
-            yield _batch([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "g", "c"])
+            yield batch_of(*lang, g, c)
 
-    rows = docs.where("text IS NOT NULL AND text <> ''").select("lang", "text")
-    return rows.mapInArrow(counted, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    held = F.col("held") if "held" in docs.columns else F.lit(False)
+    rows = docs.where("text IS NOT NULL AND text <> ''").select("lang", held.alias("held"), "text")
+    found = rows.mapInArrow(counted, "lang string, held boolean, g long, c long").groupBy("lang", "g")
+    return found.agg(F.sum("c").alias("c"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("c"))).alias("o"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -188,18 +197,34 @@ def named(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit(""))
 
 
+def held_out(doc_id: Column) -> Column:
+    """A tenth of the trusted documents: the threshold comes from these, under a model that hasn't seen them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 7, F.lit(False))
+
+
+def scored_by(rows: DataFrame, counts: DataFrame, few: bool, what: str) -> DataFrame:
+    """The perplexity of each of the rows under the model of these counts."""
+    log_p = stored(log_probabilities(gram_counts(rows).select("lang", "g"), model(counts, few), few), f"log-probabilities-{what}")
+    return stored(perplexities(rows, log_p), f"perplexities-{what}")
+
+
 def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_scored, perplexity, threshold, kept. trusted_ids: doc_id of the texts to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), named(F.col("lang")).alias("lang"), F.col("text").cast("string"))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).distinct()
     # both sides are dealt by doc_id at every size: the ids grow with the documents
-    counts = stored(gram_counts(rows.join(ids.hint("merge"), "doc_id", "left_semi")), "trusted-grams")
+    trusted = rows.join(ids.hint("merge"), "doc_id", "left_semi").withColumn("held", held_out(F.col("doc_id")))
+    counts = stored(gram_counts(trusted), "trusted-grams")
     few = counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
-    asked = gram_counts(rows).select("lang", "g")
-    log_p = stored(log_probabilities(asked, model(counts, few), few), "log-probabilities")
-    scored = stored(perplexities(rows, log_p), "perplexities")
-    trusted = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    limits = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold"))
+    scored = scored_by(rows, counts.select("lang", "g", "c"), few, "all")
+    others = counts.where("o > 0").select("lang", "g", F.col("o").alias("c"))
+    unseen = scored_by(trusted.where("held").select("doc_id", "lang", "text"), others, few, "held-out")
+
+    def quantile(of: DataFrame, name: str) -> DataFrame:
+        return of.where("perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias(name))
+
+    seen = quantile(scored.join(ids, "doc_id", "left_semi"), "_seen")
+    limits = seen.join(quantile(unseen, "_unseen"), "lang", "left").select("lang", F.coalesce("_unseen", "_seen").alias("threshold"))
     return scored.join(_per_language(limits, few), "lang", "left").select(
         "doc_id", "lang", "n_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept")
     )

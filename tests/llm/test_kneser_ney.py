@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -60,6 +61,20 @@ def test_against_formulas(spark, monkeypatch, most_sent):
     assert all(by[i]["perplexity"] is None and by[i]["kept"] for i in (20, 21, 22, 23))
 
 
+def test_threshold_is_the_quantile_of_held_out_texts(spark):
+    words = "the cat sat on a mat and dog met log with two more of them".split()
+    texts = {i: " ".join(words[(i * k + k * k) % len(words)] for k in range(3, 15)) for i in range(60)}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 10 == 7]
+    asked = {100: "the the the the", 101: "cat sat mat dog", 102: "tac tas eht no tam", 103: "them of more two", 104: "mat mat on on on sat"}
+    rows = [(i, t, "en") for i, t in {**texts, **asked}.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).cache()
+    trusted = docs.where("doc_id < 100").select("doc_id")
+    others = {r["doc_id"]: r["perplexity"] for r in kn.judge(docs, trusted.where(~trusted.doc_id.isin(held))).collect()}
+    found = kn.judge(docs, trusted).collect()
+    limit = max(others[i] for i in held)
+    assert all(r["threshold"] == pytest.approx(limit, rel=1e-9) and r["kept"] == (r["perplexity"] <= r["threshold"]) for r in found)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert kn.judge(docs, docs.select("doc_id")).count() == 0
