@@ -51,6 +51,16 @@ _NUMBERS = re.compile(
     re.X,
 )
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+#: Characters of an IBAN by country, without spaces.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def feistel(value: int, size: int, key: bytes, rounds: int = ROUNDS, invert: bool = False) -> int:
@@ -172,6 +182,22 @@ def pseudonym(kind: str, found: str, key: bytes, invert: bool = False) -> str |
 _known = lru_cache(1 << 16)(pseudonym)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Valid IBANs. Capitals and digits that follow may look like further groups: an IBAN ends at its country's length,
+    or else where the match does, or else, for a country without a known length, at the last border where it is valid."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, longest = m.span()
+        borders = [e for e in range(longest, start, -1) if e == longest or text[e] == " "]
+        size = _IBAN_SIZES.get(text[start : start + 2])
+        if size:
+            borders = [e for e in borders if len(text[start:e].replace(" ", "")) == size] + [longest]
+        end = next((e for e in borders if pseudonym("iban", text[start:e], b"k") is not None), None)
+        if end is not None:
+            yield start, end, "iban"
+        at = start + 1 if end is None else end
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates, in order and without overlaps; what an earlier kind holds stays with it."""
     spans: list[tuple[int, int, str]] = []
@@ -179,7 +205,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
     if not _DIGIT.search(text):
         return spans
-    spans += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if pseudonym("iban", m[0], b"k") is not None]
+    spans += _ibans(text)
     spans += [(m.start(), m.end(), m.lastgroup) for m in _NUMBERS.finditer(text)]
     kept, last = [], 0
     for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):

@@ -41,6 +41,18 @@ def test_formats():
             assert value not in text
 
 
+def test_ibans_before_capitals_and_numbers():
+    es, at, be = "ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034"
+    for iban, after in ((es, " AND"), (es, " 12"), (es, " IBAN 12"), (at, " IBAN"), (be, " IS"), (be, " AB12 CD"), ("BE68539007547034", " " + es)):
+        text, spans = pii.pseudonymised(f"to {iban}{after}", KEY)
+        assert text.startswith(f"to {pii.pseudonym('iban', iban, KEY)} ") and iban not in text and es not in text, text
+        assert spans[0] == ("iban", 3, 3 + len(iban))
+    text, spans = pii.pseudonymised(f"NR12 ABCD {be}", KEY)
+    assert text == f"NR12 ABCD {pii.pseudonym('iban', be, KEY)}" and len(spans) == 1
+    other = next(f"ZZ{c:02d}539007547034" for c in range(2, 99) if pii.pseudonym("iban", f"ZZ{c:02d}539007547034", KEY))
+    assert other not in pii.pseudonymised(f"{other} IS", KEY)[0]
+
+
 def test_invalid_is_left():
     for text in ("9807915762804490", "300.1.1.1", "31.02.2020", "2023-02-29", "000-12-3456", "GB82 WEST 1234 5698 7654 33", "v1.2.3.4.5", "call 12", "a@b"):
         assert pii.pseudonymised(text, KEY) == (text, [])
