@@ -11,12 +11,13 @@ share a band are candidates, in two steps that never list all pairs of a bucket:
    a shingle so early in both orders that enough of each is left to reach the similarity. Documents of one component
    need no comparison, and the largest component at a shingle is only ever compared with what is outside it.
 
-Equal sets are joined to one class first. Links are confirmed on full sets of 64-bit shingle hashes.
+Equal sets are joined to one class first, which is the node: its smallest doc_id, and a number where one doc_id is the
+smallest of several classes (rows with different texts). Each node has its set once, however often its row occurs. Links are confirmed on full sets of 64-bit shingle hashes.
 
 Two texts with similarity of exactly 0.8 share a band with probability 1 - (1 - 0.8^4)^32, that is 1 - 5e-8; above that more.
 
 Defined cases: a text without words (or null) has an empty set, is linked with nothing and is its own component; rows
-with one doc_id are one node, and all stay or go together; a row without doc_id joins no group (component_id null, kept);
+with one doc_id are linked, whatever their texts, and all stay or go together; a row without doc_id joins no group (component_id null, kept);
 an empty table gives no rows; only doc_id and text are read.
 """
 
@@ -80,6 +81,10 @@ def bands(own: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     return keys
 
 
+def _digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's digest (k1, k2) and its band keys (empty for an empty set)."""
 
@@ -88,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sizes, first, second, keys = [], [], [], []
             for text in texts:
                 own = shingles(text)
-                digest = np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                digest = _digest(own)
                 sizes.append(len(own))
                 first.append(digest[0])
                 second.append(digest[1])
@@ -105,15 +110,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole set as `sh`."""
+    """doc_id, the set's digest (k1, k2) and the whole set as `sh`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             own = [shingles(t).view(np.int64) for t in texts]
             ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["doc_id", "sh"])
+            digests = np.array([_digest(o) for o in own])
+            listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), listed], names=["doc_id", "k1", "k2", "sh"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, sh array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, k1 long, k2 long, sh array<long>")
 
 
 def needed_overlap(a: Column, b: Column) -> Column:
@@ -172,14 +179,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row per document."""
     signed = stored(signatures(docs), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
-    firsts = named.join(classes, ["k1", "k2"]).where("doc_id = cid")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("k1", "k2")).alias("number")
+    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")).select("k1", "k2", F.struct("id", number).alias("cid")), "classes")
+    firsts = named.join(classes, ["k1", "k2"]).where("doc_id = cid.id")
     banded = stored(firsts.select("cid", F.explode("bands").alias("band")).distinct(), "bands")
     buckets = banded.groupBy("band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first <> last")
     members = stored(banded.join(buckets.select("band", "first"), "band"), "buckets")
 
-    wanted = members.select(F.col("cid").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
+    wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("cid.id").alias("doc_id"), "k1", "k2", "cid")
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    once = shingle_sets(texts).join(wanted, ["doc_id", "k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.first("cid").alias("cid"), F.first("sh").alias("sh"))
+    sets = stored(once.select(F.col("cid").alias("doc_id"), "sh"), "sets")
     stars = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
     edges = confirmed(stars, sets).checkpoint()
     labels = components(edges)
@@ -188,10 +198,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_buckets = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     open_docs = stored(labelled.join(open_buckets, "band", "left_semi").select(F.col("cid").alias("doc_id"), "comp").distinct(), "open")
     more = confirmed(rare_first_pairs(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), open_docs), sets)
-    labels = components(edges.union(more))
-
     member = named.join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct()
-    whole = member.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "cid")).alias("comp"))
+    several = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("doc_id", "a")
+    same = member.join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+    labels = components(edges.union(more).union(same))
+
+    whole = member.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "cid")).getField("id").alias("comp"))
     rows = signed.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -44,6 +44,27 @@ def test_against_brute_force(spark):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_repeated_rows_keep_their_links(spark):
+    base = [f"w{i}" for i in range(103)]  # 100 shingles
+    near = base[:95] + [f"b{i}" for i in range(8)]  # shares 92
+    rows = [(100, " ".join(base)), (101, " ".join(near))]
+    for i in range(1, 25):  # the smallest of each bucket: close to both (88 shared), linked with neither
+        rows.append((i, " ".join([*base[: 3 * i], f"z{i}", *base[3 * i + 1 : 95], *(f"y{i}.{k}" for k in range(8))])))
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(4)
+    found = neardup.near_duplicates(docs).collect()
+    want = brute(rows)
+    assert want[101] == (100, 100) and want[100] == (100, 100)
+    assert len(found) == 2 * len(rows)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in found)
+
+
+def test_two_texts_under_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, one + " end"), (8, two + " end"), (9, two), (3, " ".join(f"c{i}" for i in range(60)))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 5, False)]
+
+
 def test_signature_estimates():
     a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64))
     assert (neardup.bands(a) == neardup.bands(a.copy())).all()
