@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import resolution
@@ -28,6 +29,18 @@ def counter_conflict(spark, sf_dir):
     return resolution.counter_conflict(rows, ["user_id"], "event_type", "event_id", ["amount", "k"])
 
 
+@query(f"""WITH {OBS}, o AS (SELECT user_id, event_type, event_id, CASE WHEN user_id % 2 = 0 THEN amount ELSE sum(abs(amount)) OVER u END::BIGINT AS amount,
+  CASE WHEN user_id % 2 = 0 THEN k ELSE sum(abs(k)) OVER u END::BIGINT AS k FROM obs WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT *, coalesce(amount < lag(amount) OVER w, false) OR coalesce(k < lag(k) OVER w, false) AS fell FROM o WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
+SELECT user_id, coalesce(bool_or(fell) OR max_by(k, (amount, k)) < max(k), false) AS conflict FROM f GROUP BY user_id""")
+def counter_conflict_whole(spark, sf_dir):
+    """All observations: users with an even number as they are, the others with running sums, which never fall."""
+    so_far = Window.partitionBy("user_id").orderBy("event_id")
+    as_is = F.col("user_id") % 2 == 0
+    rows = observations(spark, sf_dir).withColumns({c: F.when(as_is, F.col(c)).otherwise(F.sum(F.abs(c)).over(so_far)) for c in ("amount", "k")})
+    return resolution.counter_conflict(rows, ["user_id"], "event_type", "event_id", ["amount", "k"])
+
+
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_returnflag AS flag, l_quantity::BIGINT AS q, l_partkey, l_suppkey FROM lineitem)
 SELECT key, min_by(flag, (l_partkey, l_suppkey, q, flag)) AS flag, min_by(q, (l_partkey, l_suppkey, q, flag)) AS q, count(*) AS told, count(DISTINCT (flag, q)) > 1 AS conflict FROM c GROUP BY key""")
 def delta_dedup(spark, sf_dir):
