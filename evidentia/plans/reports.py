@@ -59,6 +59,18 @@ def lineage_claims(spark, sf_dir):
     return arbitration.resolve_parents(claims, "l_partkey", "l_suppkey", "kind")
 
 
+@query("""WITH c AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_quantity >= 47 THEN 'confirmed' WHEN l_quantity <= 1 THEN 'ambiguous' ELSE 'inferred' END AS kind FROM lineitem),
+g AS (SELECT l_partkey, count(DISTINCT CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS nc, min(CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS c,
+  count(DISTINCT CASE WHEN kind = 'inferred' THEN l_suppkey END) AS ni, min(CASE WHEN kind = 'inferred' THEN l_suppkey END) AS i, bool_or(kind = 'ambiguous') AS a FROM c GROUP BY l_partkey),
+s AS (SELECT *, CASE WHEN a OR nc > 1 THEN 'ambiguous' WHEN nc = 1 THEN 'confirmed' WHEN ni = 1 THEN 'inferred' ELSE 'ambiguous' END AS confidence_kind FROM g)
+SELECT l_partkey, CASE confidence_kind WHEN 'confirmed' THEN c WHEN 'inferred' THEN i END AS parent, confidence_kind,
+  (CASE confidence_kind WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.6 ELSE 0.0 END)::DOUBLE AS confidence FROM s""")
+def lineage_claims_whole(spark, sf_dir):
+    """Every lineitem row is a claim."""
+    kind = F.when(F.col("l_quantity") >= 47, "confirmed").when(F.col("l_quantity") <= 1, "ambiguous").otherwise("inferred").alias("kind")
+    return arbitration.resolve_parents(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", kind), "l_partkey", "l_suppkey", "kind")
+
+
 _FOREST = """WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 AND p_size % 3 <> 0 THEN p_partkey // 2 END AS parent FROM part),
 r AS (SELECT node, node AS root FROM n WHERE parent IS NULL UNION ALL SELECT n.node, r.root FROM n JOIN r ON n.parent = r.node)"""
 

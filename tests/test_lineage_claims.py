@@ -1,0 +1,12 @@
+"""lineage_claims_whole over all rows, against its SQL."""
+
+from evidentia import plans
+from tests.test_queries import DATA, con, plain, pytestmark  # noqa: F401
+
+
+def test_whole_table(spark, con):  # noqa: F811
+    got = {r[0]: r for r in plans.queries()["lineage_claims_whole"](spark, DATA).collect()}
+    rows = con.sql(plans.oracles()["lineage_claims_whole"]).fetchall()
+    assert {k: plain(tuple(r)) for k, r in got.items()} == {r[0]: plain(r) for r in rows}
+    assert set(got) == {k for (k,) in con.sql("SELECT DISTINCT l_partkey FROM lineitem").fetchall()}
+    assert len({r["confidence_kind"] for r in got.values()}) > 1
