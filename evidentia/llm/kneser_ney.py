@@ -1,230 +1,232 @@
-"""Quality by language-model perplexity: interpolated modified Kneser-Ney over characters.
+"""Quality by language-model perplexity: interpolated modified Kneser-Ney over words and punctuation marks.
 
-Counts of ORDER-grams come from all trusted texts of a language; lower orders count distinct predecessors. Discounts,
-context totals and back-off weights are grouped sums, and the probability of each gram that occurs anywhere in the
-documents follows from joins of these tables, order by order, sharded by language and gram. A document's perplexity is
-the mean over its characters; it is kept up to a high quantile of its language's perplexities, taken over the trusted
-documents that held_out names under a model trained on the others. The model that judges is trained on all of them.
+Trusted texts are dealt into two folds. The model of a language and fold counts the trigrams of that fold's trusted
+texts; lower orders count distinct predecessors. Every document is scored by the model of its language from the *other*
+fold, so no text is judged by a model that has seen it. A document is kept up to a high quantile of the perplexities
+that trusted documents of its language reach, which are held out in the same way.
 
-The table of probabilities is sent to the tasks if it has MOST_SENT rows at most. Beyond that, documents are dealt into
-blocks, each block asks only for the grams it has, and meets the answers in a cogroup.
+An interpolated model can be written as a sum. With b(h) the back-off weight of a context,
 
-A language without a held-out document takes the quantile over its trusted documents under the model of all.
+    log p(w | u v) = d3(u v w) + log b(u v) + d2(v w) + log b(v) + log p1(w)
 
-Defined cases: a null or empty text, and a language without trusted text (null counts as one language), have no
-perplexity and are kept; repeated doc_ids are judged row by row; an empty table gives no rows; only the named columns
-are read.
+where d3 is log p(w | u v) less what backing off would give, and d2 likewise; an unseen gram or context adds nothing,
+an unseen word the chance of any. So the count tables, joined with each other, become one table of addends by gram;
+a document's grams of all three orders, counted in the document, meet that table in one join dealt by gram, and the
+sum per document is its log-likelihood. Nothing passes through the driver but the number of rows behind some keys.
+
+No key is hot: training counts are summed before they move, documents count their own grams first, and at most
+1 / HOT_SHARE grams that hold more than that share of the counts are split over SALTS tasks (their table rows are copied).
+
+Grams are told apart by 64-bit hashes. A text starts with two marks and ends with one; the end is predicted as well.
+
+Defined cases: a null or empty text, and a language without trusted text in the other fold (null counts as one
+language), have no perplexity and are kept; so is a document of a language of which no trusted document has a
+perplexity; equal rows get equal results; rows with one doc_id are judged one by one; an empty table gives no rows; long
+texts are taken in steps that end between words; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-ORDER = 4
-BITS = 15  # per character; code points beyond are hashed into it
-MOST_SENT = 2_000_000
-MOST_LANGUAGES = 10_000
+TOKEN = re.compile(r"\w+|[^\w\s]")
+_BREAK = re.compile(r"\s")
+STEP = 1_000_000  # characters of a text taken at once
+BEGIN, END = np.uint64(1), np.uint64(2)
+FOLDS = 2
 QUANTILE = 0.99
-DOCS_PER_BLOCK = 2000
+HOT_SHARE = 0.001
+SALTS = 32
+MOST_MODELS = 10_000
+EVERY = 0  # the key under which a document's predictions are counted
+
+_P1, _P2, _P4, _P5, _P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def grams(text: str) -> np.ndarray:
-    """The ORDER-gram that ends at each character, packed; zeros stand before the start."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(codes < 1 << BITS, codes, (codes * 2654435761 >> 7) & ((1 << BITS) - 1))
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int64), codes])
-    packed = np.zeros(len(codes), np.int64)
-    for k in range(ORDER):
-        packed = packed << BITS | padded[k : k + len(codes)]
-    return packed
+def gram_key(*words: np.ndarray) -> np.ndarray:
+    """The same 64-bit xxHash of the words as the SQL function xxhash64 gives over long columns."""
+    key: np.ndarray | np.uint64 = np.uint64(42)
+    for w in words:
+        h = (key + _P5 + np.uint64(8)) ^ (_turned(w * _P2, 31) * _P1)
+        h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        key = h ^ (h >> np.uint64(32))
+    return key
 
 
-def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def pieces(text: str) -> Iterator[str]:
+    """The text in steps of STEP characters and what follows up to the next white space."""
+    at = 0
+    while at < len(text):
+        m = _BREAK.search(text, at + STEP)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, g, c over all texts, and o without the rows marked `held`: each task sums what it has seen before anything
-    moves."""
+def trigrams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """w1, w2, w3 as hashes, for every token of the text and its end, in steps."""
+    before, last = np.array([BEGIN, BEGIN]), np.array([END])
+    parts = list(pieces(text))
+    for i, part in enumerate(parts):
+        words = TOKEN.findall(part)
+        codes = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+        own = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        line = np.concatenate([before, own, last[i + 1 < len(parts) :]])
+        if len(line) > 2:
+            yield line[:-2], line[1:-1], line[2:]
+        before = line[-2:]
 
-    def batch_of(lang: str, held: bool, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return _batch([pa.array([lang] * len(g), pa.string()), pa.array([held] * len(g), pa.bool_()), pa.array(g), pa.array(c)], ["lang", "held", "g", "c"])
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """m, w1, w2, w3, c over the rows of docs (m, text): a task sums what a slice of its rows holds before it moves."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
-        for batch, texts in slices(batches, most_chars=2_000_000):
-            by_lang: dict[tuple[str, bool], list[np.ndarray]] = {}
-            for lang, held, text in zip(batch.column("lang").to_pylist(), batch.column("held").to_pylist(), texts, strict=True):
-                by_lang.setdefault((lang, held), []).append(grams(text))
-            for lang, own in by_lang.items():
-                g, c = np.unique(np.concatenate(own), return_counts=True)
-                if lang in totals:
-                    both, at = np.unique(np.concatenate([totals[lang][0], g]), return_inverse=True)
-                    totals[lang] = both, np.bincount(at, np.concatenate([totals[lang][1], c])).astype(np.int64)
-                else:
-                    totals[lang] = g, c.astype(np.int64)
-                if len(totals[lang][0]) > 2_000_000:  # a task holds so many at most, then sends them on
-                    g, c = totals.pop(lang)
-                    yield batch_of(*lang, g, c)
-        for lang, (g, c) in totals.items():
-            yield batch_of(*lang, g, c)
-
-    held = F.col("held") if "held" in docs.columns else F.lit(False)
-    rows = docs.where("text IS NOT NULL AND text <> ''").select("lang", held.alias("held"), "text")
-    found = rows.mapInArrow(counted, "lang string, held boolean, g long, c long").groupBy("lang", "g")
-    return found.agg(F.sum("c").alias("c"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("c"))).alias("o"))
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 from the counts of counts."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2, 3, 4)])
+        for batch, texts in slices(batches, most_chars=4_000_000):
+            by_model: dict[int, list] = {}
+            for m, text in zip(batch.column("m").to_pylist(), texts, strict=True):
+                by_model.setdefault(m, []).extend(trigrams(text))
+            for m, own in by_model.items():
+                w1, w2, w3 = (np.concatenate(x) for x in zip(*own, strict=True))
+                _, at, c = np.unique(gram_key(w1, w2, w3), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m)), _long(w1[at]), _long(w2[at]), _long(w3[at]), pa.array(c)], names=["m", "w1", "w2", "w3", "c"])
+
+    rows = docs.where("text <> ''").select("m", "text")
+    return rows.mapInArrow(counted, "m long, w1 long, w2 long, w3 long, c long").groupBy("m", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+
+
+def gram_entries(docs: DataFrame) -> DataFrame:
+    """row, m, key, n: how often a document has each gram of one, two and three words, the contexts at its start, and
+    under EVERY the number of its words and its end."""
+    begin = np.array([BEGIN])
+    start = np.concatenate([gram_key(begin), gram_key(begin, begin)])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, most_chars=500_000):
+            found = []
+            for row, m, text in zip(batch.column("row").to_pylist(), batch.column("m").to_pylist(), texts, strict=True):
+                total = 0
+                for w1, w2, w3 in trigrams(text):
+                    key, n = np.unique(np.concatenate([gram_key(w3), gram_key(w2, w3), gram_key(w1, w2, w3)]), return_counts=True)
+                    found.append((row, m, key, n))
+                    total += len(w3)
+                found.append((row, m, np.append(start, np.uint64(EVERY)), np.array([1, 1, total])))
+            if found:
+                sizes = [len(x[2]) for x in found]
+                whole = [np.repeat(np.array([x[i] for x in found]), sizes) for i in (0, 1)]
+                arrays = [*map(pa.array, whole), _long(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "m", "key", "n"])
+
+    return docs.where("text <> ''").select("row", "m", "text").mapInArrow(listed, "row long, m long, key long, n long")
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key. Keys of the table with at least HOT_SHARE of all weight are
+    split over SALTS tasks: at most 1 / HOT_SHARE of them, so the list of these is sent to all."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) >= F.lit(max(1.0, HOT_SHARE * total))
+    hot = table.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("_salt", F.explode(salts)).drop(weight), [*keys, "_salt"]).drop("_salt")
+
+
+def _per_model(df: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per model, sent to all tasks where there are MOST_MODELS at most."""
+    return F.broadcast(df) if few else df
+
+
+def _discounted(grams: DataFrame, few: bool) -> DataFrame:
+    """Adds d, the discount of each row's count c, from the counts of counts of its model."""
+    n = grams.groupBy("m").agg(*[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2, 3, 4)])
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     ds = [F.coalesce(F.greatest(F.lit(0.0), j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}"))), F.lit(j / 2)).alias(f"d{j}") for j in (1, 2, 3)]
-    return n.select("lang", *ds)
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return grams.join(_per_model(n.select("m", *ds), few), "m").withColumn("d", d).drop("d1", "d2", "d3")
 
 
-def _per_language(df: DataFrame, few: bool) -> DataFrame:
-    """A table of one row per language, sent to all tasks where there are MOST_LANGUAGES at most: dealing rows by
-    language would give one task the largest."""
-    return F.broadcast(df) if few else df
+def _contexts(grams: DataFrame, *words: str) -> DataFrame:
+    """Per context: the total of its counts, the back-off weight b, and its number of grams."""
+    found = grams.groupBy("m", *words).agg(F.sum("c").alias("total"), F.sum("d").alias("taken"), F.count(F.lit(1)).alias("n_grams"))
+    return found.select("m", *words, "total", (F.col("taken") / F.col("total")).alias("b"), "n_grams")
+
+
+def addends(three: DataFrame) -> DataFrame:
+    """From m, w1, w2, w3, c (stored): m, key, value, and as weight the count behind the gram."""
+    few = three.select("m").distinct().limit(MOST_MODELS + 1).count() <= MOST_MODELS
+    share = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+    two = stored(three.groupBy("m", "w2", "w3").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("seen")), "bigrams")
+    one = stored(two.groupBy("m", "w3").agg(F.count(F.lit(1)).alias("c"), F.sum("seen").alias("seen")), "words")
+
+    taken = _discounted(one, few)
+    base = taken.groupBy("m").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c") / (F.count(F.lit(1)) + 1)).alias("unseen"), F.sum("seen").alias("seen"))
+    p1 = taken.join(_per_model(base.drop("seen"), few), "m").select("m", "w3", (share + F.col("unseen")).alias("p"), "unseen", "seen")
+    at_two, at_three = _contexts(_discounted(two, few), "w2"), _contexts(_discounted(three, few), "w1", "w2")
+
+    back = F.col("b") * F.col("p")
+    met = joined(joined(_discounted(two, few), at_two, ["m", "w2"], "n_grams"), p1.drop("unseen"), ["m", "w3"], "seen")
+    p2 = stored(met.select("m", "w2", "w3", (share + back).alias("p"), F.log1p(share / back).alias("value"), "seen"), "bigram-chances")
+    met = joined(joined(_discounted(three, few), at_three, ["m", "w1", "w2"], "n_grams"), p2.drop("value"), ["m", "w2", "w3"], "seen")
+
+    def part(df: DataFrame, value: Column, weight: str, *words: str) -> DataFrame:
+        return df.select("m", (F.xxhash64(*words) if words else F.lit(EVERY).cast("long")).alias("key"), value.alias("value"), F.col(weight).alias("weight"))
+
+    parts = [
+        part(base, F.log("unseen"), "seen"),
+        part(p1, F.log(F.col("p") / F.col("unseen")), "seen", "w3"),
+        part(at_two, F.log("b"), "total", "w2"),
+        part(p2, F.col("value"), "seen", "w2", "w3"),
+        part(at_three, F.log("b"), "total", "w1", "w2"),
+        part(met, F.log1p(share / back), "c", "w1", "w2", "w3"),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("m", "key").agg(F.sum("value").alias("value"), F.max("weight").alias("weight"))
+
+
+def perplexities(docs: DataFrame, trained: DataFrame) -> DataFrame:
+    """row, n_scored, perplexity of the rows of docs (row, m, text) whose model m is trained: on the rows of `trained`
+    (m, text)."""
+    table = stored(addends(stored(trigram_counts(trained), "trigrams")), "addends")
+    met = joined(gram_entries(docs), table, ["m", "key"], "weight")
+    every = (F.col("key") == F.lit(EVERY)).cast("long")
+    sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("log_p"), F.sum(F.col("n") * every).alias("n"), F.sum(every).alias("copies"))
+    return sums.select("row", F.expr("n div copies").alias("n_scored"), F.exp(-F.col("log_p") / F.col("n")).alias("perplexity"))
 
 
-def model(counts: DataFrame, few: bool = True) -> list[dict[str, DataFrame]]:
-    """Per order from ORDER to 1: `share` (lang, g, discounted share) and `context` (lang, h, back-off weight)."""
-    tables = []
-    for order in range(ORDER, 0, -1):
-        c = F.col("c")
-        discounted = counts.join(_per_language(_discounts(counts), few), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("h", F.shiftrightunsigned("g", BITS))
-        context = discounted.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("taken"))
-        share = discounted.join(context, ["lang", "h"]).select("lang", "g", (F.greatest(c - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"))
-        tables.append({"share": share, "context": context.select("lang", "h", (F.col("taken") / F.col("total")).alias("weight"))})
-        shorter = F.col("g").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-        counts = counts.groupBy("lang", shorter.alias("g")).agg(F.count(F.lit(1)).alias("c")) if order > 1 else counts
-    return tables
-
-
-def log_probabilities(asked: DataFrame, tables: list[dict[str, DataFrame]], few: bool = True) -> DataFrame:
-    """lang, g, log_p for the ORDER-grams asked for, of languages that have a model: p = share + weight * p of the
-    shorter gram, down to equal chances for all characters."""
-    known = tables[-1]["share"].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
-    rows = asked.join(_per_language(known, few), "lang").withColumns({"p": F.lit(0.0), "w": F.lit(1.0)})
-    for order, t in zip(range(ORDER, 0, -1), tables, strict=True):
-        key = F.col("g").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-        rows = rows.withColumns({"_g": key, "_h": F.shiftrightunsigned(key, BITS)})
-        rows = rows.join(t["share"].withColumnRenamed("g", "_g"), ["lang", "_g"], "left").join(t["context"].withColumnRenamed("h", "_h"), ["lang", "_h"], "left")
-        rows = rows.select(
-            "lang", "g", "v", (F.col("p") + F.col("w") * F.coalesce("share", F.lit(0.0))).alias("p"), (F.col("w") * F.coalesce("weight", F.lit(1.0))).alias("w")
-        )
-    return rows.select("lang", "g", F.log(F.col("p") + F.col("w") / F.col("v")).alias("log_p"))
-
-
-SCORED = "doc_id long, lang string, n_scored long, perplexity double"
-
-
-def _scored(doc_ids: list, langs: list, texts: list, table: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    sizes, perplexities = [], []
-    for lang, text in zip(langs, texts, strict=True):
-        if not text or lang not in table:
-            sizes.append(0)
-            perplexities.append(None)
-            continue
-        keys, log_p = table[lang]
-        total, own = 0.0, 0
-        for at in range(0, len(text), 1_000_000):
-            before = max(0, at - ORDER + 1)
-            g = grams(text[before : at + 1_000_000])[at - before :]
-            total += float(log_p[np.searchsorted(keys, g)].sum())
-            own += len(g)
-        sizes.append(own)
-        perplexities.append(float(np.exp(-total / own)))
-    return _batch([pa.array(doc_ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(perplexities, pa.float64())], ["doc_id", "lang", "n_scored", "perplexity"])
-
-
-def _tables(rows: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    found = {}
-    langs = np.array(rows.column("lang").to_pylist(), object)
-    g, log_p = rows.column("g").to_numpy(), rows.column("log_p").to_numpy()
-    for lang in set(langs.tolist()):
-        own = langs == lang
-        order = np.argsort(g[own], kind="stable")
-        found[lang] = g[own][order], log_p[own][order]
-    return found
-
-
-def perplexities(docs: DataFrame, log_p: DataFrame) -> DataFrame:
-    """doc_id, lang, n_scored, perplexity: a row for each row of docs (doc_id, lang, text)."""
-    spark = docs.sparkSession
-    if log_p.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        sent = spark.sparkContext.broadcast(_tables(log_p.toArrow()))
-
-        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in slices(batches):
-                yield _scored(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts, sent.value)
-
-        return docs.select("doc_id", "lang", "text").mapInArrow(scored, SCORED)
-
-    n_blocks = max(1, docs.count() // DOCS_PER_BLOCK)
-    dealt = docs.select(F.expr(f"pmod(xxhash64(doc_id), {n_blocks})").alias("block"), "doc_id", "lang", "text")
-
-    def asked(key: tuple, rows: pa.Table) -> pa.Table:
-        own: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            if text:
-                own.setdefault(lang, []).append(grams(text))
-        parts = [(lang, np.unique(np.concatenate(g))) for lang, g in own.items()]
-        names = [lang for lang, g in parts for _ in range(len(g))]
-        values = np.concatenate([np.zeros(0, np.int64), *(g for _, g in parts)])
-        return pa.table({"block": pa.array([key[0].as_py()] * len(values), pa.int64()), "lang": pa.array(names, pa.string()), "g": values})
-
-    requests = dealt.groupBy("block").applyInArrow(asked, "block long, lang string, g long")
-    answers = requests.join(log_p, ["lang", "g"]).select("block", "lang", "g", "log_p")
-
-    def met(rows: pa.Table, found: pa.Table) -> pa.Table:
-        cols = [rows.column(c).to_pylist() for c in ("doc_id", "lang", "text")]
-        return pa.Table.from_batches([_scored(*cols, _tables(found))])
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(met, SCORED)
-
-
-def named(lang: Column) -> Column:
-    return F.coalesce(lang.cast("string"), F.lit(""))
-
-
-def held_out(doc_id: Column) -> Column:
-    """A tenth of the trusted documents: the threshold comes from these, under a model that hasn't seen them."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 7, F.lit(False))
-
-
-def scored_by(rows: DataFrame, counts: DataFrame, few: bool, what: str) -> DataFrame:
-    """The perplexity of each of the rows under the model of these counts."""
-    log_p = stored(log_probabilities(gram_counts(rows).select("lang", "g"), model(counts, few), few), f"log-probabilities-{what}")
-    return stored(perplexities(rows, log_p), f"perplexities-{what}")
+def fold(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_scored, perplexity, threshold, kept. trusted_ids: doc_id of the texts to learn from."""
-    rows = docs.select(F.col("doc_id").cast("long"), named(F.col("lang")).alias("lang"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text")).withColumn("m", F.xxhash64("lang", (fold(F.col("doc_id")) + 1) % FOLDS))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).distinct()
     # both sides are dealt by doc_id at every size: the ids grow with the documents
-    trusted = rows.join(ids.hint("merge"), "doc_id", "left_semi").withColumn("held", held_out(F.col("doc_id")))
-    counts = stored(gram_counts(trusted), "trusted-grams")
-    few = counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
-    scored = scored_by(rows, counts.select("lang", "g", "c"), few, "all")
-    others = counts.where("o > 0").select("lang", "g", F.col("o").alias("c"))
-    unseen = scored_by(trusted.where("held").select("doc_id", "lang", "text"), others, few, "held-out")
-
-    def quantile(of: DataFrame, name: str) -> DataFrame:
-        return of.where("perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias(name))
-
-    seen = quantile(scored.join(ids, "doc_id", "left_semi"), "_seen")
-    limits = seen.join(quantile(unseen, "_unseen"), "lang", "left").select("lang", F.coalesce("_unseen", "_seen").alias("threshold"))
-    return scored.join(_per_language(limits, few), "lang", "left").select(
-        "doc_id", "lang", "n_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept")
+    trusted = rows.join(ids.hint("merge"), "doc_id", "left_semi").select(F.xxhash64("lang", fold(F.col("doc_id"))).alias("m"), "text")
+    found = stored(perplexities(rows, trusted), "perplexities")
+    scored = stored(rows.select("doc_id", "lang", "row").join(found.hint("merge"), "row", "left").drop("row"), "scored")
+    limits = scored.join(ids.hint("merge"), "doc_id", "left_semi").where("perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("threshold"))
+    few = limits.limit(MOST_MODELS + 1).count() <= MOST_MODELS
+    return scored.join(_per_model(limits, few), "lang", "left").select(
+        "doc_id", "lang", F.coalesce("n_scored", F.lit(0).cast("long")).alias("n_scored"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept")
     )

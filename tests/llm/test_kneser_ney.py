@@ -2,19 +2,25 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import kneser_ney as kn
 
 
+def tokens(text):
+    return ["<s>", "<s>", *kn.TOKEN.findall(text), "</s>"]
+
+
 def brute(texts, asked):
     """Perplexity of a text under interpolated modified Kneser-Ney, from the formulas over plain dictionaries."""
     counts = Counter()
     for t in texts:
-        p = "\0" * (kn.ORDER - 1) + t
-        counts.update(p[i : i + kn.ORDER] for i in range(len(t)))
+        w = tokens(t)
+        counts.update(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     orders = []
-    for order in range(kn.ORDER, 0, -1):
+    for order in (3, 2, 1):
         n = [sum(c == j for c in counts.values()) for j in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
         d = [0] + [max(0.0, j - (j + 1) * y * n[j + 1] / n[j]) if y is not None and n[j] else j / 2 for j in (1, 2, 3)]
@@ -36,43 +42,66 @@ def brute(texts, asked):
         c = own.get(g, 0)
         return max(c - d[min(c, 3)], 0) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * lower
 
-    padded = "\0" * (kn.ORDER - 1) + asked
-    return math.exp(-sum(math.log(p(padded[i : i + kn.ORDER], 0)) for i in range(len(asked))) / len(asked))
+    w = tokens(asked)
+    return math.exp(-sum(math.log(p(tuple(w[i : i + 3]), 0)) for i in range(len(w) - 2)) / (len(w) - 2))
+
+
+GOOD = ["the cat sat on the mat.", "the dog sat on the log", "a cat and a dog met on the mat", "the mat and the log, a cat", "on the mat the cat sat", "a dog met the cat", "the log and the dog"]
+
 
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 2
 
-GOOD = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog met on the mat", "the mat and the log"]
 
+def expected(rows, trusted):
+    """doc_id -> perplexity under the other fold's trusted texts of the language."""
+    own = defaultdict(list)
+    for i, t, lang in rows:
+        if i in trusted and t:
+            own[lang, fold(i)].append(t)
+    return {i: brute(own[lang, 1 - fold(i)], t) if t and own[lang, 1 - fold(i)] else None for i, t, lang in rows}
 
-@pytest.mark.parametrize("most_sent", [kn.MOST_SENT, 0])
-def test_against_formulas(spark, monkeypatch, most_sent):
-    monkeypatch.setattr(kn, "MOST_SENT", most_sent)
-    monkeypatch.setattr(kn, "DOCS_PER_BLOCK", 3)
-    asked = ["the cat met the dog", "zzqx#$ kkk", "é the 🙂 log"]
-    rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(10 + i, t, "en") for i, t in enumerate(asked)]
-    rows += [(20, None, "en"), (21, "", "en"), (22, "bonjour", "fr"), (23, "x", None), (10, asked[0], "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS g", "2 AS block").repartition(3)
-    ids = spark.createDataFrame([(i,) for i in [*range(len(GOOD)), 999]], "doc_id long")
-    found = kn.judge(docs, ids).collect()
-    assert len(found) == len(rows)
+
+@pytest.mark.parametrize("hot_share, step", [(kn.HOT_SHARE, kn.STEP), (0.05, 7)])
+def test_against_formulas(spark, monkeypatch, hot_share, step):
+    monkeypatch.setattr(kn, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(kn, "SALTS", 3)
+    asked = ["the cat met the dog", "zzqx#$ kkk", "é the 🙂 log", "Der Der Der Der"]
+    rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(50 + i, t, "de") for i, t in enumerate(GOOD[::-1])] + [(100 + i, t, "en") for i, t in enumerate(asked)]
+    trusted = {*range(len(GOOD)), *range(50, 50 + len(GOOD))}
+    missing = [(20, None, "en"), (21, "", "en"), (22, "bonjour", "fr"), (23, "x", None)]
+    docs = spark.createDataFrame(rows + missing + [(100, asked[0], "en")], "doc_id long, text string, lang string").selectExpr("*", "1 AS m", "2 AS row", "3 AS `key`").repartition(3)
+    found = kn.judge(docs, spark.createDataFrame([(i,) for i in [*trusted, 999, None]], "doc_id long")).collect()
+    assert len(found) == len(rows) + len(missing) + 1
     by = {r["doc_id"]: r for r in found}
-    for i, t in enumerate(asked):
-        assert by[10 + i]["perplexity"] == pytest.approx(brute(GOOD, t), rel=1e-9)
-    assert not by[11]["kept"] and by[0]["kept"]
-    assert all(by[i]["perplexity"] is None and by[i]["kept"] for i in (20, 21, 22, 23))
-
-
-def test_threshold_is_the_quantile_of_held_out_texts(spark):
-    words = "the cat sat on a mat and dog met log with two more of them".split()
-    texts = {i: " ".join(words[(i * k + k * k) % len(words)] for k in range(3, 15)) for i in range(60)}
-    held = [i for i in texts if zlib.crc32(str(i).encode()) % 10 == 7]
-    asked = {100: "the the the the", 101: "cat sat mat dog", 102: "tac tas eht no tam", 103: "them of more two", 104: "mat mat on on on sat"}
-    rows = [(i, t, "en") for i, t in {**texts, **asked}.items()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).cache()
-    trusted = docs.where("doc_id < 100").select("doc_id")
-    others = {r["doc_id"]: r["perplexity"] for r in kn.judge(docs, trusted.where(~trusted.doc_id.isin(held))).collect()}
-    found = kn.judge(docs, trusted).collect()
-    limit = max(others[i] for i in held)
-    assert all(r["threshold"] == pytest.approx(limit, rel=1e-9) and r["kept"] == (r["perplexity"] <= r["threshold"]) for r in found)
+    want = expected(rows, trusted)
+    assert {fold(i) for i in range(len(GOOD))} == {0, 1}
+    for i, t, lang in rows:
+        assert by[i]["perplexity"] == pytest.approx(want[i], rel=1e-9)
+        assert by[i]["n_scored"] == len(tokens(t)) - 2
+    for lang in ("en", "de"):
+        limit = max(want[i] for i, t, x in rows if x == lang and i in trusted)
+        assert all(by[i]["threshold"] == pytest.approx(limit, rel=1e-9) and by[i]["kept"] == (by[i]["perplexity"] <= by[i]["threshold"]) for i, t, x in rows if x == lang)
+    assert not by[101]["kept"]
+    assert all(by[i]["perplexity"] is None and by[i]["kept"] and by[i]["n_scored"] == 0 for i, _, _ in missing)
+
+
+def test_keys_are_those_of_sql(spark):
+    rng = np.random.default_rng(3)
+    w = rng.integers(0, 1 << 63, (3, 50), np.uint64) * np.uint64(2) + np.uint64(1)
+    df = spark.createDataFrame([tuple(int(x) for x in row) for row in w.view(np.int64).T], "a long, b long, c long")
+    found = df.select(F.xxhash64("a").alias("x"), F.xxhash64("a", "b").alias("y"), F.xxhash64("a", "b", "c").alias("z")).collect()
+    for k, name in enumerate("xyz"):
+        assert [r[name] for r in found] == kn.gram_key(*w[: k + 1]).view(np.int64).tolist()
+
+
+def test_long_texts_are_taken_in_steps(monkeypatch):
+    text = "one two, three\nfour  " * 40 + "x" * 100 + " end"
+    whole = [np.concatenate(x) for x in zip(*kn.trigrams(text))]
+    monkeypatch.setattr(kn, "STEP", 10)
+    steps = list(kn.trigrams(text))
+    assert len(steps) > 20 and "".join(kn.pieces(text)) == text
+    assert all((np.concatenate(a) == b).all() for a, b in zip(zip(*steps), whole))
 
 
 def test_empty(spark):
