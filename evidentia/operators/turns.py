@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ATTEMPTS = "session_id string, turn_id string, attempt long, state string, wall_ms long, emitted_ms long, started_ns long, finished_ns long"
+SCHEMA = pa.schema([(n, pa.string() if n in ("session_id", "turn_id", "state") else pa.int64()) for n in (x.split()[0] for x in ATTEMPTS.split(","))])
 
 
 def _attempts(events: list) -> list[dict]:
@@ -40,32 +42,33 @@ def attempts(events: DataFrame) -> DataFrame:
     """events: session_id, turn_id, kind, observed_ns, duration_ms, authority, source, ordinal. Sorted rows stream through
     a task, which holds one turn at a time; events without an instant come last."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = (), []
 
-        def out() -> pd.DataFrame:
-            rows = []
+        def rows() -> list[tuple]:
+            found = []
             for n, a in enumerate(_attempts(held), 1):
                 timed = a["start"] is not None and a["end"] is not None and a["end"] >= a["start"]
-                rows.append((*key, n, a["state"], round((a["end"] - a["start"]) / 1e6) if timed else None, a["emitted"], a["start"], a["end"]))
-            names = ["session_id", "turn_id", "attempt", "state", "wall_ms", "emitted_ms", "started_ns", "finished_ns"]
-            return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names[4:]})
+                found.append((*key, n, a["state"], (a["end"] - a["start"] + 500_000) // 1_000_000 if timed else None, a["emitted"], a["start"], a["end"]))
+            return found
 
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if (row.session_id, row.turn_id) != key:
-                    if held:
-                        yield out()
-                    key, held = (row.session_id, row.turn_id), []
-                at = None if pd.isna(row.observed_ns) else int(row.observed_ns)
-                held.append(_Event(row.kind, at, None if pd.isna(row.duration_ms) else int(row.duration_ms), int(row.authority)))
-        if held:
-            yield out()
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
-    from pyspark.sql import functions as F
+        for batch in batches:
+            found = []
+            for session, turn, kind, at, duration, authority in zip(*[batch.column(c).to_pylist() for c in batch.schema.names[:6]], strict=True):
+                if (session, turn) != key:
+                    found += rows() if held else []
+                    key, held = (session, turn), []
+                held.append(_Event(kind, at, duration, authority))
+            if found:
+                yield out(found)
+        if held and (found := rows()):
+            yield out(found)
 
     ordered = events.select("session_id", "turn_id", "kind", "observed_ns", "duration_ms", "authority", "source", "ordinal")
-    return ordered.repartition("session_id", "turn_id").sortWithinPartitions("session_id", "turn_id", F.col("observed_ns").asc_nulls_last(), "source", "ordinal").mapInPandas(scan, ATTEMPTS)
+    return ordered.repartition("session_id", "turn_id").sortWithinPartitions("session_id", "turn_id", F.col("observed_ns").asc_nulls_last(), "source", "ordinal").mapInArrow(scan, ATTEMPTS)
 
 
 class _Event:

@@ -51,7 +51,7 @@ def epoch_component_max(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {OBS}, n AS (
-  SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN event_id % 4 = 0 THEN NULL ELSE k END AS k,
+  SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE amount + 9007199254740993 END AS amount, CASE WHEN event_id % 4 = 0 THEN NULL ELSE k END AS k,
          row_number() OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS r FROM obs
 ), f AS (
   SELECT user_id, event_id, r, 0::BIGINT AS epoch, amount AS ka, k AS kk FROM n WHERE r = 1
@@ -63,7 +63,7 @@ def epoch_component_max(spark, sf_dir):
 ) SELECT user_id, event_id, epoch FROM f""")
 def epoch_assignment_gaps(spark, sf_dir):
     gaps = observations(spark, sf_dir).withColumns({
-        "amount": F.when(F.col("event_id") % 3 != 0, F.col("amount")), "k": F.when(F.col("event_id") % 4 != 0, F.col("k"))})
+        "amount": F.when(F.col("event_id") % 3 != 0, F.col("amount") + 9007199254740993), "k": F.when(F.col("event_id") % 4 != 0, F.col("k"))})
     rows = gaps.select("user_id", "event_id", "at_us", "amount", "k")
     return counters.with_epochs_over_gaps(rows, ["user_id"], ["at_us", "event_id"], ["amount", "k"]).select("user_id", "event_id", "epoch")
 

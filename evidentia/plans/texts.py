@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import commands, instants, keys, text
-from ..shipping import ship_package
 from ..sources import rollout
 from .adapters import observations, table
 
@@ -126,17 +125,26 @@ FILES = {
 }
 
 
-def _listed(spark, values: dict[str, str]):
-    ship_package(spark)
-    return spark.createDataFrame(list(values.items()), "command string, expected string")
+def _sized(command: str) -> str:
+    """A command with the row's number in its first file or option value, where it has one."""
+    return command.replace("a.", "a{}.", 1)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(c.replace("'", "''"), *v.split()) for c, v in COMMANDS.items()) + ") t(command, runner, scope)")
+def _chosen_sql(values: list[str]) -> str:
+    return "CASE p_partkey % " + str(len(values)) + "".join(f" WHEN {i} THEN '" + v.replace("'", "''") + "'" for i, v in enumerate(values)) + " END"
+
+
+def _commands(spark, sf_dir, values: dict[str, str]):
+    given = commands.chosen([_sized(c) for c in values], F.col("p_partkey") % len(values))
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(given, F.lit("{}"), F.col("p_size").cast("string")).alias("command"))
+
+
+@query(f"""SELECT p_partkey, split_part(c, ' ', 1) AS runner, split_part(c, ' ', 2) AS scope FROM (SELECT p_partkey, {_chosen_sql(list(COMMANDS.values()))} AS c FROM part)""")
 def test_command_classify(spark, sf_dir):
-    return _listed(spark, COMMANDS).select("command", commands.test_command("command").alias("c")).select("command", "c.runner", "c.scope")
+    return commands.test_command(_commands(spark, sf_dir, COMMANDS), "command").select("p_partkey", "runner", "scope")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(c.replace("'", "''"), v) for c, v in FILES.items()) + ") t(command, files)")
+@query(f"SELECT p_partkey, replace({_chosen_sql([_sized(v) for v in FILES.values()])}, '{{}}', p_size::VARCHAR) AS files FROM part")
 def shell_facts(spark, sf_dir):
-    files = F.transform(commands.shell_files("command"), lambda f: F.concat_ws(":", f["op"], f["path"]))
-    return _listed(spark, FILES).select("command", F.concat_ws(" ", files).alias("files"))
+    files = F.transform(commands.shell_files(F.col("command")), lambda f: F.concat_ws(":", f["op"], f["path"]))
+    return _commands(spark, sf_dir, FILES).select("p_partkey", F.concat_ws(" ", files).alias("files"))

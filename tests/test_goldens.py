@@ -61,6 +61,31 @@ def test_attempts(spark):
     assert [tuple(r)[2:6] for r in turns.attempts(df).orderBy("attempt").collect()] == [(1, "completed", 2000, 1500), (2, "aborted", 1000, 500)]
 
 
+ODD = 1_700_000_000_123_456_789
+
+
+def test_nanoseconds_stay_whole_beside_missing_instants(spark):
+    events = [("s", "t", "started", ODD, None, 1, "a", 1), ("s", "t", "completed", ODD + 1_500_001, 7, 1, "a", 2), ("s", "t", "aborted", None, None, 2, "a", 3), (None, "t", "started", ODD + 2, None, 1, "a", 1)]
+    schema = "session_id string, turn_id string, kind string, observed_ns long, duration_ms long, authority long, source string, ordinal long"
+    found = {r["session_id"]: r for r in turns.attempts(spark.createDataFrame(events, schema)).where("attempt = 1").collect()}
+    assert (found["s"]["started_ns"], found["s"]["finished_ns"], found["s"]["state"]) == (ODD, None, "aborted")
+    assert (found[None]["started_ns"], found[None]["state"]) == (ODD + 2, "open")
+    closed = turns.attempts(spark.createDataFrame(events[:2] + events[3:], schema)).where("session_id = 's'").collect()
+    assert [(r["started_ns"], r["finished_ns"], r["wall_ms"], r["emitted_ms"]) for r in closed] == [(ODD, ODD + 1_500_001, 2, 7)]
+    assert turns.attempts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_epochs_over_gaps_keep_integers_and_put_missing_instants_last(spark):
+    rows = [(1, ODD, 1, 5, None), (1, ODD + 1, 2, None, ODD), (1, None, 3, 1, None), (1, ODD + 2, 4, 7, ODD + 2), (None, ODD, 5, 3, None), (None, ODD + 1, 6, 2, None)]
+    df = spark.createDataFrame(rows, "k long, at long, id long, a long, b long").repartition(3)
+    found = counters.with_epochs_over_gaps(df, ["k"], ["at", "id"], ["a", "b"])
+    assert {tuple(r) for r in found.collect()} == {(*r, e) for r, e in zip(rows, (0, 0, 1, 0, 0, 1))}
+    whole = spark.createDataFrame([(1, None, 1, 5), (1, ODD, 2, 3), (1, ODD + 1, 3, 6)], "k long, at long, id long, a long")
+    assert {(r["id"], r["epoch"]) for r in counters.with_epochs(whole, ["k"], ["at", "id"], ["a"]).collect()} == {(2, 0), (3, 0), (1, 1)}
+    totals = counters.final_totals(counters.with_epochs(whole, ["k"], ["at", "id"], ["a"]), ["k"], ["at", "id"], ["a"]).collect()
+    assert [(r["a"], r["epochs"]) for r in totals] == [(11, 2)]
+
+
 def test_hints(spark):
     schema = "session_id string, event_key string, observed_ns long, input long, cached long, output long, reasoning long"
     deltas = spark.createDataFrame([("a", "d1", None, 10, 2, 3, 1), ("b", "d2", 5, 4, 0, 1, 0)], schema)
@@ -107,9 +132,30 @@ def test_keys(spark):
     assert row["h"] == hmac.new(b"k" * 80, "häm".encode(), hashlib.sha256).hexdigest()
 
 
-def test_commands():
-    assert {c: " ".join(commands.classify(c)) for c in texts.COMMANDS} == texts.COMMANDS
-    assert {c: " ".join(":".join(f) for f in commands.file_facts(c)) for c in texts.FILES} == texts.FILES
+MORE_COMMANDS = {
+    "PYTEST -q": "pytest full", "/usr/bin/python3.12 -m pytest -k 'a or b'": "pytest targeted", "pytest --tb short -q": "pytest full", "pytest --mark=slow": "pytest targeted",
+    "python -m unittest discover": "unittest full", "python -m unittest tests.a": "unittest targeted", "python -m unittest -v": "unittest full", "python a.py": "unknown unknown",
+    "go test ./pkg": "go targeted", "go test -run=TestA ./...": "go targeted", "cargo build": "unknown unknown", "cargo test name": "cargo targeted", "npm test": "npm full",
+    "npm run test": "npm full", "yarn test src/a": "yarn targeted", "bun run build": "unknown unknown", "pnpm run test -- --grep=x": "pnpm targeted", "npm run tester": "unknown unknown",
+    "gradle build": "unknown unknown", "gradle test": "gradle full", "gradle clean test --tests A": "gradle targeted", "mvn -Dtest=A test": "maven targeted", "mvn verify": "unknown unknown",
+    "env A=1 uv run pytest": "pytest full", "env A=1 env B=2 env C=3 pytest": "unknown unknown", "bash -c 'sh -c pytest'": "pytest full", "sh -c pytest extra": "unknown unknown",
+    "bash -lc pytest": "unknown unknown", "jest a.spec.ts": "jest targeted", "npx -y playwright test": "playwright full", "playwright show": "unknown unknown", "pytest 'a b": "unknown unknown",
+    "pytest; ls": "unknown unknown", "pytest ';'": "pytest targeted", "": "unknown unknown", "swift test --filter=A": "swift targeted", "vitest run": "vitest full", "vitest -t x": "vitest targeted",
+}
+MORE_FILES = {
+    "tail -n 3 -q 'a b.txt'": "read:a b.txt", "head -c5 x": "read:x", "rg -g a -e b c d": "read:d", "rg needle": "", "sed -n p": "", "cat -- -x": "", "cat ./a ././b": "read:a read:b", "cat a >> b": "read:a write:b",
+    "cat a > ../b": "", "cat ~/a": "", "cat C:/a": "", "cat a > b > c": "", "grep a b": "", "cat": "", "sed -i.bak s/a/b/ x y": "write:x write:y",
+}
+
+
+def test_commands(spark):
+    given = {**texts.COMMANDS, **MORE_COMMANDS}
+    rows = commands.test_command(spark.createDataFrame([(c,) for c in [*given, None]], "command string"), "command").collect()
+    assert {r["command"]: f"{r['runner']} {r['scope']}" for r in rows} == {**given, None: "unknown unknown"}
+    given = {**texts.FILES, **MORE_FILES}
+    files = F.transform(commands.shell_files(F.col("command")), lambda f: F.concat_ws(":", f["op"], f["path"]))
+    rows = spark.createDataFrame([(c,) for c in [*given, None]], "command string").select("command", F.concat_ws(" ", files).alias("files")).collect()
+    assert {r["command"]: r["files"] for r in rows} == {**given, None: ""}
 
 
 def test_redaction(spark):
