@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship_package
+from ..shipping import shared_folder, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,24 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", "")
-    if set_by_cluster:
-        return set_by_cluster
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, columns can be pruned,
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

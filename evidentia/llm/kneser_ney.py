@@ -17,6 +17,8 @@ sum per document is its log-likelihood. Nothing passes through the driver but th
 No key is hot: training counts are summed before they move, documents count their own grams first, and at most
 1 / HOT_SHARE grams that hold more than that share of the counts are split over SALTS tasks (their table rows are copied).
 
+A discount that the counts of counts leave open, or put at nothing, is half its count, so that no back-off weight is zero.
+
 Grams are told apart by 64-bit hashes. A text starts with two marks and ends with one; the end is predicted as well.
 
 Defined cases: a null or empty text, and a language without trusted text in the other fold (null counts as one
@@ -160,7 +162,8 @@ def _discounted(grams: DataFrame, few: bool) -> DataFrame:
     """Adds d, the discount of each row's count c, from the counts of counts of its model."""
     n = grams.groupBy("m").agg(*[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2, 3, 4)])
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    ds = [F.coalesce(F.greatest(F.lit(0.0), j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}"))), F.lit(j / 2)).alias(f"d{j}") for j in (1, 2, 3)]
+    estimate = {j: j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")) for j in (1, 2, 3)}
+    ds = [F.coalesce(F.when(e > 0, e), F.lit(j / 2)).alias(f"d{j}") for j, e in estimate.items()]
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     return grams.join(_per_model(n.select("m", *ds), few), "m").withColumn("d", d).drop("d1", "d2", "d3")
 

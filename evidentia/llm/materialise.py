@@ -8,8 +8,11 @@ r div per_shard at byte (r mod per_shard) * stride, and reading can resume anywh
 A sequence is one window of `length` token ids of a document; the last one of a document is padded. Ids are bytes of
 the text (256 values, and PAD for the end) unless a column of ids is given, two bytes each.
 
-Defined cases: a null or empty text has no sequences; equal rows have sequences of their own; an empty table gives no
-rows; only the named columns are read.
+The order depends on the documents alone: the same table in other partitions gets the same slots.
+
+Defined cases: a null or empty text has no sequences; rows without a doc_id come first; equal rows have sequences of
+their own, next to each other in the index; a long text is a document of many sequences; an empty table gives no rows
+and no shards; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec
 from .common import slices, stored
 
 LENGTH = 512
-PER_SHARD = 4096
+PER_SHARD = 1 << 18  # records: 256 MB a shard
+PER_RUN = 256
+MOST_ID = 65_535
+MOST_SENT = 2_000_000  # two longs each
 PAD = 50256
 ROUNDS = 8
 
@@ -57,18 +63,32 @@ def slots_of(index: np.ndarray, size: int, key: int, invert: bool = False) -> np
     return value.astype(np.int64)
 
 
+def _permuted(c: Column, size: int, key: int, invert: bool = False) -> Column:
+    @F.pandas_udf("long")
+    def slot(index):
+        import pandas as pd
+
+        return pd.Series(slots_of(index.to_numpy(), size, key, invert))
+
+    return slot(c)
+
+
 def sequences(docs: DataFrame, path: str | None, length: int = LENGTH) -> DataFrame:
-    """doc_id, seq_no, n_tokens and `record`: `length` ids of two bytes, little-endian, padded with PAD.
+    """doc_id, seq_no, n_tokens and `record`: `length` ids of two bytes, little-endian, padded with PAD; and about the
+    document `row` (a number of its own), `digest` (of its text) and `n_records`.
 
-    path: a vocabulary for byte-level BPE; without it the ids are the bytes of the text.
+    path: a vocabulary for byte-level BPE of at most 65 536 ids; without it the ids are the bytes of the text.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    if path and (most := max(Codec.of(path).library.get_vocab(True).values())) > MOST_ID:
+        raise ValueError(f"id {most} of the vocabulary doesn't fit two bytes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path) if path else None
         for batch, texts in slices(batches, most_chars=1_000_000):
-            doc_ids, numbers, sizes, records = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+            at, numbers, sizes, totals, records = [], [], [], [], []
+            for i, text in enumerate(texts):
                 if not text:
                     continue
                 raw = codec.encode(text).astype("<u2") if codec else np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype("<u2")
@@ -76,40 +96,40 @@ def sequences(docs: DataFrame, path: str | None, length: int = LENGTH) -> DataFr
                 padded = np.full(n * length, PAD, "<u2")
                 padded[: len(raw)] = raw
                 blob = padded.tobytes()
-                doc_ids += [doc_id] * n
+                at += [i] * n
                 numbers += range(n)
                 sizes += [length] * (n - 1) + [len(raw) - (n - 1) * length]
+                totals += [n] * n
                 records += [blob[i * 2 * length : (i + 1) * 2 * length] for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())],
-                names=["doc_id", "seq_no", "n_tokens", "record"],
-            )
+            of_doc = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("row", "doc_id", "digest")]
+            own = [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(records, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*of_doc, *own], names=["row", "doc_id", "digest", "seq_no", "n_tokens", "n_records", "record"])
 
-    return rows.mapInArrow(cut, "doc_id long, seq_no long, n_tokens long, record binary")
+    return rows.mapInArrow(cut, "row long, doc_id long, digest long, seq_no long, n_tokens long, n_records long, record binary")
 
 
-def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD) -> DataFrame:
+def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD, most_sent: int = MOST_SENT) -> DataFrame:
     """Adds index, slot, shard and offset (record number inside the shard) to sequences.
 
-    Indexes come from the place in the partition (of stored rows, so they don't change when a task runs again) and
-    from the partitions' counts, one row each.
+    Indexes follow (doc_id, digest of the text, seq_no), whatever the partitions of the input: documents are put in
+    order over a range partitioning and the numbers of their records summed up. Each document's first index is sent to
+    all tasks if there are most_sent documents at most; beyond that the records are shuffled once more to meet it.
     """
-    placed = stored(made.withColumn("_place", F.monotonically_increasing_id()), "sequences")
-    part = F.shiftrightunsigned("_place", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    size = counts.agg(F.sum("_n")).first()[0] or 0
-    indexed = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row per partition
-    indexed = indexed.withColumn("index", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_start")
-
-    @F.pandas_udf("long")
-    def slot(index):
-        import pandas as pd
-
-        return pd.Series(slots_of(index.to_numpy(), size, key))
-
-    return indexed.withColumn("slot", slot("index")).withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("offset", F.expr(f"slot % {per_shard}"))
+    placed = stored(made, "sequences")
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = placed.where("seq_no = 0").select("doc_id", "digest", "row", "n_records")
+    order = ["doc_id", "digest", "row"]
+    ordered = stored(firsts.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "documents-in-order")
+    sums = ordered.groupBy("part").agg(F.sum("n_records").alias("own"), F.count(F.lit(1)).alias("docs"))
+    size, n_docs = sums.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = sums.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
+    inside = F.sum("n_records").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    base = ordered.join(F.broadcast(starts), "part").select("row", (F.col("start") + inside - F.col("n_records")).alias("base"))
+    base = F.broadcast(base) if n_docs <= most_sent else base.hint("merge")
+    indexed = placed.join(base, "row").withColumn("index", F.col("base") + F.col("seq_no")).drop("base", "row", "digest", "n_records")
+
+    return indexed.withColumn("slot", _permuted(F.col("index"), size, key)).withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("offset", F.expr(f"slot % {per_shard}"))
 
 
 def by_slot(ordered: DataFrame) -> DataFrame:
@@ -118,47 +138,67 @@ def by_slot(ordered: DataFrame) -> DataFrame:
     return ordered.repartitionByRange(parts, "slot").sortWithinPartitions("slot")
 
 
-def shard_runs(ordered: DataFrame, length: int = LENGTH, per_run: int = 256) -> DataFrame:
-    """shard, run, first_slot, n_records, data: fixed-stride records of consecutive slots put together.
+RUN = "run long, first_slot long, data binary, doc_id array<long>, seq_no array<long>, n_tokens array<long>"
+OF_RECORD = ("doc_id", "seq_no", "n_tokens")
+
 
-    Rows are dealt by ranges of slots, so a partition writes whole runs of per_run records, in order; runs are the unit
-    that a reader fetches, at (slot - first_slot) * 2 * length.
+def shard_runs(ordered: DataFrame, per_shard: int = PER_SHARD, per_run: int = PER_RUN) -> DataFrame:
+    """shard, run, first_slot, data: fixed-stride records of consecutive slots of one shard put together; and a list
+    each of what OF_RECORD names.
+
+    Rows are dealt by ranges of shard and run, so a partition writes whole runs of per_run records, in order; runs are
+    the unit that a reader fetches, at (slot - first_slot) * stride. A run ends where its shard does.
     """
     parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = F.expr(f"slot div {per_run}")
-    dealt = ordered.select("slot", "shard", "record", run.alias("run")).repartitionByRange(parts, "run").sortWithinPartitions("slot")
+    shard, run = F.expr(f"slot div {per_shard}").alias("shard"), F.expr(f"slot % {per_shard} div {per_run}").alias("run")
+    dealt = ordered.select(shard, run, "slot", "record", *OF_RECORD).repartitionByRange(parts, "shard", "run").sortWithinPartitions("slot")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            shard, run_no, first = held[0][1], held[0][3], held[0][0]
-            data = b"".join(r[2] for r in held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([run_no]), pa.array([first]), pa.array([len(held)], pa.int64()), pa.array([data], pa.binary())],
-                names=["shard", "run", "first_slot", "n_records", "data"],
-            )
+            shard, run, slot, record, *rest = zip(*held, strict=True)
+            whole = [pa.array([shard[0]]), pa.array([run[0]]), pa.array([slot[0]]), pa.array([b"".join(record)], pa.binary())]
+            return pa.RecordBatch.from_arrays([*whole, *[pa.array([list(x)], pa.list_(pa.int64())) for x in rest]], names=["shard", "run", "first_slot", "data", *OF_RECORD])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][3] != row[3]:
+                if held and held[0][:2] != row[:2]:
                     yield out()
                     held = []
                 held.append(row)
         if held:
             yield out()
 
-    return dealt.mapInArrow(joined, "shard long, run long, first_slot long, n_records long, data binary")
+    return dealt.mapInArrow(joined, f"shard long, {RUN}")
 
 
-def write_shards(ordered: DataFrame, path: str, length: int = LENGTH) -> None:
+def write_shards(ordered: DataFrame, path: str, per_shard: int = PER_SHARD, per_run: int = PER_RUN) -> None:
     """Writes the runs as Parquet, a folder per shard; a reader of slots [a, b) opens shards a div per_shard to b div per_shard."""
-    shard_runs(ordered, length).write.partitionBy("shard").parquet(path)
+    shard_runs(ordered, per_shard, per_run).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def runs_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{RUN}, shard long").parquet(path)
 
 
-def read_slots(spark, path: str, first: int, last: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """slot and record of the slots from first to last, in order: resuming needs no other state than a slot."""
-    runs = spark.read.parquet(path).where((F.col("shard") >= first // per_shard) & (F.col("shard") <= last // per_shard))
+def records(runs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """slot, record and what OF_RECORD names, of each record of the runs."""
     stride = 2 * length
-    each = runs.select(F.posexplode(F.expr(f"transform(sequence(0L, n_records - 1), i -> substring(data, cast(i * {stride} + 1 as int), {stride}))")).alias("at", "record"), "first_slot")
-    return each.select((F.col("first_slot") + F.col("at")).alias("slot"), "record").where(F.col("slot").between(first, last)).orderBy("slot")
+    each = runs.select("first_slot", "data", F.posexplode(F.arrays_zip(*OF_RECORD)).alias("at", "r"))
+    return each.select((F.col("first_slot") + F.col("at")).alias("slot"), F.expr(f"substring(data, at * {stride} + 1, {stride})").alias("record"), *[F.col(f"r.{c}") for c in OF_RECORD])
+
+
+def n_records(runs: DataFrame) -> int:
+    return runs.agg(F.coalesce(F.sum(F.size("doc_id")), F.lit(0))).first()[0]
+
+
+def index_at(slot: Column, size: int, key: int) -> Column:
+    """Which sequence of all `size` lies at a slot: the permutation backwards."""
+    return _permuted(slot, size, key, invert=True)
+
+
+def read_slots(spark: SparkSession, path: str, first: int, last: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """The records of the slots from first to last, in order: resuming needs no other state than a slot."""
+    runs = runs_of(spark, path).where((F.col("shard") >= first // per_shard) & (F.col("shard") <= last // per_shard))
+    return records(runs, length).where(F.col("slot").between(first, last)).orderBy("slot")

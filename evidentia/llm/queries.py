@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
-from .common import table
+from .common import shared_folder, table
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -38,9 +39,16 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, reads them again, and tells of each record where it lies and what it holds."""
     made = materialise.sequences(table(spark, sf_dir, "documents"), tokenizer_path())
-    ordered = materialise.by_slot(materialise.in_training_order(made, ORDER_KEY))
-    return ordered.select("doc_id", "seq_no", "n_tokens", "index", "slot", "shard", "offset", F.sha2("record", 256).alias("record_sha256"))
+    path = f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+    ordered = materialise.in_training_order(made, ORDER_KEY)
+    materialise.write_shards(ordered, path)
+    runs = materialise.runs_of(spark, path)
+    at, size = F.col("slot"), materialise.n_records(runs)
+    return materialise.records(runs).select(
+        "doc_id", "seq_no", "n_tokens", materialise.index_at(at, size, ORDER_KEY).alias("index"), at,
+        F.expr(f"slot div {materialise.PER_SHARD}").alias("shard"), (at % materialise.PER_SHARD).alias("offset"), F.sha2("record", 256).alias("record_sha256"))
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

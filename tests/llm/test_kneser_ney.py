@@ -23,7 +23,7 @@ def brute(texts, asked):
     for order in (3, 2, 1):
         n = [sum(c == j for c in counts.values()) for j in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
-        d = [0] + [max(0.0, j - (j + 1) * y * n[j + 1] / n[j]) if y is not None and n[j] else j / 2 for j in (1, 2, 3)]
+        d = [0] + [e if y is not None and n[j] and (e := j - (j + 1) * y * n[j + 1] / n[j]) > 0 else j / 2 for j in (1, 2, 3)]
         total, taken = Counter(), defaultdict(float)
         for g, c in counts.items():
             total[g[:-1]] += c

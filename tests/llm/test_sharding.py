@@ -41,3 +41,34 @@ def test_manifest(spark):
     manifest = sharding.pruning_manifest(sharded, ["source", "n_chars"]).collect()
     assert sum(r["n_rows"] for r in manifest) == 16
     assert all(r["min_n_chars"] <= r["max_n_chars"] for r in manifest)
+
+
+def test_strings_are_told_apart_behind_equal_beginnings(spark):
+    names = ["https://a.org/1", "https://a.org/2", "https://b.org", "common-crawl-2020", "common-crawl-2023", "é", "", "z" * 50]
+    rows = [(i, names[i % 8]) for i in range(64)] + [(64 + i, names[0]) for i in range(40)] + [(200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    cells = {(r["source"], r["c"]) for r in df.select("source", sharding.quantised(df, ["source"], 5)[0].alias("c")).collect()}
+    by = dict(cells)
+    assert len(cells) == 9 and by[None] == 0
+    ordered = sorted(names, key=lambda x: x.encode())
+    assert [by[x] for x in ordered] == sorted(by[x] for x in names) and len({by[x] for x in names}) == 8
+    below = {x: sum(y is not None and y.encode() < x.encode() for _, y in rows) / 104 for x in names}
+    assert all(abs(by[x] - 32 * below[x]) <= 1 for x in names)
+
+
+def test_written_shards_hold_every_row_and_can_be_skipped(spark, tmp_path):
+    rows = [(i % 97, f"source-{i * 7 % 10}", i * 13 % 100, f"t{i}") for i in range(800)] + [(1, "source-1", 5, "again")] * 2 + [(None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, text string").selectExpr("*", "7 AS _c0", "8 AS rank", "9 AS n_rows", "'mine' AS slot").repartition(5)
+    path = str(tmp_path / "shards")
+    sharding.write_shards(df, ["source", "size"], 16, ["doc_id", "text"], path)
+    back = spark.read.parquet(path)
+    assert sorted(map(repr, (tuple(r) for r in back.select("doc_id", "source", "size", "text").collect()))) == sorted(map(repr, rows))
+    assert back.select("_c0", "rank", "n_rows").distinct().collect() == [(7, 8, 9)]
+    manifest = sharding.pruning_manifest(back, ["source", "size"]).collect()
+
+    def opened(name, value):
+        return sum(r[f"min_{name}"] <= value <= r[f"max_{name}"] for r in manifest)
+
+    # in a random order every one of the 16 shards would be opened
+    assert sum(opened("source", f"source-{i}") for i in range(10)) / 10 <= 7
+    assert sum(opened("size", i) for i in range(100)) / 100 <= 7
