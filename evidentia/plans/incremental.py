@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shared_folder
 from ..streaming import incremental
 from .adapters import OBS, table
 
@@ -25,7 +25,7 @@ def query(sql: str | None):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evidentia-")
+    base = shared_folder(spark)
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 

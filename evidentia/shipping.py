@@ -23,3 +23,15 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, the session's checkpoint folder
+    or, with all of Spark on one machine, a new one; on a cluster a folder of one machine would lose files."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
+    return spark.sparkContext.getCheckpointDir()
