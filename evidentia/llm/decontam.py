@@ -10,7 +10,8 @@
    0.8; weights are the shingles' counts.
 
 Texts are cut into stretches that overlap by an item's length, so no task or row grows with a text. The items' side of
-each join is broadcast only if it has MOST_BROADCAST rows at most; beyond that the joins shuffle. DataFrame functions only.
+each join is broadcast only if it has MOST_BROADCAST rows at most; beyond that the joins shuffle, and every key is split
+over SALTS tasks, so that a passage in a third of all documents burdens no single one. DataFrame functions only.
 
 Defined cases: null texts, items without words and empty tables match nothing; items shorter than a shingle count as one
 shingle; rows with one doc_id are judged together; equal rows get equal results; only the named columns are read.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -30,6 +31,7 @@ RADIUS = 15
 NUM, DEN = 80, 100
 MOST_BROADCAST = 100_000
 STRETCH = 512
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -50,36 +52,47 @@ def _shingles(hw: Column, k: int) -> Column:
     return _once(hw, lambda v: F.when(F.size(v) >= k, F.transform(F.sequence(F.lit(0), F.size(v) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(v, i + j) for j in range(k)]))))
 
 
-class _Lanes:
-    """Bit counts of 64-bit hashes in fields of a long: 8 bits wide for windows up to 255 words, else 16. The top field
-    stays free, so that no sum overflows."""
+WIDTH, FIELDS = 8, 7
+BITS = WIDTH * FIELDS  # the sign bit and its byte stay free, so that no sum overflows
+MOST_COUNT = (1 << WIDTH) - 1
+_ONES = sum(1 << (WIDTH * f) for f in range(FIELDS))
 
-    def __init__(self, longest: int) -> None:
-        self.width = 8 if longest <= 255 else 16
-        self.fields = 64 // self.width - 1
-        self.ones = sum(1 << (self.width * f) for f in range(self.fields))
-        self.bits = self.width * self.fields
 
-    def fingerprint(self, hashes: Column, n: Column) -> Column:
-        """The bits that are set in more than half of the hashes."""
-        lanes = range(self.width)
-        zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in lanes])
-        ones = F.lit(self.ones).cast("long")
-        sums = F.aggregate(
-            hashes, zero, lambda acc, x: F.struct(*[(acc[f"s{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(ones)).alias(f"s{j}") for j in lanes])
-        )
+def _counts(hashes: Column) -> Column:
+    """How many of the hashes have bit 0, 1, ... BITS - 1 set, for MOST_COUNT hashes at most: bit j + WIDTH * f is counted in
+    field f of the long s{j}."""
+    ones = F.lit(_ONES).cast("long")
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(WIDTH)])
+    return F.aggregate(hashes, zero, lambda acc, x: F.struct(*[(acc[f"s{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(ones)).alias(f"s{j}") for j in range(WIDTH)]))
+
+
+def fingerprint(hashes: Column, n: Column, longest: int) -> Column:
+    """The bits, of BITS, that are set in more than half of the n hashes (`longest` at most). More than MOST_COUNT hashes
+    are counted in parts."""
+    ones = F.lit(_ONES).cast("long")
+
+    def packed(acc: Column) -> Column:
+        lift = ones * ((1 << (WIDTH - 1)) - 1 - F.floor(F.least(n, F.lit(MOST_COUNT)) / 2)).cast("long")
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + lift, WIDTH - 1).bitwiseAND(ones), j) for j in range(WIDTH)])
+
+    def summed(parts: Column) -> Column:
+        def bit(b: int) -> Column:
+            count = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + F.shiftrightunsigned(p[f"s{b % WIDTH}"], b // WIDTH * WIDTH).bitwiseAND(F.lit(MOST_COUNT)))
+            return F.when(2 * count > n, F.lit(1 << b).cast("long")).otherwise(0)
+
+        return reduce(lambda a, b: a.bitwiseOR(b), [bit(b) for b in range(BITS)])
 
-        def finish(acc: Column) -> Column:
-            lift = ones * ((1 << (self.width - 1)) - 1 - F.floor(n / 2)).cast("long")
-            over = [F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + lift, self.width - 1).bitwiseAND(ones), j) for j in lanes]
-            return reduce(lambda a, b: a.bitwiseOR(b), over)
+    short = _once(_counts(hashes), packed)
+    if longest > MOST_COUNT:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(MOST_COUNT)), lambda at: _counts(F.slice(hashes, at, F.lit(MOST_COUNT))))
+        short = F.when(n <= MOST_COUNT, short).otherwise(_once(parts, summed))
+    return F.coalesce(short, F.lit(0).cast("long"))
 
-        return F.coalesce(_once(sums, finish), F.lit(0).cast("long"))
 
-    def blocks(self, fingerprint: Column, n_blocks: int) -> list[Column]:
-        """The fingerprint's bits in n_blocks runs."""
-        ends = [self.bits * b // n_blocks for b in range(n_blocks + 1)]
-        return [F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int") for a, b in zip(ends, ends[1:])]
+def blocks(fp: Column, n_blocks: int) -> list[Column]:
+    """The fingerprint's bits in n_blocks runs."""
+    ends = [BITS * b // n_blocks for b in range(n_blocks + 1)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int") for a, b in zip(ends, ends[1:])]
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
@@ -93,8 +106,12 @@ def bag_overlap(a: Column, b: Column) -> Column:
     return _once(a, shared)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table of the items."""
+    if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), keys)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -109,37 +126,39 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFram
 
 
 def _matches(docs: DataFrame, items: DataFrame, k: int, longest: int, radius: int) -> DataFrame:
-    lanes = _Lanes(longest)
     hashed = items.withColumn("bag", _shingles(F.col("hw"), k)).withColumn("m", F.size("bag"))
     few = F.col("m") - F.ceil(F.col("m") * (2 * NUM) / F.lit(float(NUM + DEN)) - F.lit(1e-9)) + 1
-    anchors = hashed.select("n", F.explode(F.slice(F.array_sort("bag"), F.lit(1), few.cast("int"))).alias("h")).distinct()
-    anchors = _few(anchors)
+    anchors = hashed.select("item_id", "n", F.explode(F.slice(F.array_sort("bag"), F.lit(1), few.cast("int"))).alias("h")).distinct()
 
     step = max(STRETCH, 8 * longest)
-    texts = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("hw"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("tx"), word_hashes(F.col("text")).alias("hw"))
     # outer, and without conditions on what is computed here: those would be computed a second time for the condition
-    stretches = texts.select("doc_id", F.explode_outer(F.transform(
+    stretches = texts.select("doc_id", "tx", F.explode_outer(F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("hw") - 1, F.lit(0)), F.lit(step)),
         lambda at: F.struct(at.alias("at"), F.slice(F.col("hw"), at + 1, F.lit(step + longest - 1)).alias("hw")),
-    )).alias("part")).select("doc_id", "part.at", "part.hw")
+    )).alias("part")).select("doc_id", "tx", "part.at", "part.hw")
     placed = stretches.withColumn("sh", _shingles(F.col("hw"), k)).withColumn("here", F.col("sh"))
-    hits = placed.select("doc_id", "at", "hw", "sh", F.posexplode_outer("here").alias("pos", "h")).join(anchors, "h")
+    hits = _met(placed.select("doc_id", "tx", "at", "hw", "sh", F.posexplode_outer("here").alias("pos", "h")), anchors, ["h"])
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("n") - k))
     near = hits.where(F.size("hw") - first >= F.col("n")).select(
-        "doc_id", "n", (F.col("at") + first).alias("at"), F.slice("hw", first + 1, 2 * F.col("n") - k).alias("hw"), F.slice("sh", first + 1, 2 * (F.col("n") - k) + 1).alias("sh")
+        "doc_id", "tx", "at", "item_id", "n", "pos", first.alias("first"), F.slice("hw", first + 1, 2 * F.col("n") - k).alias("hw"), F.slice("sh", first + 1, 2 * (F.col("n") - k) + 1).alias("sh")
     )
+    same_text = Window.partitionBy("doc_id", "tx", "at", "item_id").orderBy("pos")
+    before = F.lag("pos").over(same_text)
+    skipped = F.greatest(F.lit(0), F.coalesce(before, F.lit(-1)) + 1 - F.col("first"))
+    near = near.withColumn("skip", skipped).withColumn("last", F.least(F.col("pos") - F.col("first"), F.size("hw") - F.col("n"))).where("skip <= last")
 
-    windows = near.select("doc_id", "n", "at", "hw", "sh", F.explode(F.sequence(F.lit(0), F.size("hw") - F.col("n"))).alias("s"))
-    windows = windows.withColumn("fp", lanes.fingerprint(F.slice("hw", F.col("s") + 1, F.col("n")), F.col("n"))).drop("hw")
-    marks = hashed.withColumn("fp", lanes.fingerprint(F.col("hw"), F.col("n"))).select("item_id", "n", "fp", "bag")
+    windows = near.select("doc_id", "item_id", "n", (F.col("at") + F.col("first")).alias("at"), "hw", "sh", F.explode(F.sequence("skip", "last")).alias("s"))
+    windows = windows.withColumn("fp", fingerprint(F.slice("hw", F.col("s") + 1, F.col("n")), F.col("n"), longest)).drop("hw")
+    marks = hashed.withColumn("fp", fingerprint(F.col("hw"), F.col("n"), longest)).select("item_id", "fp", "bag")
 
     n_blocks = radius + 1
-    listed = lambda c: F.array(*lanes.blocks(c, n_blocks))
-    met = _few(marks.select("item_id", "n", F.col("fp").alias("item_fp"), "bag", F.posexplode(listed(F.col("fp"))).alias("block", "value")))
-    probes = windows.select("doc_id", "n", "at", "s", "sh", "fp", F.posexplode(listed(F.col("fp"))).alias("block", "value"))
+    listed = lambda c: F.array(*blocks(c, n_blocks))
+    met = marks.select("item_id", F.col("fp").alias("item_fp"), "bag", F.posexplode(listed(F.col("fp"))).alias("block", "value"))
+    probes = windows.select("doc_id", "item_id", "n", "at", "s", "sh", "fp", F.posexplode(listed(F.col("fp"))).alias("block", "value"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    earlier = reduce(lambda a, b: a | b, [(F.col("block") > b) & (x == 0) for b, x in enumerate(lanes.blocks(differ, n_blocks))])
-    close = probes.join(met, ["n", "block", "value"]).where((F.bit_count(differ) <= radius) & ~earlier)
+    earlier = reduce(lambda a, b: a | b, [(F.col("block") > b) & (x == 0) for b, x in enumerate(blocks(differ, n_blocks))])
+    close = _met(probes, met, ["item_id", "block", "value"]).where((F.bit_count(differ) <= radius) & ~earlier)
 
     own = F.slice("sh", F.col("s") + 1, F.col("n") - k + 1)
     shared = close.select("doc_id", "item_id", (F.col("at") + F.col("s")).cast("long").alias("first_word"), F.col("n").alias("n_words"), bag_overlap(own, F.col("bag")).alias("o"))
