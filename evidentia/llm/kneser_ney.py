@@ -14,8 +14,8 @@ an unseen word the chance of any. So the count tables, joined with each other, b
 a document's grams of all three orders, counted in the document, meet that table in one join dealt by gram, and the
 sum per document is its log-likelihood. Nothing passes through the driver but the number of rows behind some keys.
 
-No key is hot: training counts are summed before they move, documents count their own grams first, and at most
-1 / HOT_SHARE grams that hold more than that share of the counts are split over SALTS tasks (their table rows are copied).
+No key is hot: training counts are summed before they move, documents count their own grams first, and grams that hold
+a large share of the counts are split over several tasks (common.joined).
 
 A discount that the counts of counts leave open, or put at nothing, is half its count, so that no back-off weight is zero.
 
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import joined, slices, stored
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 _BREAK = re.compile(r"\s")
@@ -47,8 +47,6 @@ STEP = 1_000_000  # characters of a text taken at once
 BEGIN, END = np.uint64(1), np.uint64(2)
 FOLDS = 2
 QUANTILE = 0.99
-HOT_SHARE = 0.001
-SALTS = 32
 MOST_MODELS = 10_000
 EVERY = 0  # the key under which a document's predictions are counted
 
@@ -141,18 +139,6 @@ def gram_entries(docs: DataFrame) -> DataFrame:
     return docs.where("text <> ''").select("row", "m", "text").mapInArrow(listed, "row long, m long, key long, n long")
 
 
-def joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of rows with a table of one row per key. Keys of the table with at least HOT_SHARE of all weight are
-    split over SALTS tasks: at most 1 / HOT_SHARE of them, so the list of these is sent to all."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) >= F.lit(max(1.0, HOT_SHARE * total))
-    hot = table.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(table.withColumn("_salt", F.explode(salts)).drop(weight), [*keys, "_salt"]).drop("_salt")
-
-
 def _per_model(df: DataFrame, few: bool) -> DataFrame:
     """A table of one row per model, sent to all tasks where there are MOST_MODELS at most."""
     return F.broadcast(df) if few else df

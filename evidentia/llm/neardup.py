@@ -32,13 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import joined, slices, stored
 
 SHINGLE = 4
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
+GROUP = 256
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,49 +130,64 @@ def needed_overlap(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa"))
+    """The pairs (a, b) of stored pairs whose full sets reach the similarity. A document with many pairs is split."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")).join(many, "a")
     right = sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     close = both * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))
     possible = F.least(F.size("sa"), F.size("sb")) * DEN >= F.greatest(F.size("sa"), F.size("sb")) * NUM
-    return pairs.join(left, "a").join(right, "b").where(possible).where(close).select("a", "b").distinct()
+    return joined(pairs, left, ["a"], "n_pairs").join(right, "b").where(possible).where(close).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable. Rounds of taking the neighbours' least label and then the label's own
-    label, until nothing changes; each round is checkpointed."""
+    label, until nothing changes; each round is checkpointed. Nodes with many neighbours, and labels that many nodes
+    bear, are split."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count(F.lit(1)).alias("degree")).checkpoint()
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("new"))
-        above = labels.select(F.col("node").alias("new"), F.col("comp").alias("top"))
-        jumped = hooked.join(above, "new").select("node", F.least("new", "top").alias("comp"), (F.least("new", "top") < F.col("comp")).alias("changed")).checkpoint()
-        labels = jumped.select("node", "comp")
+        near = joined(both, labels.select(F.col("node").alias("b"), "comp", "degree"), ["b"], "degree")
+        seen = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        hooked = labels.join(seen, "node").select("node", "comp", "degree", F.least("comp", "near").alias("new")).checkpoint()
+        bearers = hooked.groupBy("new").agg(F.count(F.lit(1)).alias("n"))
+        above = labels.select(F.col("node").alias("new"), F.col("comp").alias("top")).join(bearers, "new")
+        low = F.least("new", "top")
+        jumped = joined(hooked, above, ["new"], "n").select("node", low.alias("comp"), "degree", (low < F.col("comp")).alias("changed")).checkpoint()
+        labels = jumped.drop("changed")
         if jumped.where("changed").limit(1).count() == 0:
-            return labels
+            return labels.drop("degree")
 
 
 def rare_first_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components among these sets that can reach the similarity: exact, by rare shingles.
 
     In the order from rare to common, the first shingle that two similar sets share has at most size - overlap others
-    before it in either. sets: doc_id, sh; labels: doc_id, comp.
+    before it in either. sets: doc_id, sh; labels: doc_id, comp. A shingle of more than GROUP documents is cut: by bands
+    of set sizes, of which similar sets lie in the same or the next, and into groups of GROUP on one side of the join.
     """
-    sized = sets.join(labels, "doc_id").join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size")), "comp")
-    listed = sized.select("doc_id", "comp", "comp_size", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    placed = listed.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")) - 1)
-    early = placed.where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9)))).drop("df")
-    at = early.groupBy("s").agg(F.max(F.struct("comp_size", "comp")).alias("top"), F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = at.where("lo <> hi").select("s", F.col("top.comp").alias("top"), "least")
+    comps = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
+    known = joined(labels, comps.withColumn("weight", F.col("comp_size")), ["comp"], "weight")
+    listed = sets.join(known, "doc_id").select("doc_id", "comp", "comp_size", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    shared = stored(listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
+    # shingles of one document only come first in its order; of these the number is enough
+    common = joined(listed, shared.withColumn("weight", F.col("df")), ["s"], "weight")
+    own = Window.partitionBy("doc_id")
+    placed = common.withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "s")) - 1)
+    early = stored(placed.where(F.col("n") - F.col("place") >= F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9))).drop("df"), "early-shingles")
+    at = early.groupBy("s").agg(F.max(F.struct("comp_size", "comp")).alias("top"), F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n_rows"))
+    mixed = stored(at.where("lo <> hi").select("s", F.col("top.comp").alias("top"), "least", "n_rows", F.ceil(F.col("n_rows") / GROUP).cast("int").alias("groups")), "mixed-shingles")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9)))
-    able = stored(early.join(mixed, "s").where(F.col("n") - F.col("place") >= needed_overlap(F.col("n"), smallest)), "rare-shingles")
-    x, y = able.where("comp <> top").alias("x"), able.alias("y")
+    able = stored(joined(early, mixed, ["s"], "n_rows").where(F.col("n") - F.col("place") >= needed_overlap(F.col("n"), smallest)), "rare-shingles")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(1e-9)).cast("int")
+    many = F.col("groups") > 1
+    x = able.where("comp <> top").withColumn("band", F.when(many, band).otherwise(0)).withColumn("group", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))
+    y = able.withColumn("band", F.explode(F.when(many, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0))))).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    x, y = x.alias("x"), y.alias("y")
     other = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id")))
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & other & (left >= needed_overlap(F.col("x.n"), F.col("y.n"))))
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.group") == F.col("y.group"))
+    met = x.join(y, same & other & (left >= needed_overlap(F.col("x.n"), F.col("y.n"))))
     return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
@@ -190,14 +206,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
     once = shingle_sets(texts).join(wanted, ["doc_id", "k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.first("cid").alias("cid"), F.first("sh").alias("sh"))
     sets = stored(once.select(F.col("cid").alias("doc_id"), "sh"), "sets")
-    stars = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = stored(members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
     edges = confirmed(stars, sets).checkpoint()
     labels = components(edges)
 
     labelled = members.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_buckets = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     open_docs = stored(labelled.join(open_buckets, "band", "left_semi").select(F.col("cid").alias("doc_id"), "comp").distinct(), "open")
-    more = confirmed(rare_first_pairs(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), open_docs), sets)
+    more = confirmed(stored(rare_first_pairs(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), open_docs), "rare-pairs"), sets)
     member = named.join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct()
     several = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("doc_id", "a")
     same = member.join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()

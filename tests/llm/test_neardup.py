@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from evidentia.llm import neardup
+from evidentia.llm import common, neardup
 
 
 def brute(rows):
@@ -44,6 +44,43 @@ def test_against_brute_force(spark):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_split_groups_change_nothing(spark, monkeypatch):
+    """Bands that see little leave nearly all to the exact join, whose shingles, hubs and labels are all split."""
+    monkeypatch.setattr(common, "HOT_SHARE", 0.01)
+    monkeypatch.setattr(common, "SALTS", 3)
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    monkeypatch.setattr(neardup, "bands", lambda own: np.array([len(own) % 2 + 1], np.uint64))
+    rnd = random.Random(8)
+    rows = []
+    for i in range(90):  # nine families over one common passage, of several sizes
+        words = [f"p{k}" for k in range(40)] + [f"f{i % 9}.{k}" for k in range(20 + 3 * (i % 9))]
+        for _ in range(rnd.choice([0, 1, 1, 2, 4])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    assert 5 < len({c for _, c in want.values()}) < 60
+
+
+def test_bands_meet_at_the_similarity():
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(1000):
+        values = np.unique(rng.integers(0, 1 << 63, 120, np.uint64))  # 80 of 100 shared
+        rng.shuffle(values)
+        a, b = values[:90], np.concatenate([values[:80], values[90:100]])
+        met += bool(set(neardup.bands(np.sort(a)).tolist()) & set(neardup.bands(np.sort(b)).tolist()))
+    assert met == 1000
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:299_000])), (3, " ".join(words[150_000:]))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_repeated_rows_keep_their_links(spark):
     base = [f"w{i}" for i in range(103)]  # 100 shingles
     near = base[:95] + [f"b{i}" for i in range(8)]  # shares 92
