@@ -31,7 +31,6 @@ LENGTH = 512
 PER_SHARD = 1 << 18  # records: 256 MB a shard
 PER_RUN = 256
 MOST_ID = 65_535
-MOST_SENT = 2_000_000  # two longs each
 PAD = 50256
 ROUNDS = 8
 
@@ -108,26 +107,25 @@ def sequences(docs: DataFrame, path: str | None, length: int = LENGTH) -> DataFr
     return rows.mapInArrow(cut, "row long, doc_id long, digest long, seq_no long, n_tokens long, n_records long, record binary")
 
 
-def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD, most_sent: int = MOST_SENT) -> DataFrame:
+def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD) -> DataFrame:
     """Adds index, slot, shard and offset (record number inside the shard) to sequences.
 
     Indexes follow (doc_id, digest of the text, seq_no), whatever the partitions of the input: documents are put in
-    order over a range partitioning and the numbers of their records summed up. Each document's first index is sent to
-    all tasks if there are most_sent documents at most; beyond that the records are shuffled once more to meet it.
+    order over a range partitioning and the numbers of their records summed up; the records meet their document's first
+    index in a join by a number of the row, so no key has more than one text's records.
     """
     placed = stored(made, "sequences")
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = placed.where("seq_no = 0").select("doc_id", "digest", "row", "n_records")
     order = ["doc_id", "digest", "row"]
     ordered = stored(firsts.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "documents-in-order")
-    sums = ordered.groupBy("part").agg(F.sum("n_records").alias("own"), F.count(F.lit(1)).alias("docs"))
-    size, n_docs = sums.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    sums = ordered.groupBy("part").agg(F.sum("n_records").alias("own"))
+    size = sums.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = sums.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
     inside = F.sum("n_records").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base = ordered.join(F.broadcast(starts), "part").select("row", (F.col("start") + inside - F.col("n_records")).alias("base"))
-    base = F.broadcast(base) if n_docs <= most_sent else base.hint("merge")
-    indexed = placed.join(base, "row").withColumn("index", F.col("base") + F.col("seq_no")).drop("base", "row", "digest", "n_records")
+    indexed = placed.join(base.hint("merge"), "row").withColumn("index", F.col("base") + F.col("seq_no")).drop("base", "row", "digest", "n_records")
 
     return indexed.withColumn("slot", _permuted(F.col("index"), size, key)).withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("offset", F.expr(f"slot % {per_shard}"))
 

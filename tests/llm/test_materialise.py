@@ -15,9 +15,9 @@ def test_slots_permute():
 ROWS = [(i, "ab" * i) for i in range(40)] + [(5, "ab" * 5), (5, "other"), (None, "x"), (99, None), (98, ""), (100, "long text " * 300)]
 
 
-def placed(spark, parts, most_sent=m.MOST_SENT):
+def placed(spark, parts):
     docs = spark.createDataFrame(ROWS[::-1] if parts > 1 else ROWS, "doc_id long, text string").selectExpr("*", "0 AS slot", "1 AS row").repartition(parts)
-    return m.in_training_order(m.sequences(docs, None, length=8), 3, 16, most_sent)
+    return m.in_training_order(m.sequences(docs, None, length=8), 3, 16)
 
 
 def test_shards(spark, tmp_path):
@@ -52,7 +52,7 @@ def test_same_slots_whatever_the_partitions(spark):
     def seen(df):
         return sorted((r["slot"], r["index"], -1 if r["doc_id"] is None else r["doc_id"], r["seq_no"], bytes(r["record"])) for r in df.collect())
 
-    assert seen(placed(spark, 1)) == seen(placed(spark, 7)) == seen(placed(spark, 7, most_sent=0))
+    assert seen(placed(spark, 1)) == seen(placed(spark, 7))
 
 
 def test_wide_vocabularies_are_refused(spark, monkeypatch):
