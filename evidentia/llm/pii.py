@@ -6,16 +6,20 @@ linked; different ones stay different; and who has the key can invert the permut
 
     card      13 to 19 digits that pass the Luhn check (the pseudonym passes it too)
     iban      country, check digits and account that pass mod 97 (so does the pseudonym)
-    phone     +country (area) number, +country and 7 to 12 digits, or (area) number: digits only change
+    phone     +country (area) number, +country and 7 to 12 digits, or (area) number: digits only change, to the same
+              ones however they are grouped, with the country's code or without
     ssn       ddd-dd-dddd with valid parts
-    ip        four numbers up to 255
+    ip        four numbers up to 255, none or all of them filled up to three digits with zeros
     date      yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy with a real day from 1900 to 2099
-    email     letters and digits of the part before @; the domain stays
+    email     letters and digits of the part before @, in any script; the domain stays
     secret    32 or more hexadecimal digits in one run, in a text with a decimal digit
 
+As with any permutation, a value may be its own pseudonym, by chance of one in the number of its format's values; for a
+name of one letter that is one in 26. Such a value is listed as replaced all the same.
+
 Numbers that fail their check (other 16-digit numbers, 300.1.1.1, 31.02.2020) are left alone.
 
-Defined cases: a null text stays null with no spans; equal rows get equal results; an empty table gives no rows; other
+Defined cases: a null text stays null with no spans; a long text is scanned as a whole, in time that grows with it; equal rows get equal results; an empty table gives no rows; other
 columns pass through; a column named like an output is replaced by it.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,18 +44,24 @@ ROUNDS = 10
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
+ALPHABETS = ["0123456789", LOWER, LOWER.upper(), ACCENTED, "".join(c.upper() for c in ACCENTED if len(c.upper()) == 1)]
+#: First and last code points of scripts that are one alphabet: ideographs, Hangul syllables.
+WIDE = [(0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+BLOCK = 128  # of any other script, the letters of one kind in such a run of code points are an alphabet
+#: Country codes of two digits; 1 and 7 are the codes of one, all others have three.
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _EMAIL = re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBERS = re.compile(
     r"""(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-f]{32}|[0-9A-F]{32})[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))
-    |(?P<date>(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?![\d/-]|\.\d))
-    |(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))
-    |(?P<ssn>(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-]))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3,4}[ -]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)|(?<!\w)\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d))
-    |(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))""",
+    |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9][0-9]-[0-9][0-9]|[0-9][0-9][./][0-9][0-9][./][0-9]{4})(?![0-9/-]|\.[0-9]))
+    |(?P<ip>(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9]))
+    |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?![0-9-]))
+    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9])|(?<!\w)\([0-9]{3}\)[ -]?[0-9]{3}-[0-9]{4}(?![0-9]))
+    |(?P<card>(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))""",
     re.X,
 )
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 #: Characters of an IBAN by country, without spaces.
 _IBAN_SIZES = {
     country: size
@@ -101,10 +112,25 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(at) if c.isdigit() else c for c in shape)
 
 
+@lru_cache(1 << 12)
+def alphabet(c: str) -> str:
+    """The characters among which c may be changed: every one of them has the same alphabet. Empty for what is neither a
+    letter nor a digit."""
+    for known in ALPHABETS:
+        if c in known:
+            return known
+    if not (c.isalpha() or c.isdecimal()):
+        return ""
+    for first, last in WIDE:
+        if first <= ord(c) <= last:
+            return "".join(map(chr, range(first, last + 1)))
+    start, kind = ord(c) // BLOCK * BLOCK, unicodedata.category(c)
+    return "".join(d for d in map(chr, range(start, start + BLOCK)) if unicodedata.category(d) == kind and not any(d in known for known in ALPHABETS))
+
+
 def _mixed_radix(text: str, key: bytes, invert: bool) -> str:
-    """Permutes characters of known alphabets within these; others stay where they are."""
-    kinds = ["0123456789", LOWER, LOWER.upper(), ACCENTED, ACCENTED.upper()[:-1]]
-    own = [next((k for k in kinds if c in k), "") for c in text]
+    """Permutes characters within their alphabets; others stay where they are."""
+    own = [alphabet(c) for c in text]
     size, value = 1, 0
     for c, k in zip(text, own, strict=True):
         if k:
@@ -135,7 +161,8 @@ def pseudonym(kind: str, found: str, key: bytes, invert: bool = False) -> str |
         body = str(feistel(int(digits[:-1]), 10 ** (len(digits) - 1), own, invert=invert)).zfill(len(digits) - 1)
         return _fill(found, body + str(_luhn(body)))
     if kind == "phone":
-        code = len(re.match(r"\+(\d{1,3})[ (-]", found)[1]) if re.match(r"\+(\d{1,3})[ (-]", found) else 0
+        # by the code's own length, not by the spelling: a number has one pseudonym however its digits are grouped
+        code = 0 if found[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
         body = str(feistel(int(digits[code:]), 10 ** (len(digits) - code), own, invert=invert)).zfill(len(digits) - code)
         return _fill(found, digits[:code] + body)
     if kind == "ssn":
@@ -147,11 +174,16 @@ def pseudonym(kind: str, found: str, key: bytes, invert: bool = False) -> str |
         at, group = divmod(value, 99)
         return f"{area[at]:03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "ip":
-        parts = [int(p) for p in found.split(".")]
-        if max(parts) > 255:
+        parts = found.split(".")
+        padded = any(p[0] == "0" and p != "0" for p in parts)
+        if max(map(int, parts)) > 255 or padded and any(len(p) != 3 for p in parts):
             return None
-        value = feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, own, invert=invert)
-        return ".".join(map(str, value.to_bytes(4, "big")))
+        value = int.from_bytes(bytes(map(int, parts)), "big")
+        while True:  # an address with all parts filled up with zeros becomes another one of these
+            value = feistel(value, 1 << 32, own, invert=invert)
+            new = [f"{x:03d}" if padded else str(x) for x in value.to_bytes(4, "big")]
+            if not padded or any(p[0] == "0" for p in new):
+                return ".".join(new)
     if kind == "date":
         year, month, day = (found[:4], found[5:7], found[8:]) if found[4] == "-" else (found[6:], found[3:5], found[:2])
         try:
@@ -179,9 +211,6 @@ def pseudonym(kind: str, found: str, key: bytes, invert: bool = False) -> str |
     return f"{feistel(int(found, 16), 16 ** len(found), own, invert=invert):0{len(found)}{'x' if alphabet[-1] == 'f' else 'X'}}"
 
 
-_known = lru_cache(1 << 16)(pseudonym)
-
-
 def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
     """Valid IBANs. Capitals and digits that follow may look like further groups: an IBAN ends at its country's length,
     or else where the match does, or else, for a country without a known length, at the last border where it is valid."""
@@ -219,7 +248,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     """The text with pseudonyms, and (kind, start, end) of each in it."""
     parts, spans, at, shift = [], [], 0, 0
     for start, end, kind in find(text):
-        new = _known(kind, text[start:end], key)
+        new = pseudonym(kind, text[start:end], key)
         if new is None:
             continue
         parts += [text[at:start], new]

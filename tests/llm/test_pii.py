@@ -1,3 +1,4 @@
+import datetime
 import re
 
 from hypothesis import given, settings
@@ -41,6 +42,49 @@ def test_formats():
             assert value not in text
 
 
+def test_names_in_any_script_are_permuted_and_back():
+    for name in ("ÝxÝ", "иван.Петров", "王伟", "김철수", "αλέξης", "محمد", "ßßß", "ŁukaszŽ", "þórð", "דוד9"):
+        mail = name + "@a.org"
+        new = pii.pseudonym("email", mail, KEY)
+        assert new != mail and len(new) == len(mail) and pii.pseudonym("email", new, KEY, invert=True) == mail, (mail, new)
+        text, spans = pii.pseudonymised(f"to {mail}.", KEY)
+        assert text == f"to {new}." and [k for k, _, _ in spans] == ["email"]
+    for c in "aZ9éÉЖжß王가אب":
+        assert all(pii.alphabet(d) == pii.alphabet(c) for d in pii.alphabet(c)[:300]) and c in pii.alphabet(c)
+
+
+def test_small_formats_are_permuted_one_to_one():
+    names = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    assert sorted(pii.pseudonym("email", f"{n}@x.org", KEY)[:2] for n in names) == sorted(names)
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(73049)]
+    assert sorted(pii.pseudonym("date", d, KEY) for d in days[:73049:1]) == days
+    assert {pii.pseudonym("date", d[8:] + "." + d[5:7] + "." + d[:4], KEY)[6:] == pii.pseudonym("date", d, KEY)[:4] for d in days[::997]} == {True}
+
+
+def test_one_number_has_one_pseudonym_however_it_is_written():
+    digits = lambda t: re.sub(r"[^0-9]", "", t)
+    same = ["+49 30 1234 5678", "+493012345678", "+49 (301) 2345 678"]
+    assert len({digits(pii.pseudonym("phone", x, KEY)) for x in same}) == 1
+    us = ["+1 (443) 555-5793", "+14435555793", "(443) 555-5793"]
+    assert len({digits(pii.pseudonym("phone", x, KEY))[-10:] for x in us}) == 1
+    for x in same + us + ["+351 21 123 4567", "+7 912 345 6789"]:
+        new = pii.pseudonym("phone", x, KEY)
+        assert new != x and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", x) and pii.pseudonym("phone", new, KEY, invert=True) == x
+
+
+def test_addresses_keep_their_zeros():
+    for x in ("010.001.002.003", "000.000.000.000", "10.1.2.3"):
+        new = pii.pseudonym("ip", x, KEY)
+        assert pii.pseudonym("ip", new, KEY, invert=True) == x and (len(new) == 15 and any(p[0] == "0" for p in new.split(".")) or x == "10.1.2.3")
+    assert pii.pseudonym("ip", "10.01.2.3", KEY) is None
+
+
+def test_long_text():
+    mail = "und.34@mail7.example.com"
+    text, spans = pii.pseudonymised(("word 12 a@b " * 200_000) + mail, KEY)
+    assert len(spans) == 1 and text.endswith(pii.pseudonym("email", mail, KEY))
+
+
 def test_ibans_before_capitals_and_numbers():
     es, at, be = "ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034"
     for iban, after in ((es, " AND"), (es, " 12"), (es, " IBAN 12"), (at, " IBAN"), (be, " IS"), (be, " AB12 CD"), ("BE68539007547034", " " + es)):
