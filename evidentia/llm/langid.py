@@ -5,8 +5,10 @@ word comes from one of the languages, with likelihoods from its trigrams, and ex
 document's proportions. Every set of the k likeliest languages is refitted, and the set with the best log-likelihood,
 less a penalty per language that grows with the logarithm of the words, is the document's languages.
 
-The model is a table of languages x N_BUCKETS trigram buckets (trigrams are hashed into the buckets), so its size
-does not depend on the corpus; its counts do. A document's words meet in one row, as its text does.
+The model is a table of languages x N_BUCKETS trigram buckets of four bytes (trigrams are hashed into the buckets), so
+its size does not depend on the corpus; its counts do. It has MOST_LANGUAGES languages at most, which makes 134 MB in the
+driver and in each worker; a corpus with more labels is refused, not cut. A document's words meet in one row, as its
+text does; a long text is taken in steps that end where no letter stands.
 
 Defined cases: a text that is null or has no letter, or a model without languages, gives `und` with score 0; equal
 rows get equal results; ties go to the language that comes first by name; an empty table gives no rows; only the named
@@ -15,6 +17,7 @@ columns are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, stored
 
 N_BUCKETS = 1 << 17
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 256
+STEP = 1_000_000  # characters
 ROUNDS = 12
 PENALTY = 2.0  # times half the logarithm of the number of words, per further language
 SMOOTHING = 0.05
@@ -89,23 +92,47 @@ class Model:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """The driver receives the summed table: MOST_LANGUAGES x N_BUCKETS rows at most, whatever the corpus."""
-    rows = trigram_counts(labelled).toPandas()
-    languages = sorted(set(rows["lang"]))
+    """The counts of a language are packed into one row (N_BUCKETS longs) before they reach the driver, one partition of
+    languages after another."""
+    counts = stored(trigram_counts(labelled), "trigram-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model holds {MOST_LANGUAGES}")
-    table = np.zeros((N_BUCKETS, len(languages)))
-    table[rows["bucket"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = rows["n"]
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+
+    def packed(rows: pa.Table) -> pa.Table:
+        n = np.zeros(N_BUCKETS, np.int64)
+        n[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+
+    table = np.zeros((N_BUCKETS, len(languages)), np.float32)
+    for row in counts.groupBy("lang").applyInArrow(packed, "lang string, n binary").toLocalIterator():
+        table[:, languages.index(row["lang"])] = np.frombuffer(row["n"], np.int64)
     seen = max(int((table.sum(axis=1) > 0).sum()), 1)
-    log_p = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * 2 * seen))
-    return Model(languages, log_p.astype(np.float32))
+    totals = table.sum(axis=0, dtype=np.float64) + SMOOTHING * 2 * seen
+    table += np.float32(SMOOTHING)
+    np.log(table, out=table)
+    table -= np.log(totals).astype(np.float32)
+    return Model(languages, table)
+
+
+_NO_LETTER = re.compile(r"[\W\d_]")
+
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in steps of STEP characters and what follows up to the next place without a letter."""
+    at = 0
+    while at < len(text):
+        m = _NO_LETTER.search(text, at + STEP)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
-def word_likelihoods(text: str, log_p: np.ndarray, step: int = 1_000_000) -> np.ndarray:
-    """Word x language: likelihoods up to a factor per word. A long text is taken in steps, a word at a step's edge as two."""
+
+def word_likelihoods(text: str, log_p: np.ndarray) -> np.ndarray:
+    """Word x language: likelihoods up to a factor per word."""
     parts = []
-    for at in range(0, len(text), step):
-        buckets, starts = trigrams(text[at : at + step])
+    for part in pieces(text):
+        buckets, starts = trigrams(part)
         if len(starts):
             parts.append(np.add.reduceat(log_p[buckets], starts, axis=0))
     log_l = np.concatenate(parts) if parts else np.zeros((0, log_p.shape[1]), np.float32)
@@ -147,28 +174,34 @@ def _judged(texts: list[str | None], languages: list[str], log_p: np.ndarray) ->
     return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
 
 
+def _chars(model: Model) -> int:
+    """Characters of a slice: fewer with many languages, as each word has a likelihood for each."""
+    return max(10_000, 4_000_000 // max(4, len(model.languages)))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (its proportion), and the language set with its proportions."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, most_chars=1_000_000):
+        for batch, texts in slices(batches, most_chars=_chars(model)):
             names = ["doc_id", "lang_pred", "score", "languages", "proportions"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_judged(texts, *sent.value)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, f"doc_id long, {SCHEMA}")
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """The table itself with _lang_pred and _score; no join brings them together."""
+def predominant(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """The rows of the table, whatever its columns, in which one language has at least this share of the words; no join
+    brings them together with what was found."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, most_chars=1_000_000):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_judged(texts, *sent.value)[:2]], names=[*batch.schema.names, "_lang_pred", "_score"])
+        for batch, texts in slices(batches, most_chars=_chars(model)):
+            pred, score, *_ = _judged([None if t is None else str(t) for t in texts], *sent.value)
+            yield batch.filter(pa.array([p != UNDETERMINED and x >= least_share for p, x in zip(pred.to_pylist(), score.to_pylist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(judged, schema)
+    return docs.mapInArrow(judged, docs.schema)
 
 
 def best_sets(likelihoods: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
