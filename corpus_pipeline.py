@@ -3,6 +3,11 @@
 Each stage takes the whole of what its predecessor kept. All but the last return the columns of documents; a stage
 reads only the columns it names and passes the others on. What goes grows with the documents, so it meets them in a
 join that deals both by doc_id, whatever the size.
+
+Defined cases: a null text, or one without a letter, has no language and goes at the first stage; a row without a doc_id
+is in no group of copies and holds no passage that could be told of it, and stays; repeated rows stay or go together; an
+empty table gives no rows at any stage; further columns, whatever their names, pass through all stages but the last; long
+texts are taken whole by every stage.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a predominant language; the model is trained on the labelled documents it is given."""
     ship_package(spark)
     model = langid.fit(docs.where(~F.coalesce(queries.held_out(), F.lit(False))))
-    return langid.annotate(docs, model).where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SHARE)).select(*docs.columns)
+    return langid.predominant(docs, model, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
