@@ -283,17 +283,17 @@ def _encoded(docs: DataFrame, path: str, leaf_chars: int, schema: str, result) -
     def whole(key: tuple, leaves: pd.DataFrame) -> pd.DataFrame:
         codec = Codec.of(path)
         leaves = leaves.sort_values("no", kind="stable")
-        copies = int((leaves["no"] == 0).sum())  # repeated rows share a key and have equal leaves
-        parts = [(t, np.frombuffer(i, np.uint32)) for t, i in zip(leaves["leaf"][::copies], leaves["ids"][::copies], strict=True)]
+        parts = [(t, np.frombuffer(i, np.uint32)) for t, i in zip(leaves["leaf"], leaves["ids"], strict=True)]
         found = result(codec, None if pd.isna(key[0]) else int(key[0]), codec.concatenated(parts))
-        return pd.DataFrame([found] * copies, columns=names)
+        return pd.DataFrame([found] * int(leaves["copies"].iloc[0]), columns=names)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.where(long).select(
         "doc_id", F.xxhash64("text").alias("digest"), F.char_length("text").alias("n"),
         F.explode(F.expr(f"transform(sequence(0, (char_length(text) - 1) div {leaf_chars}), i -> struct(i AS no, substring(text, i * {leaf_chars} + 1, {leaf_chars}) AS leaf))")).alias("part"),
     ).select("doc_id", "digest", "n", "part.no", "part.leaf")
-    dealt = cut.repartition(parts, "doc_id", "digest", "no")
-    encoded = dealt.mapInArrow(leaf_ids, "doc_id long, digest long, n int, no long, leaf string, ids binary")
+    # equal rows are one until the end; rows without a doc_id are told apart by their texts
+    dealt = cut.repartition(parts, "doc_id", "digest", "no").groupBy("doc_id", "digest", "n", "no").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("copies"))
+    encoded = dealt.mapInArrow(leaf_ids, "doc_id long, digest long, n int, no long, leaf string, copies long, ids binary")
     joined = encoded.groupBy("doc_id", "digest", "n").applyInPandas(whole, schema)
     return rows.where(~long).mapInArrow(short_texts, schema).unionByName(joined)

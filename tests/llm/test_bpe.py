@@ -58,9 +58,30 @@ def test_documents(docs):
 
 def test_counts(docs):
     found = {r["doc_id"]: r for r in token_counts.count_documents(docs, PATH, limit=5).collect()}
-    table = token_counts.prefix_counts(docs, PATH)
+    table = token_counts.prefix_counts(token_counts.prefix_table(docs, PATH))
     asked = table.select("doc_id", token_counts.tokens_in(table["counts"], table["n_bytes"]).alias("n"), token_counts.chars_within(table["counts"], 5).alias("fits"))
     for r in asked.collect():
         assert (r["n"], r["fits"]) == (found[r["doc_id"]]["n_tokens"], found[r["doc_id"]]["fits_chars"])
     assert found[2]["n_tokens"] == 0 and not found[2]["over_limit"] and found[1]["over_limit"]
     assert token_counts.count_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_steps_of_any_width():
+    for counts, width in (([1, 2, 129, 3], 1), ([1, 2, 131, 3], 2), ([1, 40_000, 2], 4), ([], 1)):
+        found, steps = token_counts.packed(np.array(counts, np.int32))
+        assert found == width and token_counts._counts(steps, found).tolist() == counts
+
+
+def test_repeated_long_rows(spark):
+    rows = [(None, "b" * 200)] * 3 + [(None, "c d " * 60), (4, "b" * 200), (4, "b" * 200), (4, "e" * 200)]
+    found = bpe.digest_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, leaf_chars=50).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in found) == sorted((str(d), sha(t)) for d, t in rows)
+
+
+def test_very_long_text(spark):
+    text = "the cat sat on the mat " * 30_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = token_counts.count_documents(docs, PATH).first()
+    assert (found["n_tokens"], found["n_bytes"], found["over_limit"]) == (len(library(text)), len(text), True)
+    assert bpe.digest_documents(docs, PATH).first()["n_tokens"] == len(library(text))
