@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
-from .common import shared_folder, table
+from .common import shared_folder, stored, table
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -91,7 +91,7 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.ledger(table(spark, sf_dir, "documents"))
+    ledger = stored(quality.ledger(table(spark, sf_dir, "documents")), "rule-ledger")
     return ledger.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes("base")).alias("base_failed"), quality.passes("v2").alias("kept"),

@@ -5,11 +5,11 @@ prefix; a token t ends the encoding of w[:i] if and only if the last token of w[
 themselves as a pair. So one pass over a word gives the token count of each of its prefixes. Splits of the
 pre-tokenizer make counts of words add up, and the table of a word is kept and used again.
 
-The stored table (`prefix_counts`, one count per character) answers how many tokens a truncated text has, and how much
-of a text fits a budget, by lookup.
+The stored table (`prefix_table`, the change of the count at each character, in bytes where these do) answers how many
+tokens a truncated text has, and how much of a text fits a budget, without encoding anything again.
 
-Defined cases: a null text is an empty one (0 tokens); equal rows get equal results; an empty table gives no rows; only
-doc_id and text are read.
+Defined cases: a null text is an empty one (0 tokens); equal rows get equal results; a long text is a long row of steps;
+an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _BEYOND, MOST_KEPT, Codec, UnsureSplit, Words
-from .common import slices
+from .common import slices, stored
 
 #: The splits for characters up to U+052F, white space spelt out.
 _SPLIT = regex.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xA0\p{L}\p{N}]+|[\t-\r \x85\xA0]+(?![^\t-\r \x85\xA0])|[\t-\r \x85\xA0]+""")
@@ -163,20 +163,48 @@ class Prefixes:
         return bytes(counts), done
 
 
-def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_bytes and `counts`: counts[i] is the token count of the first i + 1 characters."""
+def prefix_table(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes, width and `steps`: by how much the token count changes at each character, as little-endian
+    integers of `width` bytes, the least that hold the text's steps."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes.of(path)
-        for batch, texts in slices(batches, most_chars=1_000_000):
-            found = [prefixes.of_text(t) for t in texts]
-            ends = np.cumsum([0, *map(len, found)])
-            counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
-            n_bytes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, counts], names=["doc_id", "n_bytes", "counts"])
+        for batch, texts in slices(batches):
+            n_bytes, widths, steps = [], [], []
+            for text in texts:
+                width, own = packed(prefixes.of_text(text))
+                n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
+                widths.append(width)
+                steps.append(own)
+            columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(widths, pa.int32()), pa.array(steps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "width", "steps"])
+
+    return rows.mapInArrow(counted, "doc_id long, n_bytes long, width int, steps binary")
+
+
+def packed(counts: np.ndarray) -> tuple[int, bytes]:
+    steps = np.diff(counts, prepend=0)
+    most = int(np.abs(steps).max()) if len(steps) else 0
+    width = 1 if most < 1 << 7 else 2 if most < 1 << 15 else 4
+    return width, steps.astype(f"<i{width}").tobytes()
+
+
+def _counts(steps: bytes, width: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, f"<i{width}"), dtype=np.int64)
+
 
-    return rows.mapInArrow(counted, "doc_id long, n_bytes long, counts array<int>")
+def prefix_counts(table: DataFrame) -> DataFrame:
+    """The table with `counts` for its steps: counts[i] is the token count of the first i + 1 characters."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = _counts(batch.column("steps")[i].as_py(), batch.column("width")[i].as_py())
+                columns = [batch.column("doc_id").slice(i, 1), batch.column("n_bytes").slice(i, 1), pa.array([own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "counts"])
+
+    return table.mapInArrow(unpacked, "doc_id long, n_bytes long, counts array<long>")
 
 
 def tokens_in(counts: Column, n_chars: Column) -> Column:
@@ -192,27 +220,24 @@ def chars_within(counts: Column, budget: int) -> Column:
 
 
 def count_documents(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fits_chars (the characters that the limit leaves room for).
+    """doc_id, n_bytes, n_tokens, over_limit, and fits_chars (the characters that the limit leaves room for), from the
+    table of all documents, which is stored once: other limits or lengths need only another look at it."""
+    return within(stored(prefix_table(docs, path), "prefix-table"), limit)
 
-    The same answers as tokens_in and chars_within over prefix_counts, read off where the table of a text is made, so
-    that whole tables need not be moved to be asked two questions.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def within(table: DataFrame, limit: int) -> DataFrame:
+    """The answers of tokens_in (the whole text) and chars_within for every row of a stored prefix_table."""
     names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes.of(path)
-        for batch, texts in slices(batches):
-            n_bytes, n_tokens, fits = [], [], []
-            for text in texts:
-                counts = prefixes.of_text(text)
-                n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
+        for batch in batches:
+            n_tokens, fits = [], []
+            for steps, width in zip(batch.column("steps"), batch.column("width").to_pylist(), strict=True):
+                counts = _counts(steps.as_buffer(), width)
                 n_tokens.append(int(counts[-1]) if len(counts) else 0)
-                within = np.flatnonzero(counts <= limit)
-                fits.append(int(within[-1]) + 1 if len(within) else 0)
-            over = pa.array([n > limit for n in n_tokens], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), over, pa.array(fits, pa.int64())], names=names
-            )
-
-    return rows.mapInArrow(asked, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+                inside = np.flatnonzero(counts <= limit)
+                fits.append(int(inside[-1]) + 1 if len(inside) else 0)
+            own = [pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *own], names=names)
+
+    return table.mapInArrow(asked, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
