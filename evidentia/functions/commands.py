@@ -7,6 +7,7 @@ A command that a shell would do more with than split it (operators, expansions,
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,14 @@ def test_command(df: DataFrame, command: str) -> DataFrame:
     return known.withColumns({c: F.coalesce(F.col(f"_f.{c}"), F.lit("unknown")) for c in ("runner", "scope")}).drop("_w", "_f")
 
 
+def calls(command: Column, program: str, module: str, subcommands: list[str]) -> Column:
+    """Whether a command is a call of the named program (or python -m module) with one of its subcommands, so that an
+    observer can leave its own calls out; variables may be set before it."""
+    names = "|".join(map(re.escape, subcommands))
+    start = _p(rf"\A(?:(?:@*/)?env )?(?:[A-Za-z_]\w*=@* )*(?:@*/)?(?:{re.escape(program)}|python[0-9.]* -m {re.escape(module)}) (?:{names}) ")
+    return F.coalesce(laid_out(command).rlike(start), F.lit(False))
+
+
 # Program -> options whose value is the word after them, and whether its first operand is no file.
 READERS = {"cat": ("", False), "head": ("-n|-c", False), "tail": ("-n|-c", False), "sed": ("", True), "rg": ("-g|-e|-m|-A|-B|-C", True)}
 _TARGET = r"\s>>?\s*([^\s'\"]+)\s*\z"

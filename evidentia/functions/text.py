@@ -89,3 +89,20 @@ def wrapper_outcome(text: Column) -> dict[str, Column]:
         "outcome": F.when(lowered.contains("script completed"), "success").when(failed, "failed").otherwise("unknown"),
         "latency_ms": F.when(number != "", F.round(number.cast("double") * factor).cast("long")),
     }
+
+
+# States as they are told, and what they mean for a turn.
+STATES = ("in_progress", "completed", "failed", "interrupted", "cancelled", "declined", "success")
+BROKEN_OFF = ("interrupted", "cancelled")
+STARTS = ("turn_started", "conversation_started", "user_prompt")
+
+
+def status(value: Column) -> Column:
+    """A known state, or unknown."""
+    plain = F.replace(value, F.lit("inProgress"), F.lit("in_progress"))
+    return F.when(plain.isin(*STATES), plain).otherwise("unknown")
+
+
+def lifecycle(kind: Column, state: Column) -> Column:
+    """What an event does to its turn: started, completed or aborted; null for any other event."""
+    return F.when(kind.isin(*STARTS), "started").when(kind == "turn_completed", F.when(state.isin(*BROKEN_OFF), "aborted").otherwise("completed"))

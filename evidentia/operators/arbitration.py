@@ -61,11 +61,16 @@ def zip_families(events: DataFrame, keys: list[str], instant: str, family_rank:
 
 
 def split_inserts(known: DataFrame, arriving: DataFrame, key: str, content: list[str]) -> DataFrame:
-    """Each arriving row's outcome: inserted (a new key), duplicate (the same content) or conflicting."""
-    digest = lambda prefix: F.sha2(F.to_json(F.struct(*[F.col(c) for c in content])), 256)
-    old = known.select(key, digest("").alias("_old"))
-    rows = arriving.withColumn("_new", digest("")).join(old, key, "left")
-    return rows.withColumn("outcome", F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") == F.col("_new"), "duplicate").otherwise("conflicting")).drop("_old", "_new")
+    """Each arriving row's outcome: inserted (the first row of a new key), duplicate (the content that its key has) or
+    conflicting. Of several rows of a new key the one with the least content digest counts as first; a known key with
+    several contents has the one with the least digest."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in content])), 256)
+    old = known.groupBy(key).agg(F.min(digest).alias("_old"))
+    own = Window.partitionBy(key).orderBy("_new")
+    rows = arriving.withColumn("_new", digest).withColumns({"_first": F.first("_new").over(own), "_at": F.row_number().over(own)}).join(old, key, "left")
+    inserted = F.col("_old").isNull() & (F.col("_at") == 1)
+    same = F.col("_new") == F.coalesce("_old", "_first")
+    return rows.withColumn("outcome", F.when(inserted, "inserted").when(same, "duplicate").otherwise("conflicting")).drop("_old", "_new", "_first", "_at")
 
 
 def unchanged(listing: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:

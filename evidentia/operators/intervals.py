@@ -18,15 +18,40 @@ def valid(intervals: DataFrame) -> DataFrame:
     return intervals.where("start IS NOT NULL AND (end IS NULL OR end > start)")
 
 
+def _latest(events: DataFrame, intervals: DataFrame, keys: list[str], place: Column, start: Column, end: Column) -> DataFrame:
+    """Adds to each event `_iv`: of the intervals that start at or before it the latest (start, end, label), and how far
+    the ones before that reach (`until`, `unending`). One sort over both sides together. Adds `_place` and `_holds` too."""
+    known = intervals.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    earlier = Window.partitionBy(*keys).orderBy("_place", "label").rowsBetween(Window.unboundedPreceding, -1)
+    marks = known.select(*keys, start.alias("_place"), end.alias("_end"), "label").withColumn("_iv", F.struct(
+        F.col("_place").alias("start"), F.col("_end").alias("end"), "label", F.max("_end").over(earlier).alias("until"), F.coalesce(F.bool_or(F.col("_end").isNull()).over(earlier), F.lit(False)).alias("unending")))
+    kind = marks.schema["_iv"].dataType
+    probes = events.withColumns({"_place": place, "_iv": F.lit(None).cast(kind), "_probe": F.lit(1)})
+    lined = marks.select(*[F.col(c) if c in keys else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns], "_place", "_iv", F.lit(0).alias("_probe"))
+    so_far = Window.partitionBy(*keys).orderBy("_place", "_probe", F.col("_iv.label")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = probes.unionByName(lined).withColumn("_iv", F.last("_iv", ignorenulls=True).over(so_far)).where("_probe = 1").drop("_probe")
+    holds = F.col("_iv").isNotNull() & (F.col("_iv.end").isNull() | (F.col("_place") < F.col("_iv.end")))
+    others = F.col("_iv").isNotNull() & (F.col("_iv.unending") | F.coalesce(F.col("_place") < F.col("_iv.until"), F.lit(False)))
+    return met.withColumns({"_holds": holds, "_others": others})
+
+
 def attribute(events: DataFrame, intervals: DataFrame, keys: list[str], at: str, identity: str, bin_width: int) -> DataFrame:
     """Adds `label` of the interval with the greatest (start, label) that holds the event, and `overlap` (several do).
 
-    Both sides are cut into bins of bin_width, so the join is one of equal keys: an interval appears once per bin it
-    touches, an open one up to its key's last event.
+    The latest interval to start answers for nearly all events. Where it has ended while an earlier one has not, the
+    event alone is taken to a join over bins of bin_width, with the intervals of its key that earlier ones reach into.
     """
-    last = events.groupBy(*keys).agg(F.max(at).alias("_last"))
-    closed = valid(intervals).join(last, keys).withColumn("_end", F.least(F.coalesce("end", F.col("_last") + 1), F.col("_last") + 1)).where("start < _end")
-    bins = F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("_end") - 1) / bin_width))
+    met = _latest(events, valid(intervals), keys, F.col(at), F.col("start"), F.col("end"))
+    answered = met.where("_holds OR NOT _others").select(*events.columns, F.when(F.col("_holds"), F.col("_iv.label")).alias("label"), (F.col("_holds") & F.col("_others")).alias("overlap"))
+    return answered.unionByName(_by_bins(met.where("NOT _holds AND _others").select(*events.columns), intervals, keys, at, identity, bin_width))
+
+
+def _by_bins(events: DataFrame, intervals: DataFrame, keys: list[str], at: str, identity: str, bin_width: int) -> DataFrame:
+    """As attribute, by a join of equal keys and bins: an interval appears once per bin it touches, up to its key's last
+    event of these."""
+    span = events.groupBy(*keys).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    closed = valid(intervals).join(span, keys).withColumns({"_end": F.least(F.coalesce("end", F.col("_last") + 1), F.col("_last") + 1), "_from": F.greatest("start", "_first")}).where("_from < _end")
+    bins = F.sequence(F.floor(F.col("_from") / bin_width), F.floor((F.col("_end") - 1) / bin_width))
     cut = closed.select(*keys, "start", "_end", "label", F.explode(bins).alias("_bin"))
     binned = events.withColumn("_bin", F.floor(F.col(at) / bin_width))
     held = binned.join(cut, [*keys, "_bin"]).where((F.col(at) >= F.col("start")) & (F.col(at) < F.col("_end")))
@@ -37,12 +62,16 @@ def attribute(events: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 def attribute_by_position(deltas: DataFrame, intervals: DataFrame, keys: list[str], at: str, sequence: str, identity: str) -> DataFrame:
     """Adds the label of the first interval that holds (instant, sequence), compared lexicographically.
 
-    intervals: keys, start, start_seq, end, end_seq, label.
+    intervals: keys, start, start_seq, end, end_seq, label. One sort answers for what one interval at most can hold; only
+    events into which several reach meet the intervals of their key.
     """
-    place, first, last = F.struct(at, sequence), F.struct("start", "start_seq"), F.struct("end", "end_seq")
-    held = deltas.join(intervals, keys).where((place >= first) & (F.col("end").isNull() | (place < last)))
-    found = held.groupBy(identity).agg(F.min_by("label", first).alias("label"))
-    return deltas.join(found, identity, "left")
+    place = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("seq"))
+    met = _latest(deltas, intervals, keys, place(at, sequence), place("start", "start_seq"), F.when(F.col("end").isNotNull(), place("end", "end_seq")))
+    answered = met.where("NOT _others").select(*deltas.columns, F.when(F.col("_holds"), F.col("_iv.label")).alias("label"))
+    rest = met.where("_others").select(*deltas.columns)
+    held = rest.join(intervals, keys).where((place(at, sequence) >= place("start", "start_seq")) & (F.col("end").isNull() | (place(at, sequence) < place("end", "end_seq"))))
+    found = held.groupBy(identity).agg(F.min_by("label", place("start", "start_seq")).alias("label"))
+    return answered.unionByName(rest.join(found, identity, "left").select(*deltas.columns, "label"))
 
 
 def coverage(attributed: DataFrame, keys: list[str], amount: str, labels: list[str]) -> DataFrame:

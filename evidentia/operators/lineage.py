@@ -5,10 +5,13 @@ Edges are followed by joins, in rounds; every few rounds the lineage of the plan
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import shared_folder
+from .joins import joined
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -28,16 +31,23 @@ def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     known = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).dropDuplicates(["n"])
     exists = known.select(F.col("n").alias("p"))
     linked = known.join(exists, "p", "left_semi").where("n <> p")
-    at = _cut(known.select("n").join(linked, "n", "left").select("n", F.col("p").alias("next"), F.col("n").alias("least"), F.coalesce("p", "n").alias("last")))
-    rounds = max(1, (max(1, at.count() - 1)).bit_length() + 1)
+    every = _cut(known.select("n").join(linked, "n", "left").select("n", F.col("p").alias("next"), F.col("n").alias("least"), F.coalesce("p", "n").alias("last")))
+    # nodes whose chain has ended are set aside: they are looked up, but looked at no more
+    active, ended = every.where("next IS NOT NULL"), [every.where("next IS NULL")]
+    rounds = max(1, (max(1, every.count() - 1)).bit_length() + 1)
     for _ in range(rounds):
-        ahead = at.select(F.col("n").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"), F.col("last").alias("_last"))
-        at = _cut(at.join(ahead, "next", "left").select("n", F.when(F.col("next").isNotNull(), F.col("_next")).alias("next"), F.least("least", F.coalesce("_least", "least")).alias("least"), F.coalesce("_last", "last").alias("last")))
-        if at.where("next IS NOT NULL").limit(1).count() == 0:
+        ahead = reduce(DataFrame.unionByName, ended, active).select(F.col("n").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"), F.col("last").alias("_last"))
+        ahead = ahead.join(active.groupBy("next").agg(F.count(F.lit(1)).alias("_rows")), "next")
+        moved = joined(active, ahead, ["next"], "_rows")
+        moved = _cut(moved.select("n", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), F.col("_last").alias("last")))
+        active = moved.where("next IS NOT NULL")
+        ended.append(moved.where("next IS NULL"))
+        if active.limit(1).count() == 0:
             break
     # what still has a next node leads into a cycle: its root is the least node that the cycle itself passes
-    cycle = at.where("next IS NOT NULL").select(F.col("next").alias("_c")).distinct().join(at.select(F.col("n").alias("_c"), F.col("least").alias("_root")), "_c")
-    return at.join(cycle, F.col("next") == F.col("_c"), "left").select(F.col("n").alias(node), F.coalesce("_root", "last").alias("root"))
+    cycle = active.select(F.col("next").alias("_c")).distinct().join(active.select(F.col("n").alias("_c"), F.col("least").alias("_root")), "_c")
+    rooted = active.join(cycle, F.col("next") == F.col("_c"), "left").select("n", F.coalesce("_root", "last").alias("root"))
+    return reduce(DataFrame.unionByName, [e.select("n", F.col("last").alias("root")) for e in ended], rooted).select(F.col("n").alias(node), "root")
 
 
 def descendants(nodes: DataFrame, node: str, parent: str, start: DataFrame, allowed: Column) -> DataFrame:
@@ -46,14 +56,13 @@ def descendants(nodes: DataFrame, node: str, parent: str, start: DataFrame, allo
     edges = nodes.where(allowed & F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(parent).alias("_p"), F.col(node).alias("_n")).distinct()
     edges = _cut(edges)
     front = _cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    found, depth = front, 0
+    found = [front]  # a piece per depth: none is written again
     while True:
-        depth += 1
-        step = front.join(edges, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
-        front = _cut(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = found[-1].join(edges, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
+        front = _cut(step.join(reduce(DataFrame.unionByName, found), ["root", "node"], "left_anti").withColumn("depth", F.lit(len(found))))
         if front.limit(1).count() == 0:
-            return found
-        found = _cut(found.unionByName(front))
+            return reduce(DataFrame.unionByName, found)
+        found.append(front)
 
 
 def rollup(members: DataFrame, facts: DataFrame, node: str, amount: str, distinct: str, at_us: str, cutoff: Column) -> DataFrame:

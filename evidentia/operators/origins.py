@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _prefixes(lines: DataFrame, of: list[str], line: str, content: str) -> DataFrame:
+    """Adds `_n`, how many lines there are up to each one, and `_p`, which stands for them: sums of two hashes of (number,
+    content)."""
+    so_far = Window.partitionBy(*of).orderBy(line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = lambda seed: F.sum(F.xxhash64(F.lit(seed), line, F.col(content).isNull(), content).cast("decimal(20,0)")).over(so_far)
+    return lines.withColumns({"_p": F.struct(told(1).alias("a"), told(2).alias("b")), "_n": F.count(F.lit(1)).over(so_far)})
+
+
 def prefix_lineage(known: DataFrame, current: DataFrame, group: list[str], line: str, content: str) -> DataFrame:
     """Per current source of a group the known one that it continues, repeats or cuts short: all lines that both have are
     equal. The longest shared part wins, then the greatest key.
 
-    known: group, logical, line, content; current: group, source, line, content; lines are numbered without gaps. Lines
-    meet by their number, so no source is ever one row. A source that shares no line number with any has no row.
+    known: group, logical, line, content; current: group, source, line, content; lines are numbered without gaps. Two
+    sources meet only by a prefix that is equal in both and whole in one, and of the known ones with an equal prefix only
+    the greatest is told, so nothing is paired that doesn't match.
     """
-    k = known.select(*group, line, "logical", F.col(content).alias("_known"))
-    met = current.select(*group, line, "source", F.col(content).alias("_now")).join(k, [*group, line])
-    pairs = met.groupBy(*group, "source", "logical").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("_known").eqNullSafe(F.col("_now"))).alias("_same"))
-    clean = pairs.where(F.col("shared") == F.col("_same"))
-    best = clean.groupBy(*group, "source").agg(F.max(F.struct("shared", "logical")).alias("_b"))
+    at = [*group, "_n", "_p"]
+    olds, news = _prefixes(known, [*group, "logical"], line, content), _prefixes(current, [*group, "source"], line, content)
+    ends = lambda rows, of: rows.groupBy(*group, of).agg(F.max_by("_p", "_n").alias("_p"), F.max("_n").alias("_n"))
+    longer = ends(news, "source").join(olds.groupBy(*at).agg(F.max("logical").alias("logical")), at)
+    shorter = news.select(*at, "source").join(ends(olds, "logical").groupBy(*at).agg(F.max("logical").alias("logical")), at)
+    columns = [*group, "source", "logical", "_n"]
+    best = longer.select(*columns).unionByName(shorter.select(*columns)).groupBy(*group, "source").agg(F.max(F.struct(F.col("_n").alias("shared"), "logical")).alias("_b"))
     return best.select(*group, "source", F.col("_b.logical").alias("logical"), F.col("_b.shared").alias("shared"))
 
 

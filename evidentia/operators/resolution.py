@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,8 +56,16 @@ def patched_files(patch: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(patch, F.lit(r"(?m)^\*\*\* (?:Update|Add|Delete) File: ([^\n]+)"), 1), lambda p: F.trim(p)))
 
 
-# What a label may not hold.
-_PRIVATE = r"(?i)[/\\@]|\.\.|\A(?:file:|https?:)|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|task_[0-9a-f]{8,}|(?:api[_-]?key|secret|password|token|authorization)\s*[:=]"
+# What a label may not hold, and the prefixes of references.
+REFERENCES = ("task", "hprj", "hcap", "hann", "hreq", "hpay", "hpilot")
+PRIVATE = (
+    r"[/\\@]",
+    r"\.\.",
+    r"(?i)\A(?:file|https?):",
+    r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}",
+    rf"(?i)(?:{'|'.join(REFERENCES)})_v?[0-9a-f]{{8,}}",
+    r"(?i)(?:api[_-]?key|secret|password|token|authorization)\s*[:=]",
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -74,7 +83,8 @@ def label(value: Column) -> Column:
     """A label of 1 to 80 characters in composed form with single spaces; null where it could identify anyone."""
     composed = _composed(value)
     plain = F.trim(F.regexp_replace(composed, r"\s+", " "))
-    return F.when(F.char_length(composed).between(1, 80) & (plain != "") & ~plain.rlike(_PRIVATE), plain)
+    private = reduce(lambda a, b: a | b, [plain.rlike(p) for p in PRIVATE])
+    return F.when(F.char_length(composed).between(1, 80) & (plain != "") & ~private, plain)
 
 
 def changes_after(df: DataFrame, revision: str, after: int) -> DataFrame:

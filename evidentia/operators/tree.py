@@ -6,6 +6,8 @@ roots: root, cutoff_ns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,14 @@ def members(sessions: DataFrame, roots: DataFrame) -> DataFrame:
 
     known = sessions.select("session_id", "parent_id", "started_ns")
     front = _cut(roots.join(known, F.col("root") == F.col("session_id")).select("root", "cutoff_ns", "session_id", "started_ns", F.lit(0).alias("depth")))
-    found, depth = front, 0
+    found = [front]  # a piece per depth: none is written again
     while True:
-        depth += 1
-        step = front.select("root", "cutoff_ns", F.col("session_id").alias("parent_id")).join(known.where("parent_id <> session_id"), "parent_id").where(
+        step = found[-1].select("root", "cutoff_ns", F.col("session_id").alias("parent_id")).join(known.where("parent_id <> session_id"), "parent_id").where(
             "started_ns IS NULL OR started_ns <= cutoff_ns").select("root", "cutoff_ns", "session_id", "started_ns").distinct()
-        front = _cut(step.join(found.select("root", "session_id"), ["root", "session_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = _cut(step.join(reduce(DataFrame.unionByName, found).select("root", "session_id"), ["root", "session_id"], "left_anti").withColumn("depth", F.lit(len(found))))
         if front.limit(1).count() == 0:
-            return found
-        found = _cut(found.unionByName(front))
+            return reduce(DataFrame.unionByName, found)
+        found.append(front)
 
 
 def working(prefix: str = ""):
