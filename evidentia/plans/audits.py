@@ -44,7 +44,7 @@ def prefix_lineage(spark, sf_dir):
     return origins.prefix_lineage(known, numbered.where(odd).select("grp", F.col("src").alias("source"), "line", "x"), ["grp"], "line", "x")
 
 
-@query("""WITH t AS (SELECT DISTINCT l_orderkey AS source, l_suppkey AS thread FROM lineitem WHERE l_linenumber <= 1),
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS source, l_suppkey AS thread FROM lineitem),
 s AS (SELECT DISTINCT s_suppkey AS thread, s_nationkey AS project, s_suppkey % 3 AS worktree FROM supplier WHERE s_acctbal > 0),
 m AS (SELECT t.source, t.thread, s.project, s.worktree FROM t LEFT JOIN s USING (thread)),
 g AS (SELECT source, bool_or(project IS NULL) AS lost, count(DISTINCT (project, worktree)) FILTER (project IS NOT NULL) AS places, min(project) AS project, min(worktree) AS worktree FROM m GROUP BY source),
@@ -53,7 +53,7 @@ d AS (SELECT source, g.project, g.worktree, CASE WHEN lost THEN 'unavailable' WH
   FROM g LEFT JOIN r ON r.project = g.project AND r.worktree = g.worktree)
 SELECT source, CASE WHEN diagnostic IS NULL THEN project END AS project, CASE WHEN diagnostic IS NULL THEN worktree END AS worktree, diagnostic FROM d""")
 def worktree_attribution(spark, sf_dir):
-    threads = table(spark, sf_dir, "lineitem").where("l_linenumber <= 1").select(F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("thread"))
+    threads = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("thread"))
     supplier = table(spark, sf_dir, "supplier")
     sessions = supplier.select(F.col("s_suppkey").alias("thread"), F.col("s_nationkey").alias("project"), (F.col("s_suppkey") % 3).alias("worktree"))
     trusted = supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("thread"), F.col("s_nationkey").alias("project"))

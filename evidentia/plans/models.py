@@ -48,29 +48,29 @@ def file_observation_canonical(spark, sf_dir):
     return evidence.canonical_files(_lines(spark, sf_dir), ["l_orderkey"], "l_suppkey", "auth", "done", "t")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS k, max_by(o_orderstatus, o_orderdate) AS intent FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderkey),
-r AS (SELECT l_orderkey AS k, max_by(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS result FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey)
+@query("""WITH i AS (SELECT o_orderkey AS k, max_by(o_orderstatus, o_orderdate) AS intent FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderkey),
+r AS (SELECT l_orderkey AS k, max_by(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS result FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey)
 SELECT coalesce(i.k, r.k) AS k, intent, result, CASE WHEN intent IS NULL THEN 'result_only' WHEN result IS NULL THEN 'intent_only' ELSE 'complete' END AS kind FROM i FULL JOIN r ON i.k = r.k""")
 def intent_result_join(spark, sf_dir):
-    intents = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.struct("o_orderdate").alias("t"), F.col("o_orderstatus").alias("intent"))
-    results = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").select(
+    intents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.struct("o_orderdate").alias("t"), F.col("o_orderstatus").alias("intent"))
+    results = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(
         F.col("l_orderkey").alias("k"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("t"), F.col("l_returnflag").alias("result"))
     return evidence.call_results(intents, results, ["k"], "t")
 
 
-@query("""SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey OR s_suppkey = l_partkey WHERE l_quantity > 45""")
+@query("""SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey OR s_suppkey = l_partkey""")
 def either_key_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return evidence.either_key(lines, table(spark, sf_dir, "supplier").select("s_suppkey"), ["l_suppkey", "l_partkey"], "s_suppkey")
 
 
-@query(f"""WITH {OBS}, s AS (SELECT user_id, event_id AS arrival, at_us % 1000 AS seq, k AS ident, amount FROM obs WHERE event_id % 10 <> 9),
+@query(f"""WITH {OBS}, s AS (SELECT user_id, event_id AS arrival, at_us % 1000 AS seq, k AS ident, amount FROM obs),
 e AS (SELECT *, coalesce(CASE WHEN amount % 13 = 0 THEN 'malformed' WHEN amount % 11 = 0 THEN 'expired' WHEN amount % 7 = 0 THEN 'wrong_capability' END,
   CASE WHEN row_number() OVER (PARTITION BY user_id * 1000 + ident ORDER BY arrival) > 1 THEN 'duplicate' END) AS early FROM s),
 t AS (SELECT *, max(CASE WHEN early IS NULL THEN seq END) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
 SELECT arrival, coalesce(early, CASE WHEN seq <= top THEN 'out_of_order' END, 'accepted') AS category FROM t""")
 def spool_quarantine(spark, sf_dir):
-    staged = observations(spark, sf_dir).where("event_id % 10 <> 9").select("user_id", F.col("event_id").alias("_arrival"), (F.col("at_us") % 1000).alias("seq"), (F.col("user_id") * 1000 + F.col("k")).alias("ident"), "amount")
+    staged = observations(spark, sf_dir).select("user_id", F.col("event_id").alias("_arrival"), (F.col("at_us") % 1000).alias("seq"), (F.col("user_id") * 1000 + F.col("k")).alias("ident"), "amount")
     a = F.col("amount")
     return evidence.quarantine(staged, ["user_id"], "seq", "ident", expired=a % 11 == 0, wrong=a % 7 == 0, malformed=a % 13 == 0).select(F.col("_arrival").alias("arrival"), "category")
 

@@ -46,19 +46,6 @@ def span_fieldwise_merge(spark, sf_dir):
         "terminal": ("l_returnflag", "max", ["ship", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]), "latency": ("quantity", "max", ["quantity", "l_linenumber"])})
 
 
-@query("""WITH c AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_quantity >= 47 THEN 'confirmed' WHEN l_quantity <= 1 THEN 'ambiguous' ELSE 'inferred' END AS kind
-  FROM lineitem WHERE l_suppkey % 5 = 0 OR l_quantity >= 47),
-g AS (SELECT l_partkey, count(DISTINCT CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS nc, min(CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS c,
-  count(DISTINCT CASE WHEN kind = 'inferred' THEN l_suppkey END) AS ni, min(CASE WHEN kind = 'inferred' THEN l_suppkey END) AS i, bool_or(kind = 'ambiguous') AS a FROM c GROUP BY l_partkey),
-s AS (SELECT *, CASE WHEN a OR nc > 1 THEN 'ambiguous' WHEN nc = 1 THEN 'confirmed' WHEN ni = 1 THEN 'inferred' ELSE 'ambiguous' END AS confidence_kind FROM g)
-SELECT l_partkey, CASE confidence_kind WHEN 'confirmed' THEN c WHEN 'inferred' THEN i END AS parent, confidence_kind,
-  (CASE confidence_kind WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.6 ELSE 0.0 END)::DOUBLE AS confidence FROM s""")
-def lineage_claims(spark, sf_dir):
-    claims = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 0 OR l_quantity >= 47").select(
-        "l_partkey", "l_suppkey", F.when(F.col("l_quantity") >= 47, "confirmed").when(F.col("l_quantity") <= 1, "ambiguous").otherwise("inferred").alias("kind"))
-    return arbitration.resolve_parents(claims, "l_partkey", "l_suppkey", "kind")
-
-
 @query("""WITH c AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_quantity >= 47 THEN 'confirmed' WHEN l_quantity <= 1 THEN 'ambiguous' ELSE 'inferred' END AS kind FROM lineitem),
 g AS (SELECT l_partkey, count(DISTINCT CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS nc, min(CASE WHEN kind = 'confirmed' THEN l_suppkey END) AS c,
   count(DISTINCT CASE WHEN kind = 'inferred' THEN l_suppkey END) AS ni, min(CASE WHEN kind = 'inferred' THEN l_suppkey END) AS i, bool_or(kind = 'ambiguous') AS a FROM c GROUP BY l_partkey),
@@ -199,19 +186,19 @@ def unchanged_skip(spark, sf_dir):
     return arbitration.unchanged(listing, orders.where("o_orderkey % 11 <> 0"), orders.columns).select("o_orderkey")
 
 
-@query("""WITH k AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0),
-a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH k AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderdate < '1998-01-01'),
+a AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders)
 SELECT a.o_orderkey, CASE WHEN k.o_orderkey IS NULL THEN 'inserted' WHEN k.o_orderstatus = a.o_orderstatus AND k.o_custkey = a.o_custkey THEN 'duplicate' ELSE 'conflicting' END AS outcome
 FROM a LEFT JOIN k ON a.o_orderkey = k.o_orderkey""")
 def idempotent_insert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    arriving = orders.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "Z").otherwise(F.col("o_orderstatus")))
-    return arbitration.split_inserts(orders.where("o_orderkey % 2 = 0"), arriving, "o_orderkey", ["o_orderstatus", "o_custkey"]).select("o_orderkey", "outcome")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderdate", "o_orderpriority")
+    arriving = orders.withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "1-URGENT", "Z").otherwise(F.col("o_orderstatus")))
+    return arbitration.split_inserts(orders.where("o_orderdate < '1998-01-01'"), arriving, "o_orderkey", ["o_orderstatus", "o_custkey"]).select("o_orderkey", "outcome")
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
 def having_unique(spark, sf_dir):
-    return arbitration.only_value(table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_quantity > 40"), ["l_partkey"], "l_suppkey")
+    return arbitration.only_value(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey")
 
 
 @query("""SELECT custkey, min(t) AS first_at, max(t) AS last_at, count(*) AS n FROM (SELECT o_custkey AS custkey, epoch_us(o_orderdate) AS t FROM orders
@@ -223,10 +210,10 @@ def activity_union(spark, sf_dir):
     return ordered.unionByName(shipped).groupBy("custkey").agg(F.min("t").alias("first_at"), F.max("t").alias("last_at"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey AS key, c_nationkey AS nation, 'customer' AS origin FROM customer WHERE c_acctbal > 0 AND c_nationkey < 12
-UNION ALL SELECT s_suppkey, s_nationkey, 'supplier' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0 AND c_nationkey < 12)""")
+@query("""SELECT c_custkey AS key, c_nationkey AS nation, 'customer' AS origin FROM customer WHERE c_acctbal > 9900
+UNION ALL SELECT s_suppkey, s_nationkey, 'supplier' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""")
 def catalog_union_anti(spark, sf_dir):
-    catalog = table(spark, sf_dir, "customer").where("c_acctbal > 0 AND c_nationkey < 12").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.lit("customer").alias("origin"))
+    catalog = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.lit("customer").alias("origin"))
     more = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("origin"))
     return catalog.unionByName(more.join(catalog.select("nation").distinct(), "nation", "left_anti"))
 
@@ -264,3 +251,6 @@ def diagnostic_counts(spark, sf_dir):
     found = [("customer", "c_acctbal < 0", "missing_balance"), ("orders", "o_orderstatus = 'O'", "open_order"), ("lineitem", "l_returnflag = 'R'", "returned")]
     rows = [table(spark, sf_dir, t).where(c).select(F.lit(code).alias("code")) for t, c, code in found]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["lineage_claims"], ORACLES["lineage_claims"] = QUERIES["lineage_claims_whole"], ORACLES["lineage_claims_whole"]

@@ -21,14 +21,6 @@ def query(sql: str | None):
     return add
 
 
-@query(f"""WITH {OBS}, f AS (SELECT *, coalesce(amount < lag(amount) OVER w, false) OR coalesce(k < lag(k) OVER w, false) AS fell FROM obs WHERE event_id % 40 = user_id % 40
-  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
-SELECT user_id, bool_or(fell) OR max_by(k, (amount, k)) < max(k) AS conflict FROM f GROUP BY user_id""")
-def counter_conflict(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("event_id % 40 = user_id % 40")
-    return resolution.counter_conflict(rows, ["user_id"], "event_type", "event_id", ["amount", "k"])
-
-
 @query(f"""WITH {OBS}, o AS (SELECT user_id, event_type, event_id, CASE WHEN user_id % 2 = 0 THEN amount ELSE sum(abs(amount)) OVER u END::BIGINT AS amount,
   CASE WHEN user_id % 2 = 0 THEN k ELSE sum(abs(k)) OVER u END::BIGINT AS k FROM obs WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
 f AS (SELECT *, coalesce(amount < lag(amount) OVER w, false) OR coalesce(k < lag(k) OVER w, false) AS fell FROM o WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
@@ -66,6 +58,12 @@ def tool_names(spark, sf_dir):
     return rows.select("event_type", resolution.tool_family(name).alias("family"), F.array_join(resolution.patched_files(patch), ",").alias("files"), resolution.label(given).alias("label"), "n")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 14000")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < '1996-01-01' AND o_orderstatus = 'F') - 1000")
 def delta_poll(spark, sf_dir):
-    return resolution.changes_after(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 14000)
+    """What has changed since a reader's last revision, 1000 before the newest early order."""
+    orders = table(spark, sf_dir, "orders")
+    seen = orders.where("o_orderdate < '1996-01-01' AND o_orderstatus = 'F'").agg(F.max("o_orderkey")).first()[0]
+    return resolution.changes_after(orders.select("o_orderkey"), "o_orderkey", seen - 1000)
+
+
+QUERIES["counter_conflict"], ORACLES["counter_conflict"] = QUERIES["counter_conflict_whole"], ORACLES["counter_conflict_whole"]
