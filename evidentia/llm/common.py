@@ -7,13 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.joins import joined
 from ..shipping import shared_folder, ship_package
 
-HOT_SHARE = 0.001
-SALTS = 32
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -41,16 +38,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_chars: in
                 start, chars = i + 1, 0
         if start < len(texts):
             yield batch.slice(start), texts[start:]
-
-
-def joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of rows with a table of one row per key, whose weight tells how many rows to expect. Keys with at least
-    HOT_SHARE of all weight are split over SALTS tasks: at most 1 / HOT_SHARE of them, so the list of these is sent to
-    all tasks, and only their table rows are copied. The table is read three times: it should be stored."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) >= F.lit(max(1.0, HOT_SHARE * total))
-    hot = table.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(table.withColumn("_salt", F.explode(salts)).drop(weight), [*keys, "_salt"]).drop("_salt")

@@ -48,7 +48,6 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 FOLDS = 2
 QUANTILE = 0.99
 MOST_MODELS = 10_000
-EVERY = 0  # the key under which a document's predictions are counted
 
 _P1, _P2, _P4, _P5, _P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
 
@@ -115,28 +114,26 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def gram_entries(docs: DataFrame) -> DataFrame:
-    """row, m, key, n: how often a document has each gram of one, two and three words, the contexts at its start, and
-    under EVERY the number of its words and its end."""
+    """row, key, n: how often a document has each gram of one, two and three words, the contexts at its start, and
+    under the gram without words the number of its predictions. Keys are those of grams of model m."""
     begin = np.array([BEGIN])
-    start = np.concatenate([gram_key(begin), gram_key(begin, begin)])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, most_chars=500_000):
             found = []
             for row, m, text in zip(batch.column("row").to_pylist(), batch.column("m").to_pylist(), texts, strict=True):
-                total = 0
+                total, of = 0, np.array([m]).view(np.uint64)
                 for w1, w2, w3 in trigrams(text):
-                    key, n = np.unique(np.concatenate([gram_key(w3), gram_key(w2, w3), gram_key(w1, w2, w3)]), return_counts=True)
-                    found.append((row, m, key, n))
+                    key, n = np.unique(np.concatenate([gram_key(of, w3), gram_key(of, w2, w3), gram_key(of, w1, w2, w3)]), return_counts=True)
+                    found.append((row, key, n))
                     total += len(w3)
-                found.append((row, m, np.append(start, np.uint64(EVERY)), np.array([1, 1, total])))
+                found.append((row, np.concatenate([gram_key(of), gram_key(of, begin), gram_key(of, begin, begin)]), np.array([total, 1, 1])))
             if found:
-                sizes = [len(x[2]) for x in found]
-                whole = [np.repeat(np.array([x[i] for x in found]), sizes) for i in (0, 1)]
-                arrays = [*map(pa.array, whole), _long(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "m", "key", "n"])
+                rows = np.repeat(np.array([x[0] for x in found]), [len(x[1]) for x in found])
+                arrays = [pa.array(rows), _long(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "key", "n"])
 
-    return docs.where("text <> ''").select("row", "m", "text").mapInArrow(listed, "row long, m long, key long, n long")
+    return docs.where("text <> ''").select("row", "m", "text").mapInArrow(listed, "row long, key long, n long")
 
 
 def _per_model(df: DataFrame, few: bool) -> DataFrame:
@@ -161,7 +158,8 @@ def _contexts(grams: DataFrame, *words: str) -> DataFrame:
 
 
 def addends(three: DataFrame) -> DataFrame:
-    """From m, w1, w2, w3, c (stored): m, key, value, and as weight the count behind the gram."""
+    """From m, w1, w2, w3, c (stored): key, value, `every` (1 for the gram without words), and as weight the count behind
+    the gram."""
     few = three.select("m").distinct().limit(MOST_MODELS + 1).count() <= MOST_MODELS
     share = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
     two = stored(three.groupBy("m", "w2", "w3").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("seen")), "bigrams")
@@ -169,8 +167,8 @@ def addends(three: DataFrame) -> DataFrame:
 
     taken = _discounted(one, few)
     base = taken.groupBy("m").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c") / (F.count(F.lit(1)) + 1)).alias("unseen"), F.sum("seen").alias("seen"))
-    p1 = taken.join(_per_model(base.drop("seen"), few), "m").select("m", "w3", (share + F.col("unseen")).alias("p"), "unseen", "seen")
-    at_two, at_three = _contexts(_discounted(two, few), "w2"), _contexts(_discounted(three, few), "w1", "w2")
+    p1 = stored(taken.join(_per_model(base.drop("seen"), few), "m").select("m", "w3", (share + F.col("unseen")).alias("p"), "unseen", "seen"), "word-chances")
+    at_two, at_three = stored(_contexts(_discounted(two, few), "w2"), "contexts-2"), stored(_contexts(_discounted(three, few), "w1", "w2"), "contexts-3")
 
     back = F.col("b") * F.col("p")
     met = joined(joined(_discounted(two, few), at_two, ["m", "w2"], "n_grams"), p1.drop("unseen"), ["m", "w3"], "seen")
@@ -178,7 +176,7 @@ def addends(three: DataFrame) -> DataFrame:
     met = joined(joined(_discounted(three, few), at_three, ["m", "w1", "w2"], "n_grams"), p2.drop("value"), ["m", "w2", "w3"], "seen")
 
     def part(df: DataFrame, value: Column, weight: str, *words: str) -> DataFrame:
-        return df.select("m", (F.xxhash64(*words) if words else F.lit(EVERY).cast("long")).alias("key"), value.alias("value"), F.col(weight).alias("weight"))
+        return df.select(F.xxhash64("m", *words).alias("key"), value.alias("value"), F.lit(int(not words)).alias("every"), F.col(weight).alias("weight"))
 
     parts = [
         part(base, F.log("unseen"), "seen"),
@@ -186,18 +184,18 @@ def addends(three: DataFrame) -> DataFrame:
         part(at_two, F.log("b"), "total", "w2"),
         part(p2, F.col("value"), "seen", "w2", "w3"),
         part(at_three, F.log("b"), "total", "w1", "w2"),
-        part(met, F.log1p(share / back), "c", "w1", "w2", "w3"),
     ]
-    return reduce(DataFrame.unionByName, parts).groupBy("m", "key").agg(F.sum("value").alias("value"), F.max("weight").alias("weight"))
+    # a gram of one or two words may be a context too; one of three is nothing else
+    summed = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("value").alias("value"), F.max("every").alias("every"), F.max("weight").alias("weight"))
+    return summed.unionByName(part(met, F.log1p(share / back), "c", "w1", "w2", "w3"))
 
 
 def perplexities(docs: DataFrame, trained: DataFrame) -> DataFrame:
     """row, n_scored, perplexity of the rows of docs (row, m, text) whose model m is trained: on the rows of `trained`
     (m, text)."""
     table = stored(addends(stored(trigram_counts(trained), "trigrams")), "addends")
-    met = joined(gram_entries(docs), table, ["m", "key"], "weight")
-    every = (F.col("key") == F.lit(EVERY)).cast("long")
-    sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("log_p"), F.sum(F.col("n") * every).alias("n"), F.sum(every).alias("copies"))
+    met = joined(gram_entries(docs), table, ["key"], "weight")
+    sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("log_p"), F.sum(F.col("n") * F.col("every")).alias("n"), F.sum("every").alias("copies"))
     return sums.select("row", F.expr("n div copies").alias("n_scored"), F.exp(-F.col("log_p") / F.col("n")).alias("perplexity"))
 
 

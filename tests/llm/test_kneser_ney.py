@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import common
 from evidentia.llm import kneser_ney as kn
+from evidentia.operators import joins
 
 
 def tokens(text):
@@ -63,10 +63,10 @@ def expected(rows, trusted):
     return {i: brute(own[lang, 1 - fold(i)], t) if t and own[lang, 1 - fold(i)] else None for i, t, lang in rows}
 
 
-@pytest.mark.parametrize("hot_share, step", [(common.HOT_SHARE, kn.STEP), (0.05, 7)])
+@pytest.mark.parametrize("hot_share, step", [(joins.HOT_SHARE, kn.STEP), (0.05, 7)])
 def test_against_formulas(spark, monkeypatch, hot_share, step):
-    monkeypatch.setattr(common, "HOT_SHARE", hot_share)
-    monkeypatch.setattr(common, "SALTS", 3)
+    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(joins, "SALTS", 3)
     asked = ["the cat met the dog", "zzqx#$ kkk", "é the 🙂 log", "Der Der Der Der"]
     rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(50 + i, t, "de") for i, t in enumerate(GOOD[::-1])] + [(100 + i, t, "en") for i, t in enumerate(asked)]
     trusted = {*range(len(GOOD)), *range(50, 50 + len(GOOD))}
