@@ -26,22 +26,28 @@ USAGE = "info STRUCT<total_token_usage: STRUCT<input_tokens: BIGINT, cached_inpu
 
 
 def lines(spark: SparkSession, folder: str, key: bytes) -> DataFrame:
-    """path, ordinal (from 1), line and its keyed fingerprint, of all *.jsonl below a folder. A file that does not end
-    in a newline has an unfinished last line, which is left for later."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path", F.decode("content", "utf-8").alias("content"))
-    each = files.select("path", F.posexplode(F.split("content", "\n")).alias("_pos", "line"), F.size(F.split("content", "\n")).alias("_n"))
-    done = each.where("_pos < _n - 1")
-    return done.select("path", (F.col("_pos") + 1).cast("long").alias("ordinal"), "line", hmac_sha256(F.concat("line", F.lit("\n")), key).alias("fingerprint"))
+    """path, ordinal (from 1), line and the keyed fingerprint of its bytes, of all *.jsonl below a folder.
+
+    Files are read line by line, in splits, whatever their size; a line's number comes from the split's place in the
+    file. A last line that doesn't end in a newline is unfinished and left for later. A line that isn't UTF-8 is null and
+    has its fingerprint all the same.
+    """
+    text = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder)
+    raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    so_far = Window.partitionBy("path").orderBy("_block", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = raw.withColumns({"ordinal": F.count(F.lit(1)).over(so_far), "_end": F.sum(F.octet_length("value").cast("long") + 1).over(so_far)})
+    sound = F.when(F.is_valid_utf8("value"), F.col("value"))
+    return placed.where("_end <= _size").select("path", "ordinal", sound.alias("line"), hmac_sha256(F.concat(F.col("value").cast("binary"), F.lit(bytearray(b"\n"))), key).alias("fingerprint"))
 
 
 def parse(rows: DataFrame) -> DataFrame:
     """Adds the envelope's fields, `route` (type/payload type, ignored, or a kind of diagnostic) and the `quality` of
-    its timestamp."""
+    its timestamp. A null line is one that could not be decoded."""
     env = F.from_json("line", ENVELOPE)
     kind, payload = F.col("_e.type"), F.col("_e.payload")
     inner = F.get_json_object(payload, "$.type")
     sound = F.ltrim("line").startswith("{") & F.ltrim(payload).startswith("{")
-    route = F.when(~F.coalesce(sound, F.lit(False)), "malformed")
+    route = F.when(F.col("line").isNull(), "invalid_encoding").when(~F.coalesce(sound, F.lit(False)), "malformed")
     for table, to in ((READ, None), (IGNORED, "ignored")):
         for name, types in table.items():
             test = kind == name if types is None else (kind == name) & inner.isin(*types)
@@ -51,7 +57,7 @@ def parse(rows: DataFrame) -> DataFrame:
     parsed = rows.withColumn("_e", env).withColumn("route", route.otherwise("unknown_envelope"))
     stamp = F.col("_e.timestamp")
     return parsed.select(
-        *rows.columns, "route", F.when(F.col("route") != "malformed", instants.quality(stamp)).alias("quality"), instants.epoch_ns(stamp).alias("observed_ns"),
+        *rows.columns, "route", F.when(~F.col("route").isin("malformed", "invalid_encoding"), instants.quality(stamp)).alias("quality"), instants.epoch_ns(stamp).alias("observed_ns"),
         instants.canonical(instants.epoch_ns(stamp)).alias("observed_at"), payload.alias("payload"))
 
 
