@@ -39,7 +39,6 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-GROUP = 256
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,31 +162,22 @@ def rare_first_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components among these sets that can reach the similarity: exact, by rare shingles.
 
     In the order from rare to common, the first shingle that two similar sets share has at most size - overlap others
-    before it in either. sets: doc_id, sh; labels: doc_id, comp. A shingle of more than GROUP documents is cut by
-    bands of set sizes, of which similar sets lie in the same or the next.
+    before it in either. sets: doc_id, sh; labels: doc_id, comp.
     """
-    comps = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    known = joined(labels, comps.withColumn("weight", F.col("comp_size")), ["comp"], "weight")
-    listed = sets.join(known, "doc_id").select("doc_id", "comp", "comp_size", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    shared = stored(listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
-    # shingles of one document only come first in its order; of these the number is enough
-    common = joined(listed, shared.withColumn("weight", F.col("df")), ["s"], "weight")
-    own = Window.partitionBy("doc_id")
-    placed = common.withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "s")) - 1)
-    early = stored(placed.where(F.col("n") - F.col("place") >= F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9))).drop("df"), "early-shingles")
+    sized = sets.join(labels, "doc_id").join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size")), "comp")
+    listed = sized.select("doc_id", "comp", "comp_size", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    placed = listed.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")) - 1)
+    early = placed.where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9)))).drop("df")
+    early = stored(early, "early-shingles")
     at = early.groupBy("s").agg(F.max(F.struct("comp_size", "comp")).alias("top"), F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n_rows"))
-    mixed = stored(at.where("lo <> hi").select("s", F.col("top.comp").alias("top"), "least", "n_rows", (F.col("n_rows") > GROUP).alias("many")), "mixed-shingles")
+    mixed = stored(at.where("lo <> hi").select("s", F.col("top.comp").alias("top"), "least", "n_rows"), "mixed-shingles")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * NUM / F.lit(float(DEN)) - F.lit(1e-9)))
     able = stored(joined(early, mixed, ["s"], "n_rows").where(F.col("n") - F.col("place") >= needed_overlap(F.col("n"), smallest)), "rare-shingles")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(1e-9)).cast("int")
-    many = F.col("many")
-    x = able.where("comp <> top").withColumn("band", F.when(many, band).otherwise(0))
-    y = able.withColumn("band", F.explode(F.when(many, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))))
-    x, y = x.alias("x"), y.alias("y")
+    x, y = able.where("comp <> top").alias("x"), able.alias("y")
     other = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id")))
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band"))
-    met = x.join(y, same & other & (left >= needed_overlap(F.col("x.n"), F.col("y.n"))))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & other & (left >= needed_overlap(F.col("x.n"), F.col("y.n"))))
     return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
