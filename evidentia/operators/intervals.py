@@ -105,4 +105,5 @@ def baseline_in_window(starts: DataFrame, snapshots: DataFrame, keys: list[str],
 
 def contribution(total: Column, baseline: Column) -> Column:
     """What is left of a total after its replayed baseline: never negative, and not known without both."""
-    return F.greatest(F.lit(0), total - baseline)
+    left = total - baseline  # greatest() alone would take what is unknown for zero
+    return F.when(left.isNotNull(), F.greatest(F.lit(0).cast("long"), left))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import counters
+from .intervals import contribution
 
 COMPONENTS = ["input", "cached", "output", "reasoning"]
 REPLAY_NS = 1_000_000_000
@@ -60,7 +61,7 @@ def usage(sessions: DataFrame, tokens: DataFrame, activities: DataFrame, roots:
     sums = rows.groupBy("root").agg(
         F.count(F.lit(1)).alias("members"), F.max("cutoff_ns").alias("cutoff_ns"), F.max(F.when(F.col("depth") == 0, F.col("started_ns"))).alias("_root_start"),
         *[counters.whole_sum(F.col(c)).alias(f"recorded_{c}") for c in COMPONENTS], *[counters.whole_sum(F.col(f"_b_{c}")).alias(f"baseline_{c}") for c in COMPONENTS],
-        *[counters.whole_sum(F.greatest(zero, F.col(c) - F.col(f"_b_{c}"))).alias(f"unique_{c}") for c in COMPONENTS],
+        *[counters.whole_sum(contribution(F.col(c), F.col(f"_b_{c}"))).alias(f"unique_{c}") for c in COMPONENTS],
         counters.whole_sum(F.floor((F.col("last_ns") - F.col("started_ns")) / 1_000_000)).alias("agent_ms"),
         F.count_if(F.col("b").isNotNull()).alias("observed_baselines"), F.count_if((F.col("depth") > 0) & F.col("b").isNull()).alias("zero_baselines"), F.count_if(F.col("input").isNull()).alias("_silent"))
     links = tree.select("root", F.col("session_id").alias("parent_id")).join(sessions.select("session_id", "parent_id"), "parent_id").join(tree.select(*per_root), per_root, "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, audits, incremental, models, reports, resolutions, texts
+from . import activity, audits, incremental, models, reports, resolutions, snapshots, texts
 
-_MODULES = (activity, reports, resolutions, models, audits, texts, incremental)
+_MODULES = (activity, reports, resolutions, models, audits, texts, snapshots, incremental)
 
 
 def queries() -> dict:
