@@ -1,10 +1,12 @@
 """Small cases with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import commands, instants, keys, text
-from evidentia.operators import arbitration, counters, facts, intervals, lineage, tree, turns
+from evidentia.operators import arbitration, counters, facts, intervals, lineage, resolution, tree, turns
 from evidentia.plans import texts
 from evidentia.shipping import ship_package
 
@@ -174,3 +176,41 @@ def test_parents(spark):
     rows = [("a", "p", "confirmed"), ("a", "q", "inferred"), ("b", "p", "confirmed"), ("b", "q", "confirmed"), ("c", "p", "inferred"), ("d", "p", "confirmed"), ("d", "p", "ambiguous"), ("e", "p", "inferred"), ("e", "q", "inferred")]
     found = {r["c"]: (r["parent"], r["confidence"]) for r in arbitration.resolve_parents(spark.createDataFrame(rows, "c string, p string, k string"), "c", "p", "k").collect()}
     assert found == {"a": ("p", 1.0), "b": (None, 0.0), "c": ("p", 0.6), "d": (None, 0.0), "e": (None, 0.0)}
+
+
+def test_states_and_own_calls(spark):
+    rows = spark.createDataFrame([("turn_completed", "inProgress"), ("turn_completed", "interrupted"), ("user_prompt", None), ("other", "odd")], "kind string, state string")
+    found = rows.select(text.status(F.col("state")).alias("s"), text.lifecycle(F.col("kind"), text.status(F.col("state"))).alias("l")).collect()
+    assert [tuple(r) for r in found] == [("in_progress", "completed"), ("interrupted", "aborted"), ("unknown", "started"), ("unknown", None)]
+    given = {"observer report x": True, "A=1 /usr/bin/observer audit": True, "env A=b python3.12 -m observer_pkg report": True, "observer": False, "observer other": False, "observer report; ls": False, None: False}
+    got = spark.createDataFrame([(c,) for c in given], "c string").select("c", commands.calls(F.col("c"), "observer", "observer_pkg", ["report", "audit"]).alias("own")).collect()
+    assert {r["c"]: r["own"] for r in got} == given
+
+
+def test_labels_and_inserts(spark):
+    labels = {" Fix  the cli ": "Fix the cli", "task_0123abcd": None, "see hprj_v12345678": None, "a/b": None, "x" * 81: None, "token: y": None, "file:x": None, "a..b": None, "‮ab": None}
+    rows = spark.createDataFrame([(x,) for x in labels], "x string").select("x", resolution.label(F.col("x")).alias("label")).collect()
+    assert {r["x"]: r["label"] for r in rows} == labels
+    known = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, c string")
+    arriving = spark.createDataFrame([(1, "a"), (1, "x"), (3, "n"), (3, "n"), (3, "m"), (2, "b")], "k long, c string")
+    outcomes = sorted((r["k"], r["outcome"]) for r in arbitration.split_inserts(known, arriving, "k", ["c"]).collect())
+    assert [x for x in outcomes if x[0] != 3] == [(1, "conflicting"), (1, "duplicate"), (2, "duplicate")]
+    assert [o for k, o in outcomes if k == 3].count("inserted") == 1 and len(outcomes) == 6
+
+
+def test_overlapping_and_long_intervals(spark):
+    """Against every interval tried for every event, by instants and by positions."""
+    rnd = random.Random(6)
+    marks = [(rnd.randrange(3), s := rnd.randrange(200), rnd.randrange(4), None if rnd.random() < 0.1 else s + rnd.choice([3, 10, 150]), rnd.randrange(4), f"l{i}") for i in range(40)] + [(None, 0, 0, None, 0, "null key")]
+    events = [(rnd.choice([0, 1, 2, 3, None]), rnd.randrange(-5, 260), rnd.randrange(4), i) for i in range(400)] + [(1, None, 0, 1000)]
+    iv = spark.createDataFrame(marks, "k int, start long, start_seq long, end long, end_seq long, label string")
+    ev = spark.createDataFrame(events, "k int, at long, seq long, id long")
+    found = {r["id"]: (r["label"], r["overlap"]) for r in intervals.attribute(ev, iv, ["k"], "at", "id", 50).collect()}
+    placed = {r["id"]: r["label"] for r in intervals.attribute_by_position(ev, iv, ["k"], "at", "seq", "id").collect()}
+    assert len(found) == len(placed) == len(events)
+    for k, at, seq, i in events:
+        held = [] if at is None or k is None else [(s, label) for mk, s, _, e, _, label in marks if mk == k and s <= at and (e is None or at < e)]
+        assert found[i] == ((max(held)[1], len(held) > 1) if held else (None, False))
+        first = [] if at is None or k is None else [(s, q, label) for mk, s, q, e, eq, label in marks if mk == k and (s, q) <= (at, seq) and (e is None or (at, seq) < (e, eq))]
+        assert not first or placed[i] in {x[2] for x in first if x[:2] == min(first)[:2]}
+        assert first or placed[i] is None
