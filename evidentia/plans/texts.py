@@ -40,16 +40,35 @@ def public_refs(spark, sf_dir):
     return keys.public_references(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id")), "id", KEY, "task_", least=1)
 
 
-@query(r"""SELECT doc_id, regexp_matches(t, '(?i)\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b') AS email, regexp_matches(t, '(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+') AS bearer,
-  regexp_matches(t, '(?i)\b(?:authorization|cookie|credential|passwd|password|secret|token|api[-_ ]?key|x[-_ ]?auth[-_ ]?token|access[-_ ]?key)\b\s*(?::|=)?\s*\S+') AS secret,
-  regexp_matches(t, '(?i)\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^@\s]+@\S+') AS url FROM (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x20\x7F]+', ' ', 'g'), ' ') AS t FROM documents)""")
+def _sensitive_sql() -> dict[str, str]:
+    """The eight patterns for an engine without looking around: what may not stand beside a match is matched instead."""
+    w, blank = r"\p{L}\p{M}\p{N}_", r"\s\p{Z}\x85"
+    start, end, some = rf"(?:^|[^{w}])", rf"(?:$|[^{w}])", rf"[^{blank}]+"
+    names = "authorization|cookie|credential|passwd|password|secret|token|api[-_ ]?key|x[-_ ]?auth[-_ ]?token|access[-_ ]?key"
+    return {
+        "email": rf"[{w}][{w}.+-]*@[{w}.-]+\.[A-Za-z]{{2,}}{end}",
+        "authorization": rf"{start}authorization[{blank}]*:[{blank}]*(?:bearer|basic)[{blank}]+{some}",
+        "bearer": rf"{start}bearer[{blank}]+[A-Za-z0-9._~+/=-]+",
+        "secret": rf"{start}(?:{names})(?:[{blank}]*(?::|=)[{blank}]*{some}|[{blank}]+{some}|[^{blank}{w}])",
+        "url": rf"{start}[a-z][a-z0-9+.-]*://[^/{blank}:@]+:[^@{blank}]+@{some}",
+        "phone": rf"(?:^|[^{w}+])(?:\+?\p{{Nd}}[{blank}().-]*){{10,15}}{end}",
+        "path": rf"{start}/(?:Users|home|private|var|etc|tmp|opt|Volumes)",
+        "long": rf"(?:^|[^{w}-])[A-Za-z0-9+/=_-]{{20,}}(?:$|[^{w}-])",
+    }
+
+
+_FOUND = {name: f"regexp_matches(t, '(?i){pattern}')" for name, pattern in _sensitive_sql().items()}
+_CLEAN = r"trim(regexp_replace(text, '[\x00-\x20\x7F]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, {', '.join(f'{x} AS {name}' for name, x in _FOUND.items())} FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)")
 def redact_text(spark, sf_dir):
     clean = text.normalised(F.col("text"))
     found = dict(zip(("email", "authorization", "bearer", "secret", "url", "phone", "path", "long"), text.matches_sensitive(clean)))
-    return table(spark, sf_dir, "documents").select("doc_id", *[found[k].alias(k) for k in ("email", "bearer", "secret", "url")])
+    return table(spark, sf_dir, "documents").select("doc_id", *[x.alias(name) for name, x in found.items()])
 
 
-@query(None)
+@query(f"SELECT conv_id, turn, CASE WHEN t = '' OR {' OR '.join(_FOUND.values())} THEN '[redacted]' ELSE t END AS note FROM (SELECT conv_id, turn, {_CLEAN} AS t FROM conversations)")
 def redacted_notes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.redacted(F.col("text")).alias("note"))
 
