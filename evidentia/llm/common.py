@@ -19,9 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, columns can be pruned,
-    and a lost executor costs no recomputation of what came before."""
+    and a lost executor costs no recomputation of what came before. The tables of an application lie in one folder, which
+    can be deleted when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
