@@ -164,7 +164,8 @@ def rare_first_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     In the order from rare to common, the first shingle that two similar sets share has at most size - overlap others
     before it in either. sets: doc_id, sh; labels: doc_id, comp.
     """
-    sized = sets.join(labels, "doc_id").join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size")), "comp")
+    comps = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
+    sized = sets.join(joined(labels, comps.withColumn("weight", F.col("comp_size")), ["comp"], "weight"), "doc_id")
     listed = sized.select("doc_id", "comp", "comp_size", F.size("sh").alias("n"), F.explode("sh").alias("s"))
     often = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     placed = listed.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")) - 1)
