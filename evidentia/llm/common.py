@@ -17,14 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, columns can be pruned,
-    and a lost executor costs no recomputation of what came before. The tables of an application lie in one folder, which
-    can be deleted when it has ended."""
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and where it lies: lineage ends there, columns can be
+    pruned, and a lost executor costs no recomputation of what came before. The tables of an application lie in one
+    folder, which can be deleted when it has ended."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    return stored_at(df, what)[0]
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:

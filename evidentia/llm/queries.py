@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
+from . import bpe, centroids, decontam, divergence, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
 from .common import shared_folder, stored, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -168,6 +168,71 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failed_bits, n_lines, n_upper_words FROM r
 """
 
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.delta_lloyd(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3)
+
+
+def _lloyd_sql(rounds: int = 10, clusters: int = 8, seed: int = 3) -> str:
+    """Lloyd's algorithm in plain rounds, a pair of tables each."""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL) ORDER BY h, x LIMIT {clusters}
+)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, min({{'d': list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'j': j}}) AS m FROM v, c{k} GROUP BY r
+)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT o.j, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (
+    SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT j, i, sum(e) AS s, count(*) AS n FROM (SELECT a.m.j AS j, unnest(range(1, 65)) AS i, unnest(x) AS e FROM v JOIN a{k} a USING (r)) GROUP BY j, i) GROUP BY j
+  ) n USING (j)
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, a.m.j::INTEGER AS cluster, a.m.d::BIGINT AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.j))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.j = a.m.j
+"""
+
+
+OP12_SQL = _lloyd_sql()
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source FROM d
+), dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS MATERIALIZED (
+  SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v))::BIGINT AS p FROM dense JOIN v USING (lang)
+), q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v))::BIGINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pair
+UNION ALL SELECT * FROM (
+  SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM term) WHERE rank <= 200
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_feistel_pii": op2_feistel_pii,
@@ -179,6 +244,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_language_mixture": op9_language_mixture,
     "op10_minmax_neardup": op10_minmax_neardup,
+    "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_simhash_decontamination": OP5_SQL, "op7_rule_ledger": OP7_SQL, "op10_minmax_neardup": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_simhash_decontamination": OP5_SQL, "op7_rule_ledger": OP7_SQL, "op10_minmax_neardup": OP10_SQL, "op12_delta_lloyd": OP12_SQL, "op13_source_divergence": OP13_SQL}
