@@ -99,7 +99,7 @@ def sketch(docs: DataFrame) -> list[np.ndarray]:
                     order = np.argsort(at, kind="stable")
                     at, own = at[order], n[order]
                     blocks, starts = np.unique(at // BLOCK, return_index=True)
-                    ends = [*starts[1:], len(at)]
+                    ends = [*starts, len(at)][1:]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(blocks), row), pa.int32()), pa.array(blocks, pa.int64()),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontam, divergence, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts
+from . import bpe, centroids, decontam, divergence, kneser_ney, langid, materialise, neardup, pii, quality, sharding, token_counts, toxicity
 from .common import shared_folder, stored, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -169,6 +169,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+TOXIC_FROM = 0.7
+
+
+def op11_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~F.coalesce(held_out(), F.lit(False)))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_words", "strong_words")
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.delta_lloyd(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3)
 
@@ -244,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_language_mixture": op9_language_mixture,
     "op10_minmax_neardup": op10_minmax_neardup,
+    "op11_class_kneser_ney": op11_class_kneser_ney,
     "op12_delta_lloyd": op12_delta_lloyd,
     "op13_source_divergence": op13_source_divergence,
 }
