@@ -20,8 +20,8 @@ sources is the result itself.
 
 The sketch has CELLS_PER_DOC counters per document, up to MOST_CELLS of two bits (ROWS * MOST_CELLS / 4 bytes are sent to
 the tasks, 128 MB at most). In a corpus so large that it fills up it discards less; results are the same. Its blocks are
-added up by the executors, a block a group, batch by batch. Counts are longs, and p is computed in decimals, since
-SCALE * count exceeds a long in a large corpus.
+added up by the executors, a block a group, batch by batch. Counts are longs; p is computed in decimals where
+SCALE * count exceeds a long.
 
 Defined cases: null text, language or source count as empty; repeated rows are documents of their own; a group without
 terms, or a language that keeps none, has its pairs (with value 0 where nothing is kept) and no term rows; an empty table
@@ -47,7 +47,7 @@ TOP = 200
 ROWS = 2
 CELLS_PER_DOC, LEAST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 28
 BLOCK = 1 << 16
-MOST_HELD = 400_000  # counts that a task holds before it sends them
+MOST_HELD = 800_000  # counts that a task holds before it sends them
 GRID = 8
 
 #: Bytes of terms, A-Z lower-cased, and a blank for any other byte.
@@ -143,44 +143,28 @@ def term_counts(docs: DataFrame, merged: list[np.ndarray]) -> DataFrame:
     of the group with the term."""
     sent = docs.sparkSession.sparkContext.broadcast(merged)
 
+    def handed(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, seen) in held.items():
+            names = list(counts)
+            at = np.flatnonzero(possible(sent.value, lang, names))
+            for i in range(0, len(at), 50_000):
+                some = [names[k] for k in at[i : i + 50_000]]
+                columns = [pa.repeat(pa.scalar(x.decode()), len(some)) for x in (lang, source)]
+                n = [np.fromiter(map(c.__getitem__, some), np.int64, len(some)) for c in (counts, seen)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(some, pa.binary()).cast(pa.string()), *map(pa.array, n)], names=["lang", "source", "term", "n", "docs"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, list[int]]] = {}
-        size = 0
-
-        def handed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), own in held.items():
-                found = list(own)
-                for at in range(0, len(found), 50_000):
-                    some = found[at : at + 50_000]
-                    n = np.array([own[t] for t in some], np.int64).reshape(len(some), 2)
-                    columns = [pa.array([x] * len(some), pa.binary()).cast(pa.string()) for x in (lang, source)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(some, pa.binary()).cast(pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["lang", "source", "term", "n", "docs"])
-
-        known: dict[bytes, dict[bytes, bool]] = {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}
         for batch, texts in slices(batches, most_chars=2_000_000):
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-                own = Counter(terms(text))
-                judged = known.setdefault(lang, {})
-                new = [t for t in own if t not in judged]
-                judged.update(zip(new, possible(sent.value, lang, new).tolist(), strict=True))
-                group = held.setdefault((lang, source), {})
-                size -= len(group)
-                for t, n in own.items():
-                    if judged[t]:
-                        entry = group.get(t)
-                        if entry is None:
-                            group[t] = [n, 1]
-                        else:
-                            entry[0] += n
-                            entry[1] += 1
-                size += len(group)
-                if sum(map(len, known.values())) > MOST_HELD:
-                    known.clear()
-                if size > MOST_HELD:
-                    yield from handed()
-                    held.clear()
-                    size = 0
-        yield from handed()
+                counts, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                own = terms(text)
+                counts.update(own)
+                seen.update(set(own))
+            if sum(len(c) for c, _ in held.values()) > MOST_HELD:
+                yield from handed(held)
+                held = {}
+        yield from handed(held)
 
     found = _rows(docs).mapInArrow(counted, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -188,8 +172,9 @@ def term_counts(docs: DataFrame, merged: list[np.ndarray]) -> DataFrame:
 
 def chance(n: str, total: str, kept: str) -> Column:
     """p of a term with n of total occurrences among `kept` terms (1 + SCALE where nothing is kept)."""
-    part = f"CAST({SCALE} AS DECIMAL(10, 0)) * CAST({n} + 1 AS DECIMAL(20, 0))"
-    return F.expr(f"1L + ({part}) div CAST(greatest({total} + {kept}, 1L) AS DECIMAL(20, 0))")
+    whole = f"greatest({total} + {kept}, 1L)"
+    large = f"(CAST({SCALE} AS DECIMAL(10, 0)) * CAST({n} + 1 AS DECIMAL(20, 0))) div CAST({whole} AS DECIMAL(20, 0))"
+    return F.expr(f"1L + CASE WHEN {n} < {(1 << 63) // SCALE - 1}L THEN ({SCALE}L * ({n} + 1)) div {whole} ELSE {large} END")
 
 
 def apart(p: str, q: str) -> Column:
