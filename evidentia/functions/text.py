@@ -29,6 +29,8 @@ FAMILY_SEGMENTS = (
 )
 # Words in an output that point to the environment.
 INFRASTRUCTURE = ("sandbox", "network", "econn", "timed out", "permission denied")
+# The same for results that come as objects.
+STRUCTURED_INFRASTRUCTURE = (*INFRASTRUCTURE, "timeout", "connection refused", "could not resolve", "no space left", "resource temporarily unavailable")
 
 
 def matches_sensitive(text: Column) -> list[Column]:
@@ -65,8 +67,8 @@ def path_key(path: Column, project_root: str, key: bytes) -> Column:
     return F.when(inside, F.substring(path, len(root) + 1, 1 << 20)).otherwise(F.concat(F.lit("external/"), F.substring(pseudonym("path", path, key), 1, 20)))
 
 
-def points_to_infrastructure(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(m) for m in INFRASTRUCTURE])
+def points_to_infrastructure(text: Column, markers: tuple[str, ...] = INFRASTRUCTURE) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(text).contains(m) for m in markers])
 
 
 def structured_outcome(exit_code: Column, diagnostic: Column) -> dict[str, Column]:
@@ -78,6 +80,44 @@ def structured_outcome(exit_code: Column, diagnostic: Column) -> dict[str, Colum
     }
 
 
+def structured_result(output: Column) -> dict[str, Column]:
+    """exit_status, outcome, cause and completeness of a call's output (JSON text): an object whose exit_code is a whole
+    number, or a list that holds exactly one object with an exit_code, plain or as the text of an input_text. Several
+    such objects in a list are a conflict; anything else has no exit status."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    whole = F.try_parse_json(output)
+
+    def unwrapped(item: Column) -> Column:
+        text = F.try_variant_get(item, "$.text", "string")
+        own = F.when(F.try_variant_get(item, "$.type", "string") == "input_text", F.try_parse_json(text)).otherwise(item)
+        return F.when(kind(own) == "STRING", F.try_parse_json(F.try_variant_get(own, "$", "string"))).otherwise(own)
+
+    listed = F.filter(F.transform(F.try_variant_get(whole, "$", "array<variant>"), unwrapped), lambda v: kind(v).startswith("OBJECT") & F.try_variant_get(v, "$.exit_code", "variant").isNotNull())
+    is_list = kind(whole).startswith("ARRAY")
+    one = F.when(is_list, F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))).when(kind(whole).startswith("OBJECT"), whole)
+    code = F.try_variant_get(one, "$.exit_code", "variant")
+    status = F.when(kind(code).isin("BIGINT", "DECIMAL"), F.try_variant_get(one, "$.exit_code", "long"))
+    said = [F.when(kind(F.try_variant_get(one, f"$.{c}", "variant")) == "STRING", F.substring(F.try_variant_get(one, f"$.{c}", "string"), 1, 4096)) for c in ("stdout", "stderr", "message", "output")]
+    infra = points_to_infrastructure(F.concat_ws(" ", *said), STRUCTURED_INFRASTRUCTURE)
+    return {
+        "exit_status": status, "outcome": F.when(status.isNull(), "unknown").when(status == 0, "success").otherwise("failed"),
+        "cause": F.when(status.isNull(), "unknown").when(status == 0, "none").when(infra, "infra_failure").otherwise("product_failure"),
+        "completeness": F.when(is_list & (F.size(listed) > 1), "conflicted").when(status.isNull(), "result_without_exit").otherwise("complete"),
+    }
+
+
+def tool_end_state(result: Column, success: Column) -> Column:
+    """How a tool ended, from the texts of its result (JSON or Ok) and its success flag."""
+    fine = (result == "Ok") | F.get_json_object(result, "$.Ok").isNotNull() | (success == "true")
+    return F.when(F.coalesce(fine, F.lit(False)), "success").when(result.isNotNull() | (success == "false"), "failed").otherwise("unknown")
+
+
+def duration_ms(secs: Column, nanos: Column) -> Column:
+    """Milliseconds of a duration of seconds and nanoseconds; null without either."""
+    part = lambda c: F.coalesce(F.when(c.try_cast("long") >= 0, c.try_cast("long")), F.lit(0))
+    return F.when(secs.isNotNull() | nanos.isNotNull(), part(secs) * 1000 + F.floor(part(nanos) / 1_000_000))
+
+
 def wrapper_outcome(text: Column) -> dict[str, Column]:
     """outcome and latency_ms that the text of a tool wrapper tells."""
     lowered = F.lower(text)

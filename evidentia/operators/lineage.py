@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import shared_folder
-from .joins import joined
+from .joins import joined, least_hot
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -25,25 +25,30 @@ def _cut(df: DataFrame) -> DataFrame:
 def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """node, root. Parents that are null, unknown or the node itself end a chain; a cycle's root is its smallest node.
 
-    Pointer jumping doubles the distance in every round, keeping the least node passed; after as many rounds as the
-    logarithm of the node count, a chain has ended, or it runs in a cycle whose least node has been passed.
+    Pointer jumping doubles the distance in every round, keeping the least node passed. A chain ends after as many rounds
+    as the logarithm of its length. Nodes that lead into cycles never end: once a round ends no chain, reaches as many
+    nodes as the round before (so these are the nodes of cycles) and passes no lesser node (so cycles are passed whole),
+    all is known.
     """
     known = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).dropDuplicates(["n"])
     exists = known.select(F.col("n").alias("p"))
     linked = known.join(exists, "p", "left_semi").where("n <> p")
     every = _cut(known.select("n").join(linked, "n", "left").select("n", F.col("p").alias("next"), F.col("n").alias("least"), F.coalesce("p", "n").alias("last")))
     # nodes whose chain has ended are set aside: they are looked up, but looked at no more
-    active, ended = every.where("next IS NOT NULL"), [every.where("next IS NULL")]
-    rounds = max(1, (max(1, every.count() - 1)).bit_length() + 1)
-    for _ in range(rounds):
+    active, ended, reached = every.where("next IS NOT NULL"), [every.where("next IS NULL")], None
+    while True:
+        rows = active.groupBy("next").agg(F.count(F.lit(1)).alias("_rows"))
+        n_next, n_active, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+        if n_active == 0:
+            break
         ahead = reduce(DataFrame.unionByName, ended, active).select(F.col("n").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"), F.col("last").alias("_last"))
-        ahead = ahead.join(active.groupBy("next").agg(F.count(F.lit(1)).alias("_rows")), "next")
-        moved = joined(active, ahead, ["next"], "_rows")
-        moved = _cut(moved.select("n", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), F.col("_last").alias("last")))
-        active = moved.where("next IS NOT NULL")
-        ended.append(moved.where("next IS NULL"))
-        if active.limit(1).count() == 0:
+        met = active.join(ahead, "next") if most < least_hot(n_active) else joined(active, _cut(ahead.join(rows, "next")), ["next"], "_rows")
+        moved = _cut(met.select("n", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), F.col("_last").alias("last"), (F.col("_least") < F.col("least")).alias("lower")))
+        n_ended, n_lower = moved.agg(F.count_if(F.col("next").isNull()), F.count_if("lower")).first()
+        if n_ended == 0 and n_lower == 0 and n_next == reached:
             break
+        reached, active = n_next if n_ended == 0 else None, moved.where("next IS NOT NULL").drop("lower")
+        ended.append(moved.where("next IS NULL").drop("lower"))
     # what still has a next node leads into a cycle: its root is the least node that the cycle itself passes
     cycle = active.select(F.col("next").alias("_c")).distinct().join(active.select(F.col("n").alias("_c"), F.col("least").alias("_root")), "_c")
     rooted = active.join(cycle, F.col("next") == F.col("_c"), "left").select("n", F.coalesce("_root", "last").alias("root"))

@@ -39,13 +39,13 @@ def working(prefix: str = ""):
     return F.col(f"{prefix}input") - F.col(f"{prefix}cached") + F.col(f"{prefix}output")
 
 
-def usage(sessions: DataFrame, tokens: DataFrame, activities: DataFrame, roots: DataFrame) -> DataFrame:
+def usage(sessions: DataFrame, tokens: DataFrame, activities: DataFrame, roots: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """A row per root: members, subagents, cycle_edges; recorded_*, baseline_* and unique_* of each component, working and
     full_context; wall_ms, agent_ms; observed and zero baselines; caveats. A component that a member never reported is null.
 
-    activities: session_id, observed_ns.
+    activities: session_id, observed_ns. within: the members, as of tasks.plans; without it, what is reached from the roots.
     """
-    tree = members(sessions, roots)
+    tree = members(sessions, roots) if within is None else within
     inside = tokens.join(tree, "session_id").where("observed_ns <= cutoff_ns AND (started_ns IS NULL OR observed_ns >= started_ns)")
     per_root = ["root", "session_id"]
     epochs = counters.with_epochs(inside, per_root, ["observed_ns", "sequence"], COMPONENTS)
