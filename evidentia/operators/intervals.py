@@ -59,19 +59,36 @@ def _by_bins(events: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     return events.join(found, identity, "left").withColumn("label", F.col("_best.label")).withColumn("overlap", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_best", "_n")
 
 
+def dropped(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, no_start, not_after: how many intervals of a key hold nothing, since their start isn't known, or since they
+    end at or before it. intervals: keys, start, end, and the positions start_seq and end_seq where there are any."""
+    placed = "start_seq" in intervals.columns
+    ends = F.struct("end", *["end_seq"][: int(placed)]) <= F.struct(F.col("start").alias("end"), *[F.col("start_seq").alias("end_seq")][: int(placed)])
+    missing = F.col("start").isNull()
+    counts = intervals.groupBy(*keys).agg(F.count_if(missing).alias("no_start"), F.count_if(~missing & F.col("end").isNotNull() & ends).alias("not_after"))
+    return counts.where("no_start > 0 OR not_after > 0")
+
+
 def attribute_by_position(deltas: DataFrame, intervals: DataFrame, keys: list[str], at: str, sequence: str, identity: str) -> DataFrame:
-    """Adds the label of the first interval that holds (instant, sequence), compared lexicographically.
+    """Adds the label of the first interval that holds (instant, sequence), compared lexicographically; of intervals that
+    start at one place the one that ends last counts, then the least label. What `dropped` counts holds nothing.
 
-    intervals: keys, start, start_seq, end, end_seq, label. One sort answers for what one interval at most can hold; only
-    events into which several reach meet the intervals of their key.
+    intervals: keys, start, start_seq, end, end_seq, label. An interval that ends no later than one before it is never
+    the first. Without these, starts and ends grow together, so the first to hold an event is the first that ends after
+    it: two sorted passes, however many intervals overlap.
     """
     place = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("seq"))
-    met = _latest(deltas, intervals, keys, place(at, sequence), place("start", "start_seq"), F.when(F.col("end").isNotNull(), place("end", "end_seq")))
-    answered = met.where("NOT _others").select(*deltas.columns, F.when(F.col("_holds"), F.col("_iv.label")).alias("label"))
-    rest = met.where("_others").select(*deltas.columns)
-    held = rest.join(intervals, keys).where((place(at, sequence) >= place("start", "start_seq")) & (F.col("end").isNull() | (place(at, sequence) < place("end", "end_seq"))))
-    found = held.groupBy(identity).agg(F.min_by("label", place("start", "start_seq")).alias("label"))
-    return answered.unionByName(rest.join(found, identity, "left").select(*deltas.columns, "label"))
+    sound = intervals.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where("start IS NOT NULL")
+    made = sound.select(*keys, place("start", "start_seq").alias("_from"), F.when(F.col("end").isNotNull(), place("end", "end_seq")).alias("_to"), "label").where("_to IS NULL OR _to > _from")
+    before = Window.partitionBy(*keys).orderBy("_from", F.col("_to").desc_nulls_first(), "label").rowsBetween(Window.unboundedPreceding, -1)
+    reach = made.withColumns({"_far": F.max("_to").over(before), "_open": F.coalesce(F.bool_or(F.col("_to").isNull()).over(before), F.lit(False))})
+    leading = reach.where(~F.col("_open") & (F.col("_to").isNull() | F.col("_far").isNull() | (F.col("_to") > F.col("_far"))))
+    marks = leading.select(*[F.col(c) if c in keys else F.lit(None).cast(deltas.schema[c].dataType).alias(c) for c in deltas.columns], F.col("_to").alias("_place"), F.struct("_from", "label").alias("_iv"), F.lit(1).alias("_mark"))
+    probes = deltas.withColumns({"_place": place(at, sequence), "_iv": F.lit(None).cast(marks.schema["_iv"].dataType), "_mark": F.lit(0)})
+    # from the last place to the first: the mark passed last is the least end after an event
+    downward = Window.partitionBy(*keys).orderBy(F.col("_place").desc_nulls_first(), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = probes.unionByName(marks).withColumn("_iv", F.last("_iv", ignorenulls=True).over(downward)).where("_mark = 0")
+    return met.select(*deltas.columns, F.when(F.col("_place") >= F.col("_iv._from"), F.col("_iv.label")).alias("label"))
 
 
 def coverage(attributed: DataFrame, keys: list[str], amount: str, labels: list[str]) -> DataFrame:

@@ -140,6 +140,31 @@ def position_attribution(spark, sf_dir):
     return intervals.attribute_by_position(views, marks, ["user_id"], "at_us", "event_id", "event_id").select("event_id", "label")
 
 
+# Intervals of any length from every purchase and signup: many overlap, some never end, some have no start or end before it.
+_SPREAD = f"""{OBS}, iv AS (SELECT user_id, CASE WHEN k % 11 <> 0 THEN at_us END AS s, event_id AS ss, CASE WHEN k % 13 <> 0 THEN at_us + (amount % 90 - 5) * {HOUR} END AS e, event_id % 7 AS es, event_type || k AS label
+  FROM obs WHERE event_type IN ('signup', 'purchase'))"""
+
+
+def _spread(spark, sf_dir) -> DataFrame:
+    k, at = F.col("k"), F.col("at_us")
+    return observations(spark, sf_dir).where(F.col("event_type").isin(OPENERS)).select(
+        "user_id", F.when(k % 11 != 0, at).alias("start"), F.col("event_id").alias("start_seq"), F.when(k % 13 != 0, at + (F.col("amount") % 90 - 5) * HOUR).alias("end"), (F.col("event_id") % 7).alias("end_seq"),
+        F.concat("event_type", k.cast("string")).alias("label"))
+
+
+@query(f"""WITH {_SPREAD} SELECT o.event_id, min_by(label, (s, ss)) AS label FROM (SELECT * FROM obs WHERE event_type NOT IN ('signup', 'purchase')) o
+LEFT JOIN iv ON iv.user_id = o.user_id AND s IS NOT NULL AND (o.at_us, o.event_id) >= (s, ss) AND (e IS NULL OR (o.at_us, o.event_id) < (e, es)) GROUP BY o.event_id""")
+def position_overlaps(spark, sf_dir):
+    events = observations(spark, sf_dir).where(~F.col("event_type").isin(OPENERS)).select("user_id", "event_id", "at_us")
+    return intervals.attribute_by_position(events, _spread(spark, sf_dir), ["user_id"], "at_us", "event_id", "event_id").select("event_id", "label")
+
+
+@query(f"""WITH {_SPREAD} SELECT user_id, count_if(s IS NULL) AS no_start, count_if(s IS NOT NULL AND e IS NOT NULL AND (e, es) <= (s, ss)) AS not_after FROM iv GROUP BY user_id
+HAVING count_if(s IS NULL) > 0 OR count_if(s IS NOT NULL AND e IS NOT NULL AND (e, es) <= (s, ss)) > 0""")
+def dropped_intervals(spark, sf_dir):
+    return intervals.dropped(_spread(spark, sf_dir), ["user_id"])
+
+
 @query(f"""WITH {OBS} SELECT e.event_id, e.user_id, c.event_id AS click_id FROM (SELECT * FROM obs WHERE event_type = 'error') e
   ASOF LEFT JOIN (SELECT * FROM obs WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.at_us >= c.at_us""")
 def asof_backward(spark, sf_dir):
