@@ -57,11 +57,117 @@ def test_lines_of_many_splits_keep_their_numbers(spark, tmp_path):
     assert {r["ordinal"]: r["line"] for r in found if r["path"].endswith("b.jsonl")} == {1: "one\r", 2: "", 3: "two"}
 
 
-@pytest.mark.skipif(not RECORDED, reason="RECORDED_SESSIONS names no folder")
-@pytest.mark.parametrize("name", ["newer", "older"])
-def test_recorded_sessions(spark, name):
-    want = json.loads((Path(RECORDED) / f"{name}-manifest.json").read_text())
-    facts = ingest.facts(spark, str(Path(RECORDED) / name), KEY)
+def call(second, name, call_id, **arguments):
+    return line(second, "response_item", {"type": "function_call", "call_id": call_id, "name": name, "arguments": json.dumps(arguments)})
+
+
+def output(second, call_id, **result):
+    return line(second, "response_item", {"type": "function_call_output", "call_id": call_id, "output": json.dumps(result)})
+
+
+def test_tools_tests_and_files(spark, tmp_path):
+    ended = {"type": "patch_apply_end", "call_id": "p", "success": True, "duration": {"secs": 1, "nanos": 5_000_000}, "changes": {"/w/src/b.py": {}, "/etc/passwd": {}}}
+    rows = [
+        line(0, "session_meta", {"id": "s", "timestamp": "2024-01-01T00:00:00Z", "cwd": "/w"}), line(1, "turn_context", {"turn_id": "t"}),
+        call(2, "exec_command", "c1", cmd="pytest -q"), output(4, "c1", exit_code=1, stdout="assert 1 == 2"),
+        call(5, "apply_patch", "p", patch="*** Update File: src/a.py\n@@\n*** Add File: ../out.py\n"), line(6, "event_msg", ended),
+        call(7, "exec_command", "c1", cmd="pytest -q"), output(9, "c1", exit_code=0), call(10, "exec_command", "c2", cmd="pytest -q"), output(11, "c2", exit_code=1, stderr="Connection refused"),
+        call(12, "exec_command", "c3", cmd="pytest -q"), output(13, "c3", exit_code=0), call(14, "exec_command", "c4", cmd="cat src/a.py /w/x.txt"), output(15, "c4", exit_code=0),
+        call(16, "exec_command", "c5", cmd="cat secret.txt"), output(17, "c5", exit_code=2), call(18, "view_image", "v", path="img/x.png"), output(19, "r", exit_code=0),
+        line(20, "event_msg", {"type": "mcp_tool_call_end", "call_id": "m", "result": {"Err": "no"}}), line(21, "event_msg", {"type": "sub_agent_activity", "agent_thread_id": "child"}),
+        call(22, "exec_command", "c6", cmd="pytest -q"),
+    ]
+    (tmp_path / "rollout-s.jsonl").write_text("\n".join(rows) + "\n")
+    facts = ingest.facts(spark, str(tmp_path), KEY)
+    spans = sorted(((r["tool"], r["category"], r["state"], r["latency_ms"]) for r in facts.spans.collect()), key=str)
+    # the call id c1 is used twice: one span from its first start to its last end
+    assert spans == sorted([
+        ("exec_command", "tool", "success", 7000), ("apply_patch", "tool", "success", 1005), ("exec_command", "tool", "failed", 1000), ("exec_command", "tool", "success", 1000), ("exec_command", "tool", "success", 1000),
+        ("exec_command", "tool", "failed", 1000), ("view_image", "tool", "unknown", None), ("function", "tool", "success", None), ("mcp", "tool", "failed", None), ("exec_command", "tool", "unknown", None)], key=str)
+    tests = [(r["runner"], r["scope"], r["outcome"], r["cause"], r["retry"], r["attempt"]) for r in facts.tests.orderBy("attempt").collect()]
+    assert tests == [("pytest", "full", "success", "none", "none", 1), ("pytest", "full", "failed", "infra_failure", "none", 2), ("pytest", "full", "success", "none", "infra_recovery", 3)]
+    files = {(r["operation"], r["path"], r["tool"]) for r in facts.files.collect()}
+    assert files == {("write", "src/a.py", "apply_patch"), ("write", "src/b.py", "apply_patch"), ("read", "img/x.png", "view_image")}  # a command with one unclear path tells nothing, nor does one that failed
+    assert {(r["session_id"], r["parent_id"], r["parent_kind"], r["paths"]) for r in facts.sessions.collect()} == {("s", None, None, 1), ("child", "s", "inferred", 0)}
+
+
+@pytest.mark.parametrize("output, want", [
+    ('{"exit_code": 0}', (0, "success", "none", "complete")), ('{"exit_code": "0"}', (None, "unknown", "unknown", "result_without_exit")), ('{"exit_code": true}', (None, "unknown", "unknown", "result_without_exit")),
+    ('{"exit_code": 3, "message": "No space LEFT"}', (3, "failed", "infra_failure", "complete")), ('[{"type": "input_text", "text": "{\\"exit_code\\": 1}"}, "words"]', (1, "failed", "product_failure", "complete")),
+    ('[{"exit_code": 1}, {"exit_code": 0}]', (None, "unknown", "unknown", "conflicted")), ("[]", (None, "unknown", "unknown", "result_without_exit")), ("plain words", (None, "unknown", "unknown", "result_without_exit")),
+    (None, (None, "unknown", "unknown", "result_without_exit")), ('{"exit_code": 1.5}', (None, "unknown", "unknown", "result_without_exit")),
+])
+def test_structured_results(spark, output, want):
+    from evidentia.functions import text
+
+    df = spark.createDataFrame([(output,)], "o string")
+    found = df.select(*[v.alias(k) for k, v in text.structured_result(df["o"]).items()]).first()
+    assert (found["exit_status"], found["outcome"], found["cause"], found["completeness"]) == want
+
+
+def test_parents_are_claims(spark, tmp_path):
+    """Two files of a session that confirm different parents leave it without one; a root without an end is a task."""
+    metas = [("a1/rollout-c.jsonl", "c", "p"), ("a2/rollout-c.jsonl", "c", "q"), ("rollout-p.jsonl", "p", None), ("rollout-q.jsonl", "q", None), ("rollout-o.jsonl", "o", "unknown")]
+    for name, own, parent in metas:
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(line(0, "session_meta", {"id": own, "timestamp": "2024-01-01T00:00:00Z", **({"parent_thread_id": parent} if parent else {})}) + "\n" + line(3, "event_msg", tokens(10)) + "\n")
+    facts = ingest.facts(spark, str(tmp_path), KEY)
+    assert {(r["session_id"], r["parent_kind"]) for r in facts.sessions.collect()} == {("c", "ambiguous"), ("p", None), ("q", None), ("o", "confirmed")}
+    used = {r["root"]: (r["status"], r["members"], r["unique_input"]) for r in facts.usage().collect()}
+    assert used == {k: ("incomplete", 1, 10) for k in "cpqo"}
+
+
+def test_a_file_is_numbered_and_filled_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [line(0, "session_meta", {"id": "s"})] + [line(1, "turn_context", {"turn_id": f"t{i}"}) if i % 9 == 0 else line(2, "event_msg", tokens(i)) for i in range(1, 60)]
+    (tmp_path / "rollout-s.jsonl").write_text("\n".join(rows) + "\n" + "unfinished é")
+    monkeypatch.setattr(rollout, "CHUNK_LINES", 4)
+    monkeypatch.setattr(rollout, "BLOCK_LINES", 4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        lines = rollout.lines(spark, str(tmp_path), KEY)
+        assert lines.rdd.getNumPartitions() > 5
+        filled = {r["ordinal"]: (r["at_session"], r["at_turn"]) for r in rollout.filled_forward(rollout.parse(lines)).collect()}
+        ends = {r["ordinal"]: r["end_byte"] for r in rollout.byte_ends(spark, str(tmp_path)).collect()}
+        blocks = rollout.block_digests(lines).collect()
+        whole = rollout.file_digests(rollout.block_digests(lines)).collect()
+        kept = lines.select("path", "ordinal", "fingerprint").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert filled == {i + 1: ("s", f"t{i // 9 * 9}" if i >= 9 else None) for i in range(60)}
+    sizes = [len(r.encode()) + 1 for r in rows]
+    assert ends == {i + 1: sum(sizes[: i + 1]) for i in range(60)}
+    assert len(blocks) == 15 and [r["lines"] for r in whole] == [60]
+    again = spark.createDataFrame(kept).repartition(7)
+    assert rollout.file_digests(rollout.block_digests(again)).collect() == whole
+    other = spark.createDataFrame([(p, o, "x" if o == 50 else f) for p, o, f in kept], "path string, ordinal long, fingerprint string")
+    assert rollout.file_digests(rollout.block_digests(other)).first()["digest"] != whole[0]["digest"]
+
+
+@pytest.mark.parametrize("old, new, want", [("abcde", "abcde", "exact"), ("abc", "abcdefg", "append"), ("abcdefg", "abcd", "truncate"), ("abxde", "abcdefg", "rewrite"), ("abcdx", "abcdefg", "rewrite"), ("abcd", "abcdefg", "append"), ("", "abc", "new"), ("ab", "", "gone")])
+def test_relations_of_files(spark, monkeypatch, old, new, want):
+    monkeypatch.setattr(rollout, "BLOCK_LINES", 4)
+    a, b = (spark.createDataFrame([("f", i + 1, c) for i, c in enumerate(x)], "path string, ordinal long, fingerprint string") for x in (old, new))
+    found = rollout.relations(a, b).collect()
+    assert [(r["old_lines"], r["new_lines"], r["relation"]) for r in found] == [(len(old), len(new), want)]
+
+
+if RECORDED:
+
+    @pytest.mark.parametrize("name", ["newer", "older"])
+    def test_recorded_sessions(spark, name):
+        compare_recorded(spark, Path(RECORDED), name)
+
+
+def test_own_recording(spark):
+    """A small recording with its figures, worked out by hand: a replayed baseline, an epoch, a silent session, what comes after
+    the end."""
+    compare_recorded(spark, Path(__file__).parent / "recorded", "small")
+
+
+def compare_recorded(spark, folder, name):
+    want = json.loads((folder / f"{name}-manifest.json").read_text())
+    facts = ingest.facts(spark, str(folder / name), KEY)
     got = next(r for r in facts.usage().collect() if r["root"] == want["root"])
     e = want["expected"]
     assert got["members"] == e["sessions"]
