@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of SHINGLE words. Under each of PER
 and the greatest value are kept, so one evaluation gives two signature values; ROWS values make a band. Documents that
 share a band are candidates, in two steps that never list all pairs of a bucket:
 
-1. every member of a bucket is compared with the bucket's smallest document, on full sets; confirmed links give
-   components;
+1. every member of a bucket is compared with the bucket's smallest document, on full sets: first with the smallest one
+   of all its buckets, and then, where that has not put them into one component, with those of its other buckets;
+   confirmed links give components;
 2. buckets that still hold several components hand over their documents to an exact join: shingles are ordered by
    how rare they are among these documents, and two documents of different components are compared only if they share
    a shingle so early in both orders that enough of each is left to reach the similarity. Documents of one component
@@ -158,6 +159,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.drop("degree")
 
 
+def with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets (cid, band, first) with comp and first_comp, the components of the member and of the
+    bucket's least node; a node without a link is its own component."""
+    own = labels.select(F.col("node").alias("cid"), "comp")
+    found = members.join(own, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    heads = members.groupBy(F.col("first").alias("cid")).agg(F.count(F.lit(1)).alias("n_rows")).join(own, "cid", "left")
+    heads = stored(heads.select(F.col("cid").alias("first"), F.coalesce("comp", "cid").alias("first_comp"), "n_rows"), "heads")
+    return stored(joined(found, heads, ["first"], "n_rows"), "labelled")
+
+
 def rare_first_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components among these sets that can reach the similarity: exact, by rare shingles.
 
@@ -197,12 +208,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
     once = shingle_sets(texts).join(wanted, ["doc_id", "k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.first("cid").alias("cid"), F.first("sh").alias("sh"))
     sets = stored(once.select(F.col("cid").alias("doc_id"), "sh"), "sets")
-    stars = stored(members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-    edges = confirmed(stars, sets).checkpoint()
-    labels = components(edges)
-
-    labelled = members.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    open_buckets = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    # every node meets the least node of its buckets; then those of each bucket that are still in other components
+    nearest = stored(members.where("cid <> first").groupBy(F.col("cid").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "nearest")
+    edges = confirmed(nearest, sets).checkpoint()
+    labelled = with_components(members, components(edges))
+    apart = labelled.where("cid <> first AND comp <> first_comp").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = stored(apart.join(nearest, ["a", "b"], "left_anti"), "stars")
+    edges = edges.union(confirmed(stars, sets)).checkpoint()
+
+    labelled = with_components(members, components(edges))
+    open_buckets = labelled.where("comp <> first_comp").select("band").distinct()
     open_docs = stored(labelled.join(open_buckets, "band", "left_semi").select(F.col("cid").alias("doc_id"), "comp").distinct(), "open")
     more = confirmed(stored(rare_first_pairs(sets.join(open_docs.select("doc_id"), "doc_id", "left_semi"), open_docs), "rare-pairs"), sets)
     member = named.join(classes, ["k1", "k2"]).select("doc_id", "cid").distinct()
