@@ -59,6 +59,7 @@ def found(spark, rows, **set_to):
 def test_against_dense_tables(spark, monkeypatch, held, hot, cells):
     monkeypatch.setattr(dv, "MOST_HELD", held)
     monkeypatch.setattr(joins, "HOT_SHARE", hot)
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
     rows = made(120, 3)
     rows += rows[:20]  # repeated rows count
     rows += [(None, None, None, None), (500, "", "en", "empty"), (501, "zzz yyy", "xx", "a"), (502, "", "xx", "b"), (503, "aa" * 60_000 + " b" * 5000, "en", "s1")]

@@ -66,6 +66,7 @@ def expected(rows, trusted):
 @pytest.mark.parametrize("hot_share, step", [(joins.HOT_SHARE, kn.STEP), (0.05, 7)])
 def test_against_formulas(spark, monkeypatch, hot_share, step):
     monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
     monkeypatch.setattr(joins, "SALTS", 3)
     asked = ["the cat met the dog", "zzqx#$ kkk", "é the 🙂 log", "Der Der Der Der"]
     rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(50 + i, t, "de") for i, t in enumerate(GOOD[::-1])] + [(100 + i, t, "en") for i, t in enumerate(asked)]

@@ -48,6 +48,7 @@ def test_against_brute_force(spark):
 def test_split_groups_change_nothing(spark, monkeypatch):
     """Bands that see little leave nearly all to the exact join, whose shingles, hubs and labels are all split."""
     monkeypatch.setattr(joins, "HOT_SHARE", 0.01)
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
     monkeypatch.setattr(joins, "SALTS", 3)
     monkeypatch.setattr(neardup, "bands", lambda own: np.array([len(own) % 2 + 1], np.uint64))
     rnd = random.Random(8)
