@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_text, repeated_keys
 from .facts import thresholds
 
 # The bounds that a cohort has to keep.
@@ -47,3 +48,18 @@ def gates() -> dict[str, Column]:
 def decided(cohorts: DataFrame) -> DataFrame:
     """The facts with a boolean per gate, and whether the run may be closed as verified."""
     return thresholds(cohorts, gates())
+
+
+def closed(runs: DataFrame, audits: DataFrame) -> DataFrame:
+    """runs (project, state, verified) with `outcome`: closed, or why not: not_open, missing_audit, malformed_audit,
+    ambiguous_audit (several audits, or one that holds a key twice), changed_audit (its canonical text hasn't the digest
+    it was given) or gates. audits: project, audit (JSON text), digest."""
+    several = audits.groupBy("project").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("audit", "digest")).alias("_a"))
+    text = F.col("_a.audit")
+    repeated = repeated_keys(text)
+    outcome = (
+        F.when(F.coalesce(F.col("state") != "open", F.lit(True)), "not_open").when(F.col("_n").isNull() | text.isNull(), "missing_audit").when(F.col("_n") > 1, "ambiguous_audit")
+        .when(repeated.isNull(), "malformed_audit").when(repeated, "ambiguous_audit").when(~F.sha2(canonical_text(text), 256).eqNullSafe(F.col("_a.digest")), "changed_audit")
+        .when(F.coalesce("verified", F.lit(False)), "closed").otherwise("gates")
+    )
+    return runs.join(several, "project", "left").select(*runs.columns, outcome.alias("outcome"))

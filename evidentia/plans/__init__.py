@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, audits, calls, incremental, models, reports, resolutions, snapshots, tasks, texts
+from . import activity, audits, calls, incremental, models, outcomes, registry, reports, resolutions, snapshots, tasks, texts
 
-_MODULES = (activity, reports, resolutions, models, audits, texts, snapshots, incremental, tasks, calls)
+_MODULES = (activity, reports, resolutions, models, audits, texts, snapshots, incremental, tasks, calls, registry, outcomes)
 
 
 def queries() -> dict:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import instants
+from ..functions.canonical import repeated_keys
 from ..functions.keys import hmac_sha256, pseudonym
 
 # Notification method -> kind of event.
 METHODS = {
     "thread/started": "session_started", "turn/started": "turn_started", "turn/completed": "turn_completed", "item/started": "item_started",
-    "item/completed": "item_completed", "thread/tokenUsage/updated": "tokens",
+    "item/completed": "item_completed", "thread/tokenUsage/updated": "tokens", "thread/archived": "session_archived", "thread/unarchived": "session_unarchived",
 }
+# Methods that have to name a turn, and an item.
+OF_TURNS = ("turn/started", "turn/completed", "item/started", "item/completed")
+OF_ITEMS = ("item/started", "item/completed")
 _TOKENS = "inputTokens: BIGINT, cachedInputTokens: BIGINT, outputTokens: BIGINT, reasoningOutputTokens: BIGINT, totalTokens: BIGINT"
 _PARAMS = f"""threadId STRING, turnId STRING, startedAtMs BIGINT, completedAtMs BIGINT, thread STRUCT<id: STRING, createdAt: BIGINT>,
  turn STRUCT<id: STRING, status: STRING, startedAt: BIGINT, completedAt: BIGINT, durationMs: BIGINT>,
@@ -30,9 +34,22 @@ def _count(c: Column) -> Column:
     return F.when(c >= 0, c)
 
 
+def coherent(message: Column, outer: str, nested: str) -> tuple[Column, Column]:
+    """An identity that a message (a variant) may tell in two places, as `outer` and as the id of the object `nested`, and
+    whether what is told is sound: non-empty strings that agree. An object without an id isn't."""
+    kind = lambda v: F.schema_of_variant(v)
+    at = lambda path: F.try_variant_get(message, path, "variant")
+    name = lambda v: F.when((kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") != ""), F.try_variant_get(v, "$", "string"))
+    flat, whole, inner = at(f"$.{outer}"), at(f"$.{nested}"), at(f"$.{nested}.id")
+    sound = (flat.isNull() | name(flat).isNotNull()) & (whole.isNull() | (kind(whole).startswith("OBJECT") & name(inner).isNotNull())) & (flat.isNull() | whole.isNull() | name(flat).eqNullSafe(name(inner)))
+    return F.coalesce(name(flat), name(inner)), F.coalesce(sound, F.lit(False))
+
+
 def app_server(rows: DataFrame, key: bytes) -> DataFrame:
     """Events of the lines ({received_at, message} or the bare message): kind, session, turn, item, instant, tokens,
-    outcome; `issue` tells why a line gives none. rows: line and whatever identifies it."""
+    outcome; `issue` tells why a line gives none: invalid_encoding (a null line), malformed_json, repeated_key,
+    unknown_method, missing_session, incoherent_identity (a session or turn told twice, differently, or no string),
+    missing_turn, missing_item or invalid_tokens. rows: line and whatever identifies it."""
     wrapped = F.from_json("line", "received_at STRING, message STRING, method STRING, params STRING")
     r = rows.withColumn("_w", wrapped)
     bare = F.col("_w.message").isNull()
@@ -40,17 +57,21 @@ def app_server(rows: DataFrame, key: bytes) -> DataFrame:
     params = F.when(bare, F.col("_w.params")).otherwise(F.get_json_object("_w.message", "$.params"))
     r = r.withColumns({"_method": method, "_p": F.from_json(params, _PARAMS)})
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), F.col("_method"))
-    session = F.coalesce("_p.threadId", "_p.thread.id")
+    message = F.try_parse_json(params)
+    session, sound_session = coherent(message, "threadId", "thread")
+    turn, sound_turn = coherent(message, "turnId", "turn")
     at = F.coalesce(
         instants.from_units(F.coalesce("_p.completedAtMs", "_p.startedAtMs"), "ms"), instants.from_units(F.coalesce("_p.turn.completedAt", "_p.turn.startedAt", "_p.thread.createdAt"), "s"), instants.epoch_ns(F.col("_w.received_at")))
     usage = F.col("_p.tokenUsage.total")
     tokens = {"input": usage["inputTokens"], "cached": usage["cachedInputTokens"], "output": usage["outputTokens"], "reasoning": usage["reasoningOutputTokens"]}
     sound = F.coalesce(F.ltrim("line").startswith("{"), F.lit(False))
-    issue = F.when(~sound | F.coalesce("_w.message", "_w.method").isNull(), "malformed_json").when(kind.isNull(), "unknown_method").when(session.isNull(), "missing_session").when(
+    issue = F.when(F.col("line").isNull(), "invalid_encoding").when(~sound | F.coalesce("_w.message", "_w.method").isNull(), "malformed_json").when(repeated_keys(F.col("line")).isNull(), "malformed_json").when(repeated_keys(F.col("line")), "repeated_key").when(
+        kind.isNull(), "unknown_method").when(~sound_session | ~sound_turn, "incoherent_identity").when(session.isNull(), "missing_session").when(
+        F.col("_method").isin(*OF_TURNS) & turn.isNull(), "missing_turn").when(F.col("_method").isin(*OF_ITEMS) & (F.coalesce("_p.item.id", F.lit("")) == ""), "missing_item").when(
         F.coalesce(tokens["cached"] > tokens["input"], F.lit(False)), "invalid_tokens")
     return r.select(
         *rows.columns, issue.alias("issue"), F.when(issue.isNull(), kind).alias("kind"), F.when(issue.isNull(), pseudonym("session", session, key)).alias("session_key"),
-        pseudonym("turn", F.coalesce("_p.turnId", "_p.turn.id"), key).alias("turn_key"), pseudonym("call", F.col("_p.item.id"), key).alias("call_key"), F.when(issue.isNull(), at).alias("observed_ns"),
+        pseudonym("turn", F.when(issue.isNull(), turn), key).alias("turn_key"), pseudonym("call", F.col("_p.item.id"), key).alias("call_key"), F.when(issue.isNull(), at).alias("observed_ns"),
         F.coalesce("_p.turn.status", "_p.item.status").alias("status"), F.col("_p.item.type").alias("item_type"), _count(F.col("_p.item.exitCode")).alias("exit_code"),
         _count(F.coalesce("_p.turn.durationMs", "_p.item.durationMs")).alias("duration_ms"), fingerprint(F.col("_p.item.aggregatedOutput"), key).alias("output"), *[_count(c).alias(n) for n, c in tokens.items()])
 
@@ -66,7 +87,7 @@ def otel(rows: DataFrame, key: bytes) -> DataFrame:
     broken = F.size(F.array_distinct(names)) != F.size(names)
     odd = F.exists(attributes, lambda a: scalars(a) != 1)
     entries = F.when(~broken & ~odd, F.map_from_entries(F.transform(attributes, lambda a: F.struct(a["key"], text(a)))))
-    r = r.withColumns({"_m": entries, "_issue": F.when(F.col("_o.body.stringValue").isNull(), "malformed_json").when(broken, "duplicate_attribute").when(odd, "invalid_attribute")})
+    r = r.withColumns({"_m": entries, "_issue": F.when(F.col("line").isNull(), "invalid_encoding").when(F.col("_o.body.stringValue").isNull() | repeated_keys(F.col("line")).isNull(), "malformed_json").when(repeated_keys(F.col("line")), "repeated_key").when(broken, "duplicate_attribute").when(odd, "invalid_attribute")})
     value = lambda *keys: F.coalesce(*[F.try_element_at("_m", F.lit(k)) for k in keys])
     number = lambda *keys: _count(F.when(value(*keys).rlike(r"\A\d{1,18}\z"), value(*keys).try_cast("long")))
     session = value("conversation.id", "thread.id", "session.id")
