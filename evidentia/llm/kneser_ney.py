@@ -1,6 +1,6 @@
 """Quality by language-model perplexity: interpolated modified Kneser-Ney over words and punctuation marks.
 
-Trusted texts are dealt into two folds. The model of a language and fold counts the trigrams of that fold's trusted
+Trusted texts are dealt into two folds, by what they say: copies and nearly all near copies share one. The model of a language and fold counts the trigrams of that fold's trusted
 texts; lower orders count distinct predecessors. Every document is scored by the model of its language from the *other*
 fold, so no text is judged by a model that has seen it. A document is kept up to a high quantile of the perplexities
 that trusted documents of its language reach, which are held out in the same way.
@@ -199,17 +199,22 @@ def perplexities(docs: DataFrame, trained: DataFrame) -> DataFrame:
     return sums.select("row", F.expr("n div copies").alias("n_scored"), F.exp(-F.col("log_p") / F.col("n")).alias("perplexity"))
 
 
-def fold(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
+def fold(text: Column) -> Column:
+    """The fold of a text: by the least hash of two words in a row, so that copies lie in one fold whatever their ids, and
+    near copies nearly always, as often as they share their least pair. A text of one word goes by itself."""
+    words = F.split(text, r"\s+")
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.xxhash64(a, b))
+    least = F.when(F.size(words) > 1, F.array_min(pairs)).otherwise(F.xxhash64(text))
+    return F.coalesce(F.pmod(least, F.lit(FOLDS)), F.lit(0))
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_scored, perplexity, threshold, kept. trusted_ids: doc_id of the texts to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text")).withColumn("m", F.xxhash64("lang", (fold(F.col("doc_id")) + 1) % FOLDS))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text")).withColumn("m", F.xxhash64("lang", (fold(F.col("text")) + 1) % FOLDS))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).distinct()
     # both sides are dealt by doc_id at every size: the ids grow with the documents
-    trusted = rows.join(ids.hint("merge"), "doc_id", "left_semi").select(F.xxhash64("lang", fold(F.col("doc_id"))).alias("m"), "text")
+    trusted = rows.join(ids.hint("merge"), "doc_id", "left_semi").select(F.xxhash64("lang", fold(F.col("text"))).alias("m"), "text")
     found = stored(perplexities(rows, trusted), "perplexities")
     scored = stored(rows.select("doc_id", "lang", "row").join(found.hint("merge"), "row", "left").drop("row"), "scored")
     limits = scored.join(ids.hint("merge"), "doc_id", "left_semi").where("perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("threshold"))

@@ -1,5 +1,4 @@
 import math
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -50,17 +49,18 @@ def brute(texts, asked):
 GOOD = ["the cat sat on the mat.", "the dog sat on the log", "a cat and a dog met on the mat", "the mat and the log, a cat", "on the mat the cat sat", "a dog met the cat", "the log and the dog"]
 
 
-def fold(i):
-    return zlib.crc32(str(i).encode()) % 2
+def folds(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {r["text"]: r["f"] for r in df.select("text", kn.fold(F.col("text")).alias("f")).collect()}
 
 
-def expected(rows, trusted):
+def expected(spark, rows, trusted):
     """doc_id -> perplexity under the other fold's trusted texts of the language."""
-    own = defaultdict(list)
+    fold, own = folds(spark, {t for _, t, _ in rows}), defaultdict(list)
     for i, t, lang in rows:
         if i in trusted and t:
-            own[lang, fold(i)].append(t)
-    return {i: brute(own[lang, 1 - fold(i)], t) if t and own[lang, 1 - fold(i)] else None for i, t, lang in rows}
+            own[lang, fold[t]].append(t)
+    return {i: brute(own[lang, 1 - fold[t]], t) if t and own[lang, 1 - fold[t]] else None for i, t, lang in rows}
 
 
 @pytest.mark.parametrize("hot_share, step", [(joins.HOT_SHARE, kn.STEP), (0.05, 7)])
@@ -76,8 +76,8 @@ def test_against_formulas(spark, monkeypatch, hot_share, step):
     found = kn.judge(docs, spark.createDataFrame([(i,) for i in [*trusted, 999, None]], "doc_id long")).collect()
     assert len(found) == len(rows) + len(missing) + 1
     by = {r["doc_id"]: r for r in found}
-    want = expected(rows, trusted)
-    assert {fold(i) for i in range(len(GOOD))} == {0, 1}
+    want = expected(spark, rows, trusted)
+    assert set(folds(spark, GOOD).values()) == {0, 1}
     for i, t, lang in rows:
         assert by[i]["perplexity"] == pytest.approx(want[i], rel=1e-9)
         assert by[i]["n_scored"] == len(tokens(t)) - 2
@@ -88,6 +88,23 @@ def test_against_formulas(spark, monkeypatch, hot_share, step):
     assert all(by[i]["perplexity"] is None and by[i]["kept"] and by[i]["n_scored"] == 0 for i, _, _ in missing)
 
 
+def test_copies_don_t_vouch_for_a_text(spark):
+    """Exact copies of an odd trusted text, and near ones, leave its perplexity high."""
+    rng = np.random.default_rng(11)
+    odd = " ".join(f"q{x}" for x in rng.integers(0, 999, 60))
+    near = [" ".join("other" if k == at else w for k, w in enumerate(odd.split())) for at in (5, 30, 55)]
+    least = folds(spark, [odd, *near])
+    assert sum(least[n] == least[odd] for n in near) >= 2
+    rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(500, odd, "en")]
+    copies = [(600 + i, odd, "en") for i in range(8)] + [(700 + i, n, "en") for i, n in enumerate(near) if least[n] == least[odd]]
+    judged = []
+    for given in (rows, rows + copies):
+        docs = spark.createDataFrame(given, "doc_id long, text string, lang string")
+        judged.append({r["doc_id"]: r["perplexity"] for r in kn.judge(docs, docs.select("doc_id")).collect()}[500])
+    assert judged[0] == pytest.approx(judged[1], rel=1e-9)
+    assert judged[0] > 1.5 * brute([*GOOD, odd], odd)  # what a model that has seen it would say
+
+
 def test_keys_are_those_of_sql(spark):
     rng = np.random.default_rng(3)
     w = rng.integers(0, 1 << 63, (3, 50), np.uint64) * np.uint64(2) + np.uint64(1)
