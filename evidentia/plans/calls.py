@@ -23,17 +23,17 @@ def query(sql: str | None):
 
 # Returned lines are commands, open ones results (which may come first), and one in five of the rest a rejection.
 _EVENTS = """e AS (SELECT l_suppkey, l_partkey % 7 AS call, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'intent' WHEN l_returnflag = 'R' AND l_partkey % 5 = 0 THEN 'rejection' ELSE 'result' END AS kind,
-  l_partkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 7 ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey) AS p, epoch_us(l_shipdate) AS t FROM lineitem)"""
+  l_partkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 7 ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) AS p, epoch_us(l_shipdate) AS t, l_returnflag AS flag FROM lineitem)"""
 
 
 def _events(spark, sf_dir):
     kind = F.when(F.col("l_returnflag") == "A", "intent").when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 == 0), "rejection").otherwise("result")
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", (F.col("l_partkey") % 7).alias("call"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"), "l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"), F.col("l_quantity").cast("long").alias("q"))
+        "l_suppkey", (F.col("l_partkey") % 7).alias("call"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"), "l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("flag"))
     return rows.withColumns({"intent": F.when(F.col("kind") == "intent", F.col("l_partkey")), "result": F.when(F.col("kind") == "result", F.col("q"))})
 
 
-_KEYS, _PLACE = ["l_suppkey", "call"], ["t", "l_orderkey", "l_linenumber", "l_partkey"]
+_KEYS, _PLACE = ["l_suppkey", "call"], ["t", "l_orderkey", "l_linenumber", "l_partkey", "q", "flag"]
 
 # Independently of the operator: the head before a result is found by an as-of join.
 _EXECUTIONS = f"""{_EVENTS}, h AS (SELECT *, row_number() OVER w AS generation, lead(kind) OVER w AS following FROM e WHERE kind <> 'result' WINDOW w AS (PARTITION BY l_suppkey, call ORDER BY p)),
@@ -42,7 +42,7 @@ r AS (SELECT h.l_suppkey, h.call, h.generation, max_by(r.q, r.p) AS result, coun
 x AS (SELECT h.*, r.result, coalesce(r.results, 0) AS results, coalesce(following = 'rejection', false) AS rejected FROM h LEFT JOIN r USING (l_suppkey, call, generation) WHERE h.kind = 'intent')"""
 
 
-@query(f"WITH {_EXECUTIONS} SELECT l_suppkey, call, generation, t, l_orderkey, l_linenumber, l_partkey, l_partkey AS intent, result, results, rejected FROM x")
+@query(f"WITH {_EXECUTIONS} SELECT l_suppkey, call, generation, t, l_orderkey, l_linenumber, l_partkey, q, flag, l_partkey AS intent, result, results, rejected FROM x")
 def call_executions(spark, sf_dir):
     return calls.executions(_events(spark, sf_dir), _KEYS, _PLACE)
 
@@ -78,21 +78,21 @@ def canonical_test_runs(spark, sf_dir):
 
 
 # Suppliers are sessions; commands repeat, and what was written between two runs of one decides what its success means.
-_REPEATED = """r AS (SELECT l_suppkey, l_partkey % 4 AS h, CASE WHEN l_quantity <> 50 THEN epoch(l_shipdate)::BIGINT END AS t, l_orderkey, l_linenumber, l_partkey, l_tax < 0.04 AS good, l_discount < 0.03 AS infra, l_discount > 0.08 AS odd
+_REPEATED = """r AS (SELECT l_suppkey, l_partkey % 4 AS h, CASE WHEN l_quantity <> 50 THEN epoch(l_shipdate)::BIGINT END AS t, l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_discount, l_tax < 0.04 AS good, l_discount < 0.03 AS infra, l_discount > 0.08 AS odd
   FROM lineitem WHERE l_returnflag <> 'R'),
-w AS (SELECT DISTINCT l_suppkey, CASE WHEN l_quantity <> 50 THEN epoch(l_shipdate)::BIGINT END AS t, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' OR l_quantity = 10),
+w AS (SELECT DISTINCT l_suppkey, CASE WHEN l_quantity <> 50 THEN epoch(l_shipdate)::BIGINT END AS t, l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_discount FROM lineitem WHERE l_returnflag = 'R' OR l_quantity = 10),
 o AS (SELECT *, CASE WHEN good THEN 'success' ELSE 'failed' END AS outcome, CASE WHEN good THEN 'none' WHEN infra THEN 'infra_failure' WHEN odd THEN 'unknown' ELSE 'product_failure' END AS cause,
-  (coalesce(t, 9000000000000), l_orderkey, l_linenumber, l_partkey) AS p FROM r),
+  (coalesce(t, 9000000000000), l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_discount) AS p FROM r),
 n AS (SELECT *, row_number() OVER v AS attempt, lag(outcome) OVER v AS b_outcome, lag(cause) OVER v AS b_cause, lag(p) OVER v AS b_p FROM o WINDOW v AS (PARTITION BY l_suppkey, h ORDER BY p))"""
 
 
 @query(f"""WITH {_REPEATED} SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, attempt, CASE WHEN outcome <> 'success' OR b_outcome IS NULL THEN 'none' WHEN b_cause = 'infra_failure' THEN 'infra_recovery'
-  WHEN b_cause = 'product_failure' THEN CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.l_suppkey = n.l_suppkey AND (coalesce(w.t, 9000000000000), w.l_orderkey, w.l_linenumber, w.l_partkey) > n.b_p
-    AND (coalesce(w.t, 9000000000000), w.l_orderkey, w.l_linenumber, w.l_partkey) < n.p) THEN 'product_fix_verification' ELSE 'flaky_retry' END
+  WHEN b_cause = 'product_failure' THEN CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.l_suppkey = n.l_suppkey AND (coalesce(w.t, 9000000000000), w.l_orderkey, w.l_linenumber, w.l_partkey, w.l_quantity, w.l_tax, w.l_discount) > n.b_p
+    AND (coalesce(w.t, 9000000000000), w.l_orderkey, w.l_linenumber, w.l_partkey, w.l_quantity, w.l_tax, w.l_discount) < n.p) THEN 'product_fix_verification' ELSE 'flaky_retry' END
   WHEN b_outcome <> 'success' THEN 'unknown_recovery' ELSE 'none' END AS retry FROM n""")
 def repeated_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    place = ["t", "l_orderkey", "l_linenumber", "l_partkey"]
+    place = ["t", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount"]
     at = F.when(F.col("l_quantity") != 50, F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("t")
     good = F.col("l_tax") < 0.04
     cause = F.when(good, "none").when(F.col("l_discount") < 0.03, "infra_failure").when(F.col("l_discount") > 0.08, "unknown").otherwise("product_failure")
@@ -101,10 +101,11 @@ def repeated_runs(spark, sf_dir):
     return calls.repeated(runs, writes, "l_suppkey", "h", place).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "attempt", "retry")
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch(l_shipdate)::BIGINT * 1000000000 AS t, l_returnflag AS f, l_linestatus AS s, l_quantity::BIGINT AS q FROM lineitem),
-g AS (SELECT l_orderkey, max(f) FILTER (f = 'A') AS a, max_by(s, (l_linenumber, l_partkey, l_suppkey)) FILTER (f = 'A') AS tool_a, max_by(s, (l_linenumber, l_partkey, l_suppkey)) FILTER (f <> 'A') AS tool_e,
-  min(t) FILTER (f = 'A') AS started_ns, max_by(t, (l_linenumber, l_partkey, l_suppkey)) FILTER (f <> 'A') AS finished_ns, max_by(f, (l_linenumber, l_partkey, l_suppkey)) FILTER (f <> 'A') AS state,
-  max_by(q, (l_linenumber, l_partkey, l_suppkey)) FILTER (f <> 'A' AND q > 40) AS told FROM x GROUP BY l_orderkey)
+@query("""WITH x AS (SELECT l_orderkey, epoch(l_shipdate)::BIGINT * 1000000000 AS t, l_returnflag AS f, l_linestatus AS s, l_quantity::BIGINT AS q,
+  (l_linenumber, l_partkey, l_suppkey, epoch(l_shipdate)::BIGINT, l_quantity::BIGINT, l_returnflag, l_linestatus) AS p FROM lineitem),
+g AS (SELECT l_orderkey, max(f) FILTER (f = 'A') AS a, max_by(s, p) FILTER (f = 'A') AS tool_a, max_by(s, p) FILTER (f <> 'A') AS tool_e,
+  min(t) FILTER (f = 'A') AS started_ns, max_by(t, p) FILTER (f <> 'A') AS finished_ns, max_by(f, p) FILTER (f <> 'A') AS state,
+  max_by(q, p) FILTER (f <> 'A' AND q > 40) AS told FROM x GROUP BY l_orderkey)
 SELECT l_orderkey, coalesce(tool_a, tool_e) AS tool, started_ns, finished_ns, coalesce(state, 'unknown') AS state,
   coalesce(told, CASE WHEN finished_ns >= started_ns THEN (finished_ns - started_ns) // 1000000 END) AS latency_ms, coalesce(finished_ns < started_ns, false) AS reversed FROM g""")
 def call_spans(spark, sf_dir):
@@ -112,8 +113,8 @@ def call_spans(spark, sf_dir):
     told = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(start, "start").otherwise("end").alias("kind"), F.col("l_linestatus").alias("tool"), F.lit("tool").alias("category"),
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1_000_000_000).alias("at_ns"), F.when(~start, F.col("l_returnflag")).alias("state"),
-        F.when(~start & (F.col("l_quantity") > 40), F.col("l_quantity").cast("long")).alias("latency_ms"), F.lit(None).cast("string").alias("turn_id"))
-    return calls.spans(told, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).drop("category", "turn_id")
+        F.when(~start & (F.col("l_quantity") > 40), F.col("l_quantity").cast("long")).alias("latency_ms"), F.lit(None).cast("string").alias("turn_id"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("flag"))
+    return calls.spans(told, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "at_ns", "q", "flag", "tool"]).drop("category", "turn_id")
 
 
 # Customers are files and their orders lines; what is known of them before lacks lines at the end, or has another one.
