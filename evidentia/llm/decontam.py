@@ -10,8 +10,9 @@
    0.8; weights are the shingles' counts.
 
 Texts are cut into stretches that overlap by an item's length, so no task or row grows with a text. The items' side of
-each join is broadcast only if it has MOST_BROADCAST rows at most; beyond that the joins shuffle, and every key is split
-over SALTS tasks, so that a passage in a third of all documents burdens no single one. DataFrame functions only.
+each join is broadcast only if it has MOST_BROADCAST rows at most; beyond that the joins shuffle places, hashes and
+fingerprints without what they belong to, which is fetched for hits alone, and every key is split over SALTS tasks, so
+that a passage in a third of all documents burdens no single one. DataFrame functions only.
 
 Defined cases: null texts, items without words and empty tables match nothing; items shorter than a shingle count as one
 shingle; rows with one doc_id are judged together; equal rows get equal results; only the named columns are read.
@@ -106,12 +107,19 @@ def bag_overlap(a: Column, b: Column) -> Column:
     return _once(a, shared)
 
 
+def _few(table: DataFrame) -> bool:
+    return table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of rows with a table of the items."""
-    if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(table), keys)
+    return rows.join(F.broadcast(table), keys) if _few(table) else _dealt(rows, table, keys)
+
+
+def _dealt(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The same by a shuffle, with every key split over SALTS tasks."""
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -125,20 +133,39 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
+def _placed(rows: DataFrame, k: int, step: int, longest: int) -> DataFrame:
+    """doc_id, tx (the text's digest), at, and the hashes of words (hw) and shingles (sh) of each stretch of the texts."""
+    texts = rows.select("doc_id", F.xxhash64("text").alias("tx"), word_hashes(F.col("text")).alias("hw"))
+    # outer, and without conditions on what is computed here: those would be computed a second time for the condition
+    stretches = texts.select("doc_id", "tx", F.explode_outer(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("hw") - 1, F.lit(0)), F.lit(step)),
+        lambda at: F.struct(at.alias("at"), F.slice(F.col("hw"), at + 1, F.lit(step + longest - 1)).alias("hw")),
+    )).alias("part")).select("doc_id", "tx", "part.at", "part.hw")
+    return stretches.withColumn("sh", _shingles(F.col("hw"), k))
+
+
+def _far_hits(rows: DataFrame, anchors: DataFrame, k: int, step: int, longest: int) -> DataFrame:
+    """What the stretches share with anchors that are too many to be sent to all tasks: places and hashes move alone, and
+    meet their stretch, once more made from the text, where there is a hit."""
+    places = _placed(rows, k, step, longest).select("tx", "at", F.posexplode_outer("sh").alias("pos", "h")).where("h IS NOT NULL")
+    found = stored(_dealt(places, anchors, ["h"]).select("tx", "at", "item_id", "n", "pos").distinct(), "hits")
+    whole = rows.withColumn("_tx", F.xxhash64("text")).join(found.select(F.col("tx").alias("_tx")).distinct(), "_tx", "left_semi").drop("_tx")
+    return _dealt(_placed(whole, k, step, longest), found, ["tx", "at"])
+
+
 def _matches(docs: DataFrame, items: DataFrame, k: int, longest: int, radius: int) -> DataFrame:
     hashed = items.withColumn("bag", _shingles(F.col("hw"), k)).withColumn("m", F.size("bag"))
     few = F.col("m") - F.ceil(F.col("m") * (2 * NUM) / F.lit(float(NUM + DEN)) - F.lit(1e-9)) + 1
     anchors = hashed.select("item_id", "n", F.explode(F.slice(F.array_sort("bag"), F.lit(1), few.cast("int"))).alias("h")).distinct()
 
     step = max(STRETCH, 8 * longest)
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("tx"), word_hashes(F.col("text")).alias("hw"))
-    # outer, and without conditions on what is computed here: those would be computed a second time for the condition
-    stretches = texts.select("doc_id", "tx", F.explode_outer(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("hw") - 1, F.lit(0)), F.lit(step)),
-        lambda at: F.struct(at.alias("at"), F.slice(F.col("hw"), at + 1, F.lit(step + longest - 1)).alias("hw")),
-    )).alias("part")).select("doc_id", "tx", "part.at", "part.hw")
-    placed = stretches.withColumn("sh", _shingles(F.col("hw"), k)).withColumn("here", F.col("sh"))
-    hits = _met(placed.select("doc_id", "tx", "at", "hw", "sh", F.posexplode_outer("here").alias("pos", "h")), anchors, ["h"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    near_by = _few(anchors)
+    if near_by:
+        placed = _placed(rows, k, step, longest).withColumn("here", F.col("sh"))
+        hits = _met(placed.select("doc_id", "tx", "at", "hw", "sh", F.posexplode_outer("here").alias("pos", "h")), anchors, ["h"])
+    else:
+        hits = _far_hits(rows, anchors, k, step, longest)
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("n") - k))
     near = hits.where(F.size("hw") - first >= F.col("n")).select(
         "doc_id", "tx", "at", "item_id", "n", "pos", first.alias("first"), F.slice("hw", first + 1, 2 * F.col("n") - k).alias("hw"), F.slice("sh", first + 1, 2 * (F.col("n") - k) + 1).alias("sh")
@@ -152,6 +179,10 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, longest: int, radius: in
     windows = windows.withColumn("fp", fingerprint(F.slice("hw", F.col("s") + 1, F.col("n")), F.col("n"), longest)).drop("hw")
     marks = hashed.withColumn("fp", fingerprint(F.col("hw"), F.col("n"), longest)).select("item_id", "fp", "bag")
 
+    own = F.slice("sh", F.col("s") + 1, F.col("n") - k + 1)
+    if not near_by:
+        return _alike(_far_close(windows, marks, radius), own, k)
+
     n_blocks = radius + 1
     listed = lambda c: F.array(*blocks(c, n_blocks))
     met = marks.select("item_id", F.col("fp").alias("item_fp"), "bag", F.posexplode(listed(F.col("fp"))).alias("block", "value"))
@@ -159,8 +190,22 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, longest: int, radius: in
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     earlier = reduce(lambda a, b: a | b, [(F.col("block") > b) & (x == 0) for b, x in enumerate(blocks(differ, n_blocks))])
     close = _met(probes, met, ["item_id", "block", "value"]).where((F.bit_count(differ) <= radius) & ~earlier)
+    return _alike(close, own, k)
 
-    own = F.slice("sh", F.col("s") + 1, F.col("n") - k + 1)
+
+def _far_close(windows: DataFrame, marks: DataFrame, radius: int) -> DataFrame:
+    """The windows within the radius of their item, with its bag: fingerprints move alone, and fetch windows and bags of
+    what is left."""
+    listed = lambda c: F.array(*blocks(c, radius + 1))
+    kept = stored(windows.withColumn("_window", F.monotonically_increasing_id()), "windows")
+    items = marks.select("item_id", F.col("fp").alias("item_fp"), F.posexplode(listed(F.col("fp"))).alias("block", "value"))
+    probes = kept.select("_window", "item_id", "fp", F.posexplode(listed(F.col("fp"))).alias("block", "value"))
+    near = _dealt(probes, items, ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    return _dealt(kept.join(near.select("_window").distinct(), "_window").drop("_window"), marks.select("item_id", "bag"), ["item_id"])
+
+
+def _alike(close: DataFrame, own: Column, k: int) -> DataFrame:
+    """The windows whose bag of shingles is as similar to the item's as it has to be."""
     shared = close.select("doc_id", "item_id", (F.col("at") + F.col("s")).cast("long").alias("first_word"), F.col("n").alias("n_words"), bag_overlap(own, F.col("bag")).alias("o"))
     m = F.col("n_words") - k + 1
     alike = shared.where(F.col("o") * (NUM + DEN) >= 2 * NUM * m)

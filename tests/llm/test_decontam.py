@@ -86,12 +86,25 @@ def test_recall_just_above_the_similarity(spark):
 
 
 def test_shuffled_path(spark, monkeypatch):
+    """As many items as no task could be sent: the same result, and nothing is broadcast."""
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
-    text = " ".join(f"w{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, "a b " + text + " c"), (2, "a b c")], "doc_id long, text string")
-    found = decontam.matches(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 7)} and len(found) == len(set(found))
-    assert [r["first_word"] for r in found if r["similarity"] == 1.0] == [2]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rnd = random.Random(4)
+        items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.choice([3, 5, 20, 40])))) for i in range(12)]
+        filler = lambda n: " ".join(f"u{rnd.randrange(900)}" for _ in range(n))
+        docs = [(i, f"{filler(30)} {items[i % 12][1]} {filler(700)}") for i in range(24)] + [(3, f"{filler(30)} {items[4][1]}"), (None, items[6][1]), (30, None), (31, ""), (32, filler(50))]
+        docs += [(100 + i, docs[5][1]) for i in range(40)]  # copies share their hits
+        frames = [spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))]
+        far = decontam.matches(*frames)
+        assert "Broadcast" not in far._jdf.queryExecution().executedPlan().toString()
+        rows = {tuple(r) for r in far.collect()}
+        monkeypatch.undo()
+        assert rows == {tuple(r) for r in decontam.matches(*frames).collect()}
+        assert {(r[0], r[1]) for r in rows if r[0] is not None} >= {(i, i % 12) for i in range(24)} and any(r[0] is None for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_empty(spark):
