@@ -105,7 +105,7 @@ def shell_files(command: Column) -> Column:
         if valued:
             rest = F.regexp_replace(rest, _p(rf"(?<=\A| )(?:{valued}) @* "), "")
         own = F.filter(F.split(F.regexp_replace(rest, f"{SEP}\\z", ""), SEP), lambda x: (x != "") & ~x.startswith("-"))
-        operands = F.when(w.startswith(program + SEP), F.slice(own, 2, 1_000_000) if script else own).otherwise(operands)
+        operands = F.when(w.startswith(program + SEP), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))) if script else own).otherwise(operands)
     op = F.when(w.rlike(_p(r"\Ased (?:.* )?-i")), "write").otherwise("read")
     inside = lambda p: F.when(~p.startswith("-"), relative_path(p))
     found = F.transform(operands, lambda p: F.struct(op.alias("op"), inside(p).alias("path")))

@@ -37,8 +37,12 @@ def matches_sensitive(text: Column) -> list[Column]:
     return [text.rlike(f"(?iU){p}") for p in SENSITIVE]
 
 
+# Characters that count as blanks.
+BLANKS = r"[\x00-\x20\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[\x00-\x20\x7F]+", " "))
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
 def redacted(note: Column) -> Column:
@@ -63,8 +67,9 @@ def relative_path(path: Column) -> Column:
 def path_key(path: Column, project_root: str, key: bytes) -> Column:
     """Relative to the project root, or external/ and a keyed digest."""
     root = project_root.rstrip("/") + "/"
-    inside = path.startswith(root) & relative_path(F.substring(path, len(root) + 1, 1 << 20)).isNotNull()
-    return F.when(inside, F.substring(path, len(root) + 1, 1 << 20)).otherwise(F.concat(F.lit("external/"), F.substring(pseudonym("path", path, key), 1, 20)))
+    below = F.substr(path, F.lit(len(root) + 1))
+    inside = path.startswith(root) & relative_path(below).isNotNull()
+    return F.when(inside, below).otherwise(F.concat(F.lit("external/"), F.substring(pseudonym("path", path, key), 1, 20)))
 
 
 def points_to_infrastructure(text: Column, markers: tuple[str, ...] = INFRASTRUCTURE) -> Column:

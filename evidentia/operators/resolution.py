@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normalised
+
 
 def counter_conflict(df: DataFrame, keys: list[str], source: str, order: str, components: list[str]) -> DataFrame:
     """Per key whether its cumulative rows disagree: the greatest row is below another in some component, or a source's
@@ -82,7 +84,7 @@ def _composed(labels: pd.Series) -> pd.Series:
 def label(value: Column) -> Column:
     """A label of 1 to 80 characters in composed form with single spaces; null where it could identify anyone."""
     composed = _composed(value)
-    plain = F.trim(F.regexp_replace(composed, r"\s+", " "))
+    plain = normalised(composed)
     private = reduce(lambda a, b: a | b, [plain.rlike(p) for p in PRIVATE])
     return F.when(F.char_length(composed).between(1, 80) & (plain != "") & ~private, plain)
 

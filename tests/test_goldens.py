@@ -161,7 +161,7 @@ def test_commands(spark):
 
 
 def test_redaction(spark):
-    given = {"a  plain\nnote": "a plain note", "mail me@x.org": "[redacted]", "see /home/me": "[redacted]", "": "[redacted]", "password: x": "[redacted]", "call 030 1234 5678 90": "[redacted]"}
+    given = {"a  plain\nnote": "a plain note", "a\u00a0\u2003b\u3000": "a b", "mail me@x.org": "[redacted]", "see /home/me": "[redacted]", "": "[redacted]", "password: x": "[redacted]", "call 030 1234 5678 90": "[redacted]"}
     rows = spark.createDataFrame(list(given.items()), "t string, want string").select(text.redacted(F.col("t")).alias("got"), "want").collect()
     assert all(r["got"] == r["want"] for r in rows)
 
