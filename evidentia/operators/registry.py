@@ -55,10 +55,14 @@ def closure(registry: DataFrame, references: DataFrame, task: str) -> DataFrame:
 
 
 def task_views(registry: DataFrame, references: DataFrame, task: str) -> DataFrame:
-    """Per task: facts, references, and how many problems of each kind; closed if there is none."""
-    names = ("dangling", "orphan", "ambiguous")
-    problems = closure(registry, references, task).groupBy(task).agg(*[F.count_if(F.col("problem") == p).alias(p) for p in names])
-    facts = registry.groupBy(task).agg(F.count(F.lit(1)).alias("facts"))
-    asked = references.select(task, "evidence_id").distinct().groupBy(task).agg(F.count(F.lit(1)).alias("references"))
-    rows = facts.join(asked, task, "full_outer").join(problems, task, "left").na.fill(0, ["facts", "references", *names])
-    return rows.withColumn("closed", sum((F.col(p) for p in names), F.lit(0)) == 0)
+    """Per task: facts, references, and how many problems of each kind; closed if there is none. Facts and references of
+    an identity are counted together, so either table is read once."""
+    key = [task, "evidence_id"]
+    both = registry.select(*key, F.lit(1).alias("_own"), F.lit(0).alias("_asked")).unionAll(references.select(*key, F.lit(0).alias("_own"), F.lit(1).alias("_asked")))
+    each = both.groupBy(*key).agg(F.sum("_own").alias("_own"), F.max("_asked").alias("_asked"))
+    # an identity that is null meets no other
+    own, asked = F.col("_own") > 0, F.col("_asked") > 0
+    met = own & asked & F.col("evidence_id").isNotNull() & F.col(task).isNotNull()
+    rows = each.groupBy(task).agg(
+        F.sum("_own").alias("facts"), F.sum("_asked").cast("long").alias("references"), F.count_if(asked & ~met).alias("dangling"), F.count_if(own & ~met).alias("orphan"), F.count_if(F.col("_own") > 1).alias("ambiguous"))
+    return rows.withColumn("closed", F.col("dangling") + F.col("orphan") + F.col("ambiguous") == 0)

@@ -97,3 +97,15 @@ def test_a_batch_that_fails_runs_again(spark, tmp_path):
         derive(spark, tmp_path, broken)
     assert derive(spark, tmp_path) == {10: (3, 4, 15)}
     assert {(r["session"], r["root"]) for r in trees.members(spark, str(tmp_path)).collect()} == {(10, 10), (11, 10), (12, 10)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_views_read_each_table_once(spark):
+    facts = registry.registered(spark.createDataFrame([("a", [1, 2])], "task string, report array<int>"), "task", "report")
+    asked = spark.createDataFrame([("a", "ev_gone"), ("b", None)], "task string, evidence_id string")
+    views = registry.task_views(facts, asked, "task")
+    assert plan_of(views).count("Generate") == 1
+    assert {tuple(r) for r in views.collect()} == {("a", 2, 1, 1, 2, 0, False), ("b", 0, 1, 1, 0, 0, False)}
