@@ -21,16 +21,18 @@ def _step(path: Column, name: Column) -> Column:
 def walked(value: Column, kind: T.DataType, path: Column) -> Column:
     """Array of (path, value) of everything in a value that has no parts; what has none of its parts, or is null, counts
     as a whole."""
-    whole = F.array(F.struct(path.alias("path"), canonical(value, kind).alias("value")))
+    leaf = lambda text: F.array(F.struct(path.alias("path"), text.alias("value")))
+    # every part gives a row at least: the value alone tells whether there are parts, which are laid out once
     if isinstance(kind, T.StructType) and kind.fields:
-        parts = F.concat(*[walked(value.getField(f.name), f.dataType, _step(path, F.lit(f.name))) for f in kind.fields])
-    elif isinstance(kind, T.ArrayType):
+        empty, parts = value.isNull(), F.concat(*[walked(value.getField(f.name), f.dataType, _step(path, F.lit(f.name))) for f in kind.fields])
+        return F.when(empty, leaf(F.lit("null"))).otherwise(parts)
+    if isinstance(kind, T.ArrayType):
         parts = F.flatten(F.transform(value, lambda x, i: walked(x, kind.elementType, _step(path, i.cast("string")))))
-    elif isinstance(kind, T.MapType):
+        return F.when(value.isNull(), leaf(F.lit("null"))).when(F.size(value) == 0, leaf(F.lit("[]"))).otherwise(parts)
+    if isinstance(kind, T.MapType):
         parts = F.flatten(F.transform(F.map_entries(value), lambda e: walked(e["value"], kind.valueType, _step(path, e["key"].cast("string")))))
-    else:
-        return whole
-    return F.when(value.isNull() | (F.size(parts) == 0), whole).otherwise(parts)
+        return F.when(value.isNull(), leaf(F.lit("null"))).when(F.size(value) == 0, leaf(F.lit("{}"))).otherwise(parts)
+    return leaf(canonical(value, kind))
 
 
 def evidence_id(*of: Column) -> Column:

@@ -109,3 +109,11 @@ def test_views_read_each_table_once(spark):
     views = registry.task_views(facts, asked, "task")
     assert plan_of(views).count("Generate") == 1
     assert {tuple(r) for r in views.collect()} == {("a", 2, 1, 1, 2, 0, False), ("b", 0, 1, 1, 0, 0, False)}
+
+
+def test_parts_are_laid_out_once_at_any_depth(spark):
+    def calls(depth):
+        kind = "array<" * depth + "int" + ">" * depth
+        return plan_of(registry.registered(spark.createDataFrame([], f"task string, report {kind}"), "task", "report")).count("transform(")
+
+    assert calls(6) <= 2 * calls(3)
