@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..shipping import shared_folder
 from .joins import joined, least_hot
 
+MOST_SENT = 10_000  # rows
+
 
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
@@ -22,6 +24,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table of known size for a join: sent to all tasks up to MOST_SENT rows, else dealt by key, so that what passes
+    through the driver doesn't grow with it."""
+    return F.broadcast(df) if rows <= MOST_SENT else df.hint("merge")
+
+
 def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """node, root. Parents that are null, unknown or the node itself end a chain; a cycle's root is its smallest node.
 
@@ -61,13 +69,17 @@ def descendants(nodes: DataFrame, node: str, parent: str, start: DataFrame, allo
     edges = nodes.where(allowed & F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(parent).alias("_p"), F.col(node).alias("_n")).distinct()
     edges = _cut(edges)
     front = _cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    found = [front]  # a piece per depth: none is written again
-    while True:
-        step = found[-1].join(edges, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
-        front = _cut(step.join(reduce(DataFrame.unionByName, found), ["root", "node"], "left_anti").withColumn("depth", F.lit(len(found))))
-        if front.limit(1).count() == 0:
-            return reduce(DataFrame.unionByName, found)
-        found.append(front)
+    found, rows = [front], front.count()  # a piece per depth: none is written again
+    n_front = rows
+    while n_front > 0:
+        step = sent(found[-1], n_front).join(edges, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
+        before = reduce(DataFrame.unionByName, found).select("root", "node")
+        front = _cut(step.join(sent(before, rows), ["root", "node"], "left_anti").withColumn("depth", F.lit(len(found))))
+        n_front = front.count()
+        rows += n_front
+        if n_front > 0:
+            found.append(front)
+    return reduce(DataFrame.unionByName, found)
 
 
 def rollup(members: DataFrame, facts: DataFrame, node: str, amount: str, distinct: str, at_us: str, cutoff: Column) -> DataFrame:

@@ -214,3 +214,15 @@ def test_overlapping_and_long_intervals(spark):
         first = [] if at is None or k is None else [(s, q, label) for mk, s, q, e, eq, label in marks if mk == k and (s, q) <= (at, seq) and (e is None or (at, seq) < (e, eq))]
         assert not first or placed[i] in {x[2] for x in first if x[:2] == min(first)[:2]}
         assert first or placed[i] is None
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_descendants_of_sent_and_dealt_tables(spark, monkeypatch, most):
+    from evidentia.operators import lineage
+
+    monkeypatch.setattr(lineage, "MOST_SENT", most)
+    nodes = spark.createDataFrame([(i, i // 2) for i in range(2, 40)] + [(1, 30)], "n long, p long")  # 1 closes a cycle
+    found = lineage.descendants(nodes, "n", "p", spark.createDataFrame([(1,)], "root long"), F.lit(True)).collect()
+    assert {(r["node"], r["depth"]) for r in found} == {(i, i.bit_length() - 1) for i in range(1, 40)}
+    joined = lineage.sent(nodes, nodes.count()).join(nodes.select("n"), "n")._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in joined) == (most > 0)
