@@ -104,7 +104,8 @@ _SHAPES = [
   CASE {" ".join(f"WHEN c = {i} THEN '{exports.METHODS[m]}'" for i, (m, _, x) in enumerate(_SHAPES) if not x)} END AS kind, CASE WHEN c < {sum(x is None for *_, x in _SHAPES)} THEN user_id END AS of_user FROM s""")
 def message_identities(spark, sf_dir):
     """Every event is a message of one of the shapes above; a sound one names its user's session."""
-    obs = observations(spark, sf_dir).select("event_id", "user_id")
+    # few bytes a row and much work: dealt anew, since the files alone make few tasks
+    obs = observations(spark, sf_dir).select("event_id", "user_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     line = F.lit(None).cast("string")
     for i, (method, params, _) in enumerate(_SHAPES):

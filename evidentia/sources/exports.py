@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import instants
 from ..functions.canonical import repeated_keys
 from ..functions.keys import hmac_sha256, pseudonym
+from ..functions.shapes import bound
 
 # Notification method -> kind of event.
 METHODS = {
@@ -34,15 +35,20 @@ def _count(c: Column) -> Column:
     return F.when(c >= 0, c)
 
 
-def coherent(message: Column, outer: str, nested: str) -> tuple[Column, Column]:
-    """An identity that a message (a variant) may tell in two places, as `outer` and as the id of the object `nested`, and
-    whether what is told is sound: non-empty strings that agree. An object without an id isn't."""
+def told_twice(message: Column, outer: str, nested: str) -> Column:
+    """An identity that a message (a variant) may tell in two places, as `outer` and as the id of the object `nested`: the
+    name, and whether what is told is sound: non-empty strings that agree. An object without an id isn't."""
     kind = lambda v: F.schema_of_variant(v)
     at = lambda path: F.try_variant_get(message, path, "variant")
-    name = lambda v: F.when((kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") != ""), F.try_variant_get(v, "$", "string"))
-    flat, whole, inner = at(f"$.{outer}"), at(f"$.{nested}"), at(f"$.{nested}.id")
-    sound = (flat.isNull() | name(flat).isNotNull()) & (whole.isNull() | (kind(whole).startswith("OBJECT") & name(inner).isNotNull())) & (flat.isNull() | whole.isNull() | name(flat).eqNullSafe(name(inner)))
-    return F.coalesce(name(flat), name(inner)), F.coalesce(sound, F.lit(False))
+    name = lambda v: bound(v, lambda x: F.when(kind(x) == "STRING", F.nullif(F.try_variant_get(x, "$", "string"), F.lit(""))))
+
+    def judged(x: Column) -> Column:
+        flat, whole, outside, inside = x["flat"], x["whole"], x["outside"], x["inside"]
+        sound = (flat.isNull() | outside.isNotNull()) & (whole.isNull() | (kind(whole).startswith("OBJECT") & inside.isNotNull())) & (flat.isNull() | whole.isNull() | outside.eqNullSafe(inside))
+        return F.struct(F.coalesce(outside, inside).alias("name"), F.coalesce(sound, F.lit(False)).alias("sound"))
+
+    places = F.struct(at(f"$.{outer}").alias("flat"), at(f"$.{nested}").alias("whole"), name(at(f"$.{outer}")).alias("outside"), name(at(f"$.{nested}.id")).alias("inside"))
+    return bound(places, judged)
 
 
 def app_server(rows: DataFrame, key: bytes) -> DataFrame:
@@ -55,20 +61,23 @@ def app_server(rows: DataFrame, key: bytes) -> DataFrame:
     bare = F.col("_w.message").isNull()
     method = F.when(bare, F.col("_w.method")).otherwise(F.get_json_object("_w.message", "$.method"))
     params = F.when(bare, F.col("_w.params")).otherwise(F.get_json_object("_w.message", "$.params"))
-    r = r.withColumns({"_method": method, "_p": F.from_json(params, _PARAMS)})
+    r = r.withColumns({"_method": method, "_params": params})
+    params = F.col("_params")
+    r = r.withColumn("_p", F.from_json(params, _PARAMS))
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), F.col("_method"))
-    message = F.try_parse_json(params)
-    session, sound_session = coherent(message, "threadId", "thread")
-    turn, sound_turn = coherent(message, "turnId", "turn")
+    # each in a step of its own: what several columns name is worked out once per row
+    r = r.withColumn("_v", F.try_parse_json(params)).withColumns({"_session": told_twice(F.col("_v"), "threadId", "thread"), "_turn": told_twice(F.col("_v"), "turnId", "turn"), "_twice": repeated_keys(F.col("line")), "_kind": kind}).drop("_v")
+    session, turn, kind = F.col("_session.name"), F.col("_turn.name"), F.col("_kind")
     at = F.coalesce(
         instants.from_units(F.coalesce("_p.completedAtMs", "_p.startedAtMs"), "ms"), instants.from_units(F.coalesce("_p.turn.completedAt", "_p.turn.startedAt", "_p.thread.createdAt"), "s"), instants.epoch_ns(F.col("_w.received_at")))
     usage = F.col("_p.tokenUsage.total")
     tokens = {"input": usage["inputTokens"], "cached": usage["cachedInputTokens"], "output": usage["outputTokens"], "reasoning": usage["reasoningOutputTokens"]}
     sound = F.coalesce(F.ltrim("line").startswith("{"), F.lit(False))
-    issue = F.when(F.col("line").isNull(), "invalid_encoding").when(~sound | F.coalesce("_w.message", "_w.method").isNull(), "malformed_json").when(repeated_keys(F.col("line")).isNull(), "malformed_json").when(repeated_keys(F.col("line")), "repeated_key").when(
-        kind.isNull(), "unknown_method").when(~sound_session | ~sound_turn, "incoherent_identity").when(session.isNull(), "missing_session").when(
+    issue = F.when(F.col("line").isNull(), "invalid_encoding").when(~sound | F.coalesce("_w.message", "_w.method").isNull(), "malformed_json").when(F.col("_twice").isNull(), "malformed_json").when(F.col("_twice"), "repeated_key").when(
+        kind.isNull(), "unknown_method").when(~F.col("_session.sound") | ~F.col("_turn.sound"), "incoherent_identity").when(session.isNull(), "missing_session").when(
         F.col("_method").isin(*OF_TURNS) & turn.isNull(), "missing_turn").when(F.col("_method").isin(*OF_ITEMS) & (F.coalesce("_p.item.id", F.lit("")) == ""), "missing_item").when(
         F.coalesce(tokens["cached"] > tokens["input"], F.lit(False)), "invalid_tokens")
+    r, issue = r.withColumn("_issue", issue), F.col("_issue")
     return r.select(
         *rows.columns, issue.alias("issue"), F.when(issue.isNull(), kind).alias("kind"), F.when(issue.isNull(), pseudonym("session", session, key)).alias("session_key"),
         pseudonym("turn", F.when(issue.isNull(), turn), key).alias("turn_key"), pseudonym("call", F.col("_p.item.id"), key).alias("call_key"), F.when(issue.isNull(), at).alias("observed_ns"),

@@ -88,3 +88,9 @@ def test_annotation_stream(spark, tmp_path):
     incremental.judge_annotations(stream).writeStream.format("memory").queryName("judged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     found = sorted((r["turn_key"], r["sequence"], r["request"], r["outcome"]) for r in spark.table("judged").collect())
     assert found == [("t", 1, "a", "accepted"), ("t", 2, "b", "accepted"), ("t", 2, "b", "retry"), ("t", 3, "c", "accepted"), ("t", 4, "d", "stopped"), ("u", 5, "e", "accepted"), ("u", 5, "f", "conflict")]
+
+
+def test_a_message_is_judged_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "i int, line string")
+    plan = exports.app_server(df, KEY)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json(") + plan.count("parsejson(") <= 2
