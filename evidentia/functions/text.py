@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .keys import pseudonym
+from .shapes import bound
 
 # What makes a note sensitive, as patterns (case is ignored).
 SENSITIVE = (
@@ -90,25 +91,33 @@ def structured_result(output: Column) -> dict[str, Column]:
     number, or a list that holds exactly one object with an exit_code, plain or as the text of an input_text. Several
     such objects in a list are a conflict; anything else has no exit status."""
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    whole = F.try_parse_json(output)
+    field = lambda v, name, of: F.try_variant_get(v, f"$.{name}", of)
 
     def unwrapped(item: Column) -> Column:
-        text = F.try_variant_get(item, "$.text", "string")
-        own = F.when(F.try_variant_get(item, "$.type", "string") == "input_text", F.try_parse_json(text)).otherwise(item)
-        return F.when(kind(own) == "STRING", F.try_parse_json(F.try_variant_get(own, "$", "string"))).otherwise(own)
-
-    listed = F.filter(F.transform(F.try_variant_get(whole, "$", "array<variant>"), unwrapped), lambda v: kind(v).startswith("OBJECT") & F.try_variant_get(v, "$.exit_code", "variant").isNotNull())
-    is_list = kind(whole).startswith("ARRAY")
-    one = F.when(is_list, F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))).when(kind(whole).startswith("OBJECT"), whole)
-    code = F.try_variant_get(one, "$.exit_code", "variant")
-    status = F.when(kind(code).isin("BIGINT", "DECIMAL"), F.try_variant_get(one, "$.exit_code", "long"))
-    said = [F.when(kind(F.try_variant_get(one, f"$.{c}", "variant")) == "STRING", F.substring(F.try_variant_get(one, f"$.{c}", "string"), 1, 4096)) for c in ("stdout", "stderr", "message", "output")]
-    infra = points_to_infrastructure(F.concat_ws(" ", *said), STRUCTURED_INFRASTRUCTURE)
-    return {
-        "exit_status": status, "outcome": F.when(status.isNull(), "unknown").when(status == 0, "success").otherwise("failed"),
-        "cause": F.when(status.isNull(), "unknown").when(status == 0, "none").when(infra, "infra_failure").otherwise("product_failure"),
-        "completeness": F.when(is_list & (F.size(listed) > 1), "conflicted").when(status.isNull(), "result_without_exit").otherwise("complete"),
-    }
+        own = F.when(field(item, "type", "string") == "input_text", F.try_parse_json(field(item, "text", "string"))).otherwise(item)
+        return bound(own, lambda v: F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
+
+    def told(one: Column, several: Column) -> Column:
+        code = lambda c: F.when(kind(c).isin("BIGINT", "DECIMAL"), F.try_variant_get(c, "$", "long"))
+        said = [bound(field(one, c, "variant"), lambda v: F.when(kind(v) == "STRING", F.substring(F.try_variant_get(v, "$", "string"), 1, 4096))) for c in ("stdout", "stderr", "message", "output")]
+        outcome = lambda status: F.when(status.isNull(), "unknown").when(status == 0, "success").otherwise("failed")
+        infra = bound(F.lower(F.concat_ws(" ", *said)), lambda t: points_to_infrastructure(t, STRUCTURED_INFRASTRUCTURE))
+        return bound(bound(field(one, "exit_code", "variant"), code), lambda status: F.struct(
+            status.alias("exit_status"), outcome(status).alias("outcome"),
+            F.when(status.isNull(), "unknown").when(status == 0, "none").when(infra, "infra_failure").otherwise("product_failure").alias("cause"),
+            F.when(several, "conflicted").when(status.isNull(), "result_without_exit").otherwise("complete").alias("completeness")))
+
+    def of_list(whole: Column) -> Column:
+        with_code = lambda v: kind(v).startswith("OBJECT") & field(v, "exit_code", "variant").isNotNull()
+        listed = F.filter(F.transform(F.try_variant_get(whole, "$", "array<variant>"), unwrapped), with_code)
+        return bound(listed, lambda x: F.struct(F.when(F.size(x) == 1, F.get(x, F.lit(0))).alias("one"), (F.size(x) > 1).alias("several")))
+
+    def of(whole: Column) -> Column:
+        alone = lambda k: F.struct(F.when(k.startswith("OBJECT"), whole).alias("one"), F.lit(False).alias("several"))
+        return bound(bound(kind(whole), lambda k: F.when(k.startswith("ARRAY"), of_list(whole)).otherwise(alone(k))), lambda x: told(x["one"], x["several"]))
+
+    result = bound(F.try_parse_json(output), of)
+    return {c: result[c] for c in ("exit_status", "outcome", "cause", "completeness")}
 
 
 def tool_end_state(result: Column, success: Column) -> Column:
