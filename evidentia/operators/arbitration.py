@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Events that a task of zip_families sorts, about.
+ROWS_PER_TASK = 1_000_000
+
 
 def authority(family: Column, ranks: dict[str, int]) -> Column:
     """The rank of a source family; unknown ones have 0."""
@@ -52,7 +55,12 @@ def boundary(events: DataFrame, keys: list[str], order: list[Column], values: li
 
 def zip_families(events: DataFrame, keys: list[str], instant: str, family_rank: str, order: list[str], duration: str) -> DataFrame:
     """The same event told by several source families counts once: the i-th of each family at an instant belong
-    together, the highest family's row stays, and its duration only if all agree."""
+    together, the highest family's row stays, and its duration only if all agree.
+
+    Both steps run on rows dealt once, by key and instant, into partitions of about ROWS_PER_TASK: a task's memory stays the
+    same as the events grow."""
+    n_tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // ROWS_PER_TASK))
+    events = events.repartition(n_tasks, *keys, instant)
     own = Window.partitionBy(*keys, instant, family_rank).orderBy(*order)
     numbered = events.withColumn("_i", F.row_number().over(own))
     group = [*keys, instant, "_i"]

@@ -226,3 +226,13 @@ def test_descendants_of_sent_and_dealt_tables(spark, monkeypatch, most):
     assert {(r["node"], r["depth"]) for r in found} == {(i, i.bit_length() - 1) for i in range(1, 40)}
     joined = lineage.sent(nodes, nodes.count()).join(nodes.select("n"), "n")._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in joined) == (most > 0)
+
+
+def test_families_are_zipped_in_tasks_of_bounded_size(spark, monkeypatch):
+    from evidentia.operators import arbitration
+
+    rows = spark.createDataFrame([(k, 5, fam, n, 7) for k in range(50) for fam in (1, 2) for n in range(2)], "k long, m long, fam long, n int, d long")
+    monkeypatch.setattr(arbitration, "ROWS_PER_TASK", 10)
+    found = arbitration.zip_families(rows, ["k"], "m", "fam", ["n", "d"], "d")
+    assert found.rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, found.collect())) == sorted((k, 5, 2, 7, 2) for k in range(50) for _ in range(2))
