@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shapes import bound
 from .text import relative_path
 
 SEP = "\x1f"
@@ -23,9 +24,9 @@ _WORD = rf"""(?:[^\s'"\\]|\\.|{_QUOTED})+"""
 def laid_out(command: Column) -> Column:
     """The words of one simple command, each followed by SEP; null if it isn't one."""
     bare = F.regexp_replace(command, rf"\\.|{_QUOTED}", "")
-    words = F.transform(F.regexp_extract_all(command, F.lit(_WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"\\]*)"|\\(.)""", "$1$2$3"))
+    words = F.transform(F.regexp_extract_all(command, F.lit(_WORD), F.lit(0)), lambda w: F.concat(F.regexp_replace(w, r"""'([^']*)'|"([^"\\]*)"|\\(.)""", "$1$2$3"), F.lit(SEP)))
     simple = ~command.rlike(rf"[\r\n*`${SEP}]") & ~bare.rlike(r"""[;|&<>'"\\]""")
-    return F.when(simple, F.concat(F.array_join(words, SEP), F.when(F.size(words) > 0, SEP).otherwise("")))
+    return F.when(simple, F.array_join(words, ""))
 
 
 def _p(pattern: str) -> str:
@@ -97,22 +98,28 @@ _TARGET = r"\s>>?\s*([^\s'\"]+)\s*\z"
 def shell_files(command: Column) -> Column:
     """Array of (op, path): the literal operands of cat, head, tail, sed and rg, and one trailing > or >>; empty if
     anything about the command is unclear."""
-    target = F.when(command.rlike(_TARGET), F.regexp_extract(command, _TARGET, 1))
-    w = laid_out(F.regexp_replace(command, _TARGET, ""))
-    operands = F.lit(None).cast("array<string>")
-    for program, (valued, script) in READERS.items():
-        rest = F.regexp_replace(w, _p(rf"\A{program} "), "")
-        if valued:
-            rest = F.regexp_replace(rest, _p(rf"(?<=\A| )(?:{valued}) @* "), "")
-        own = F.filter(F.split(F.regexp_replace(rest, f"{SEP}\\z", ""), SEP), lambda x: (x != "") & ~x.startswith("-"))
-        operands = F.when(w.startswith(program + SEP), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))) if script else own).otherwise(operands)
-    op = F.when(w.rlike(_p(r"\Ased (?:.* )?-i")), "write").otherwise("read")
+    none = F.array().cast("array<struct<op:string,path:string>>")
     inside = lambda p: F.when(~p.startswith("-"), relative_path(p))
-    found = F.transform(operands, lambda p: F.struct(op.alias("op"), inside(p).alias("path")))
-    out = F.when(target.isNull(), F.array().cast("array<struct<op:string,path:string>>")).otherwise(F.array(F.struct(F.lit("write").alias("op"), inside(target).alias("path"))))
-    every = F.concat(found, out)
-    clear = (F.size(found) > 0) & ~F.exists(every, lambda f: f["path"].isNull())
-    return F.when(F.coalesce(clear, F.lit(False)), every).otherwise(F.array().cast("array<struct<op:string,path:string>>"))
+
+    def operands(w: Column) -> Column:
+        listed = F.lit(None).cast("array<string>")
+        for program, (valued, script) in READERS.items():
+            rest = F.regexp_replace(w, _p(rf"\A{program} "), "")
+            if valued:
+                rest = F.regexp_replace(rest, _p(rf"(?<=\A| )(?:{valued}) @* "), "")
+            own = F.filter(F.split(F.regexp_replace(rest, f"{SEP}\\z", ""), SEP), lambda x: (x != "") & ~x.startswith("-"))
+            listed = F.when(w.startswith(program + SEP), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))) if script else own).otherwise(listed)
+        op = F.when(w.rlike(_p(r"\Ased (?:.* )?-i")), "write").otherwise("read")
+        return F.transform(listed, lambda p: F.struct(op.alias("op"), inside(p).alias("path")))
+
+    def judged(found: Column) -> Column:
+        target = F.regexp_extract(command, _TARGET, 1)
+        out = F.when(command.rlike(_TARGET), F.array(F.struct(F.lit("write").alias("op"), inside(target).alias("path")))).otherwise(none)
+        every = lambda e: F.when(~F.exists(e, lambda f: f["path"].isNull()), e)
+        return F.when(F.size(found) > 0, bound(F.concat(found, out), every))
+
+    files = bound(laid_out(F.regexp_replace(command, _TARGET, "")), lambda w: bound(operands(w), judged))
+    return F.coalesce(files, none)
 
 
 def chosen(values: list[str], at: Column) -> Column:

@@ -155,7 +155,9 @@ def _chosen_sql(values: list[str]) -> str:
 
 def _commands(spark, sf_dir, values: dict[str, str]):
     given = commands.chosen([_sized(c) for c in values], F.col("p_partkey") % len(values))
-    return table(spark, sf_dir, "part").select("p_partkey", F.replace(given, F.lit("{}"), F.col("p_size").cast("string")).alias("command"))
+    # few bytes a row and much work: dealt anew, since the files alone make few tasks
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select("p_partkey", F.replace(given, F.lit("{}"), F.col("p_size").cast("string")).alias("command"))
 
 
 @query(f"""SELECT p_partkey, split_part(c, ' ', 1) AS runner, split_part(c, ' ', 2) AS scope FROM (SELECT p_partkey, {_chosen_sql(list(COMMANDS.values()))} AS c FROM part)""")

@@ -175,3 +175,13 @@ def compare_recorded(spark, folder, name):
     assert (got["working"], got["full_context"]) == (e["working_tokens"], e["full_context"])
     assert (got["wall_ms"], got["agent_ms"]) == (round(want["wall_clock_seconds"] * 1000), round(want["agent_time_seconds"] * 1000))
     assert (got["observed_baselines"], got["zero_baselines"]) == (want["observed_replay_baselines"], want["zero_no_observation"])
+
+
+def test_results_and_commands_are_parsed_once(spark):
+    from evidentia.functions import commands, text
+
+    df = spark.createDataFrame([('{"exit_code": 0}',)], "o string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    for value in text.structured_result(df["o"]).values():
+        assert plan(value).count("parse_json(") + plan(value).count("parsejson(") <= 3
+    assert plan(commands.shell_files(df["o"])).count("regexp_extract_all(") == 1
