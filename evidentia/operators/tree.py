@@ -21,18 +21,23 @@ REPLAY_NS = 1_000_000_000
 def members(sessions: DataFrame, roots: DataFrame) -> DataFrame:
     """root, cutoff_ns, session_id, started_ns, depth: sessions below a root that started by its cutoff. Each is a
     member once per root, however often it is reached."""
-    from .lineage import _cut
-
-    known = sessions.select("session_id", "parent_id", "started_ns")
-    front = _cut(roots.join(known, F.col("root") == F.col("session_id")).select("root", "cutoff_ns", "session_id", "started_ns", F.lit(0).alias("depth")))
-    found = [front]  # a piece per depth: none is written again
-    while True:
-        step = found[-1].select("root", "cutoff_ns", F.col("session_id").alias("parent_id")).join(known.where("parent_id <> session_id"), "parent_id").where(
-            "started_ns IS NULL OR started_ns <= cutoff_ns").select("root", "cutoff_ns", "session_id", "started_ns").distinct()
-        front = _cut(step.join(reduce(DataFrame.unionByName, found).select("root", "session_id"), ["root", "session_id"], "left_anti").withColumn("depth", F.lit(len(found))))
-        if front.limit(1).count() == 0:
-            return reduce(DataFrame.unionByName, found)
-        found.append(front)
+    from .lineage import _cut, sent
+
+    known = _cut(sessions.select("session_id", "parent_id", "started_ns"))
+    below = known.where("parent_id <> session_id")
+    front = _cut(roots.join(known.hint("merge"), F.col("root") == F.col("session_id")).select("root", "cutoff_ns", "session_id", "started_ns", F.lit(0).alias("depth")))
+    found, rows = [front], front.count()  # a piece per depth: none is written again
+    n_front = rows
+    while n_front > 0:
+        up = sent(found[-1].select("root", "cutoff_ns", F.col("session_id").alias("parent_id")), n_front)
+        step = up.join(below, "parent_id").where("started_ns IS NULL OR started_ns <= cutoff_ns").select("root", "cutoff_ns", "session_id", "started_ns").distinct()
+        before = reduce(DataFrame.unionByName, found).select("root", "session_id")
+        front = _cut(step.join(sent(before, rows), ["root", "session_id"], "left_anti").withColumn("depth", F.lit(len(found))))
+        n_front = front.count()
+        rows += n_front
+        if n_front > 0:
+            found.append(front)
+    return reduce(DataFrame.unionByName, found)
 
 
 def working(prefix: str = ""):
@@ -49,12 +54,14 @@ def usage(sessions: DataFrame, tokens: DataFrame, activities: DataFrame, roots:
     inside = tokens.join(tree, "session_id").where("observed_ns <= cutoff_ns AND (started_ns IS NULL OR observed_ns >= started_ns)")
     per_root = ["root", "session_id"]
     epochs = counters.with_epochs(inside, per_root, ["observed_ns", "sequence"], COMPONENTS)
-    totals = counters.component_maxima(epochs, per_root, COMPONENTS).groupBy(*per_root).agg(*[counters.whole_sum(F.col(c)).alias(c) for c in COMPONENTS])
-    replay = epochs.where(F.col("epoch") == 0).where(F.col("observed_ns") <= F.col("started_ns") + REPLAY_NS).where("depth > 0")
-    baseline = replay.groupBy(*per_root).agg(F.max_by(F.struct(*COMPONENTS), F.struct("observed_ns", "sequence")).alias("b"))
+    replays = (F.col("epoch") == 0) & (F.col("observed_ns") <= F.col("started_ns") + REPLAY_NS) & (F.col("depth") > 0)
+    replayed = F.max_by(F.struct(*COMPONENTS), F.when(replays, F.struct("observed_ns", "sequence"))).alias("_b")
+    by_epoch = epochs.groupBy(*per_root, "epoch").agg(*[F.max(c).alias(c) for c in COMPONENTS], replayed)
+    # the first epoch alone can hold a baseline
+    totals = by_epoch.groupBy(*per_root).agg(*[counters.whole_sum(F.col(c)).alias(c) for c in COMPONENTS], F.first("_b", ignorenulls=True).alias("b"))
     last = activities.join(tree, "session_id").where("observed_ns <= cutoff_ns").groupBy(*per_root).agg(F.max("observed_ns").alias("last_ns"))
 
-    rows = tree.join(totals, per_root, "left").join(baseline, per_root, "left").join(last, per_root, "left")
+    rows = tree.join(totals, per_root, "left").join(last, per_root, "left")
     zero = F.lit(0).cast("long")
     base = {c: F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(zero) for c in COMPONENTS}
     rows = rows.withColumns({f"_b_{c}": x for c, x in base.items()})

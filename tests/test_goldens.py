@@ -236,3 +236,16 @@ def test_families_are_zipped_in_tasks_of_bounded_size(spark, monkeypatch):
     found = arbitration.zip_families(rows, ["k"], "m", "fam", ["n", "d"], "d")
     assert found.rdd.getNumPartitions() >= 20
     assert sorted(map(tuple, found.collect())) == sorted((k, 5, 2, 7, 2) for k in range(50) for _ in range(2))
+
+
+def test_sessions_are_read_once_for_a_tree(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    sessions = spark.createDataFrame([(i, i // 2 or None, None) for i in range(1, 9)], "session_id long, parent_id long, started_ns long")
+    found = tree.members(sessions.withColumn("session_id", seen.asNondeterministic()("session_id")), spark.createDataFrame([(1, 10)], "root long, cutoff_ns long"))
+    assert found.count() == 8 and read.value == 8
