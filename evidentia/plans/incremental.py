@@ -67,11 +67,12 @@ def stream_trees(spark, sf_dir):
     user, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("long")
     claim = F.when((F.col("event_type") == "signup") & (user % 5 != 0), F.floor(user / F.when((user % 9 == 4) & (k > 90), 3).otherwise(2)))
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("event_key"), user.alias("session"), claim.alias("parent"), F.round(F.col("value") * 100).cast("long").alias("amount"))
-    part = F.pmod(F.xxhash64("event_key"), F.lit(3))
+    part, files = F.pmod(F.xxhash64("event_key"), F.lit(3)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(3):
         again = rows.where((part == number) | ((F.pmod(F.xxhash64("event_key"), F.lit(5)) == 0) if number == 2 else F.lit(False)))
-        again.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = incremental.files_as_stream(spark, f"{folder}/in", "*.parquet", rows.schema, per_trigger=1)
+        # a batch is a number of files, so no task writes all of it
+        again.repartition(files, "event_key").write.mode("append").parquet(f"{folder}/in")
+    stream = incremental.files_as_stream(spark, f"{folder}/in", "*.parquet", rows.schema, per_trigger=files)
 
     def summed(facts: DataFrame) -> DataFrame:
         return facts.groupBy("root").agg(F.countDistinct("session").alias("sessions"), F.count(F.lit(1)).alias("facts"), F.sum("amount").alias("amount"))

@@ -117,3 +117,16 @@ def test_parts_are_laid_out_once_at_any_depth(spark):
         return plan_of(registry.registered(spark.createDataFrame([], f"task string, report {kind}"), "task", "report")).count("transform(")
 
     assert calls(6) <= 2 * calls(3)
+
+
+def test_a_batch_of_a_stream_is_written_by_many_tasks(spark):
+    import glob
+
+    from evidentia.plans import incremental
+    from evidentia.shipping import shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/stream-*"))
+    found = incremental.stream_trees(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0
+    (folder,) = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/stream-*")) - before
+    assert len(glob.glob(f"{folder}/in/*.parquet")) > 3 and len(glob.glob(f"{folder}/checkpoint/commits/[0-9]*")) == 3
