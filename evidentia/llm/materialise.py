@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec
-from .common import slices, stored
+from .common import discarded, shuffles_dropped, slices, stored, stored_at
 
 LENGTH = 512
 PER_SHARD = 1 << 18  # records: 256 MB a shard
@@ -112,9 +112,10 @@ def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD) ->
 
     Indexes follow (doc_id, digest of the text, seq_no), whatever the partitions of the input: documents are put in
     order over a range partitioning and the numbers of their records summed up; the records meet their document's first
-    index in a join by a number of the row, so no key has more than one text's records.
+    index in a join by a number of the row, so no key has more than one text's records. The result is stored, so that
+    neither that shuffle nor the records without an index take room beside what is made of it.
     """
-    placed = stored(made, "sequences")
+    placed, unplaced_at = stored_at(made, "sequences")
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = placed.where("seq_no = 0").select("doc_id", "digest", "row", "n_records")
     order = ["doc_id", "digest", "row"]
@@ -127,7 +128,10 @@ def in_training_order(made: DataFrame, key: int, per_shard: int = PER_SHARD) ->
     base = ordered.join(F.broadcast(starts), "part").select("row", (F.col("start") + inside - F.col("n_records")).alias("base"))
     indexed = placed.join(base.hint("merge"), "row").withColumn("index", F.col("base") + F.col("seq_no")).drop("base", "row", "digest", "n_records")
 
-    return indexed.withColumn("slot", _permuted(F.col("index"), size, key)).withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("offset", F.expr(f"slot % {per_shard}"))
+    slotted = indexed.withColumn("slot", _permuted(F.col("index"), size, key)).withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("offset", F.expr(f"slot % {per_shard}"))
+    whole = stored(slotted, "sequences-in-order")
+    discarded(made.sparkSession, unplaced_at)
+    return whole
 
 
 def by_slot(ordered: DataFrame) -> DataFrame:
@@ -145,11 +149,17 @@ def shard_runs(ordered: DataFrame, per_shard: int = PER_SHARD, per_run: int = PE
     each of what OF_RECORD names.
 
     Rows are dealt by ranges of shard and run, so a partition writes whole runs of per_run records, in order; runs are
-    the unit that a reader fetches, at (slot - first_slot) * stride. A run ends where its shard does.
+    the unit that a reader fetches, at (slot - first_slot) * stride. A run ends where its shard does. Slots have no gaps,
+    so the ranges follow from the last one and no sample is drawn.
     """
     parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard, run = F.expr(f"slot div {per_shard}").alias("shard"), F.expr(f"slot % {per_shard} div {per_run}").alias("run")
-    dealt = ordered.select(shard, run, "slot", "record", *OF_RECORD).repartitionByRange(parts, "shard", "run").sortWithinPartitions("slot")
+    a_shard = -(-per_shard // per_run)  # runs
+    last = ordered.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0]
+    n_runs = last // per_shard * a_shard + last % per_shard // per_run + 1
+    part = F.expr(f"cast((shard * {a_shard} + run) * {parts} div {n_runs} as int)")
+    columns = ["shard", "run", "slot", "record", *OF_RECORD]
+    dealt = ordered.select(shard, run, "slot", "record", *OF_RECORD).repartitionById(parts, part).select(*columns).sortWithinPartitions("slot")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -173,7 +183,8 @@ def shard_runs(ordered: DataFrame, per_shard: int = PER_SHARD, per_run: int = PE
 
 def write_shards(ordered: DataFrame, path: str, per_shard: int = PER_SHARD, per_run: int = PER_RUN) -> None:
     """Writes the runs as Parquet, a folder per shard; a reader of slots [a, b) opens shards a div per_shard to b div per_shard."""
-    shard_runs(ordered, per_shard, per_run).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    with shuffles_dropped(ordered.sparkSession):
+        shard_runs(ordered, per_shard, per_run).write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def runs_of(spark: SparkSession, path: str) -> DataFrame:

@@ -70,3 +70,28 @@ def test_empty(spark, tmp_path):
     assert ordered.count() == 0
     m.write_shards(ordered, str(tmp_path / "none"))
     assert m.read_slots(spark, str(tmp_path / "none"), 0, 10).count() == 0
+
+
+def test_disk_holds_the_records_twice_at_most(spark, tmp_path):
+    """Once in order and once as shards: neither shuffles of records nor a copy without an index stay beside them."""
+    from pathlib import Path
+
+    from evidentia.llm.common import CLEANUP, shared_folder
+
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, rng.bytes(8000).hex()) for i in range(100)], "doc_id long, text string").repartition(3)
+    own = Path(shared_folder(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+
+    def kept():
+        return [len(list(own.glob(f"sequences-{x}*"))) for x in ("[0-9a-f]", "in-order-")]
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return sum(Path(f).stat().st_size for f in files if f.endswith(".data") and Path(f).exists())
+
+    kept_before, shuffled_before = kept(), shuffled()
+    m.write_shards(m.in_training_order(m.sequences(docs, None), 3, 16), str(tmp_path / "shards"), 16, 4)
+    assert [a - b for a, b in zip(kept(), kept_before)] == [0, 1]
+    assert shuffled() - shuffled_before < 200_000  # of records of 3.2 MB
+    assert spark.conf.get(CLEANUP, "false") == "false"
+    assert m.read_slots(spark, str(tmp_path / "shards"), 0, 10**6, per_shard=16).count() == 100 * 32
