@@ -7,22 +7,24 @@ the counts that both classes share, and there to any word:
 
     p_c(w) = (k_c(w) - D_c) / K_c + b_c p(w)        p(w) = (k(w) - D) / K + b / (V + 1)
 
-so a rare expression is told by what is known of it in both classes together. A document is compared by its words' log
-ratios of toxic to ordinary likelihood, per word of the document; the ratio of a word that neither class knows
-(b_toxic / b_ordinary, the larger class knows more) is taken off, so unknown words speak for neither class.
-
-Ratios below LEAST_RATIO are taken as none: they are what rare ordinary words make, they drown a few toxic words in a
-long text (per-word sums over all ratios, or with the contexts of bigrams on top, tell less on held-out texts; the
-README has figures), and the words above it are few. The others are added up in levels, and logistic regression weighs
-the levels; it learns from labelled texts that the counts haven't seen, from FIT_ROWS of them at most (a sample by
-their digest). Texts are dealt to counts or weights by the least hash of their bigrams, so copies and most near copies
-stay on one side.
-
-Only words above LEAST_RATIO need to meet the documents. A Bloom filter of these words, MOST_BITS / 8 bytes at most, goes
-to all tasks; a task sends a document's words that pass it, and the exact table decides by a join, in which words that
-many documents hold are split. In the same way a filter of the labelled ids goes before the join of texts and labels. A
-filter that fills up lets more rows through and changes no result. The tables grow with the texts and are never gathered
-in one place.
+so a rare expression is told by what is known of it in both classes together. The ratio of a word that neither class
+knows (b_toxic / b_ordinary, the larger class knows more) is taken off, so unknown words speak for neither class.
+
+A document is judged by likelihoods of all its words, none left out. A toxic text is mostly ordinary words, so besides
+the plain ratio of the two models it is asked how much likelier the text gets where a share s of its words comes from the
+toxic model and the rest from the ordinary one:
+
+    L_s = 1 / n  sum over the words of  log(1 - s + s p_toxic(w) / p_ordinary(w))        s in SHARES; L_1 is the plain ratio
+
+Logistic regression over these turns them into a chance; it learns from labelled texts that the counts haven't seen, from
+FIT_ROWS of them at most (a sample by their digest). Texts are dealt to counts or weights by the least hash of their
+bigrams, so copies and most near copies stay on one side.
+
+Texts and ratios meet by slices of about SLICE_CHARS characters: a slice numbers its distinct words, these numbers stand
+for the words in its documents, and each of its words is looked up once, in a join dealt by word; what is found goes back
+to the slice by its number. So a word comes once per slice however often it is used, and no table is sent to all tasks.
+A Bloom filter of the labelled ids, MOST_BITS / 8 bytes at most, goes before the join of texts and labels; one that fills
+up lets more rows through and changes no result. The tables grow with the texts and are never gathered in one place.
 
 Defined cases: a text without words (or null) gets the score of a text without evidence; where the labelled rows, or
 those that the weights are learned from, lack a class, every score is the share of toxic ones among the labelled rows
@@ -39,15 +41,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, slices, stored
+from .common import discarded, slices, stored, stored_at
 from .kneser_ney import TOKEN, gram_key, pieces
 
-LEVELS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
-LEAST_RATIO = LEVELS[0]
-#: One text in WEIGHT_SHARE is kept from the counts, for the weights of the levels.
+#: Shares of toxic words whose likelihoods are compared with that of an ordinary text.
+SHARES = (0.0003, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+#: From which log ratio on a word is counted in strong_words, which no score depends on.
+LEAST_RATIO = 1.0
+SLICE_CHARS = 8_000_000
+#: One text in WEIGHT_SHARE is kept from the counts, for the weights of the shares.
 WEIGHT_SHARE = 4
 FIT_ROWS = 50_000
 RIDGE = 0.3
@@ -200,45 +206,81 @@ def passing(rows: DataFrame, key: Column, bits: np.ndarray) -> DataFrame:
     return rows.withColumn("_key", key).mapInArrow(kept, rows.schema)
 
 
-def profiles(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, n_words, weighing (kept from the counts), and the words that pass the filter with their numbers, a row per
-    document."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, all lowest bytes first: the upper ones are mostly nothing and compress."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        for batch, texts in slices(batches, most_chars=2_000_000):
-            sizes, weighing, keys, counts = [], [], [], []
-            for text in texts:
-                own = words(text, codes)
-                sizes.append(len(own))
-                weighing.append(for_weights(own))
-                w, n = np.unique(own, return_counts=True)
-                passed = may_be_in(sent.value, w) if len(w) else np.zeros(0, bool)
-                keys.append(w[passed].view(np.int64))
-                counts.append(n[passed])
-            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (keys, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(weighing, pa.bool_()), *lists], names=["doc_id", "n_words", "weighing", "w", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(told, "doc_id long, n_words long, weighing boolean, w array<long>, n array<long>")
+def of_planes(kept: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(kept, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+PROFILE = "slice long, doc_id long, n_words long, weighing boolean, codes binary, n binary, words array<long>, of_slice boolean"
 
 
-def evidence(found: DataFrame, strong: DataFrame) -> DataFrame:
-    """row and levels: per document, how many of its words are at each level. found: row, w, n; strong: w, level."""
-    listed = found.select("row", F.explode(F.arrays_zip("w", "n")).alias("x")).select("row", "x.w", "x.n")
-    asked = listed.groupBy("w").agg(F.count(F.lit(1)).alias("weight"))
-    met = joined(listed, stored(strong.join(asked, "w"), "strong-words"), ["w"], "weight")
-    return met.groupBy("row").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"at_{k}") for k in range(len(LEVELS))])
+def profiles(docs: DataFrame) -> DataFrame:
+    """A row per document: slice, doc_id, n_words, weighing (kept from the counts), its distinct words as numbers of the
+    slice (codes) and how often it has each (n). And a row per slice (of_slice): words, by number."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, first = _Codes(), TaskContext.get().partitionId() << 32
+        for i, (batch, texts) in enumerate(slices(batches, most_chars=SLICE_CHARS)):
+            sizes, weighing, own, counts = [], [], [], []
+            for text in texts:
+                found = words(text, codes)
+                sizes.append(len(found))
+                weighing.append(for_weights(found))
+                w, n = np.unique(found, return_counts=True)
+                own.append(w)
+                counts.append(planes(n))
+            known, numbers = np.unique(np.concatenate(own), return_inverse=True)
+            placed = [planes(x) for x in np.split(numbers, np.cumsum([len(w) for w in own])[:-1])]
+            rows = len(texts)
+            listed = pa.ListArray.from_arrays(pa.array([0] * (rows + 1) + [len(known)], pa.int32()), pa.array(known.view(np.int64)), mask=pa.array([True] * rows + [False]))
+            arrays = [pa.array(np.full(rows + 1, first + i)), pa.array([*batch.column("doc_id").to_pylist(), None], pa.int64()), pa.array([*sizes, None], pa.int64()), pa.array([*weighing, None], pa.bool_()),
+                      pa.array([*placed, None], pa.binary()), pa.array([*counts, None], pa.binary()), listed, pa.array([False] * rows + [True])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slice", "doc_id", "n_words", "weighing", "codes", "n", "words", "of_slice"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(told, PROFILE)
+
+
+def word_ratios(told: DataFrame, ratios: DataFrame) -> DataFrame:
+    """slice, code, ratio of the words of the slices in told (profiles) that have a ratio (w, ratio)."""
+    asked = told.where("of_slice").select("slice", F.posexplode("words").alias("code", "w"))
+    return asked.join(ratios, "w").select("slice", "code", "ratio")
+
+
+def evidence(told: DataFrame, answers: DataFrame) -> DataFrame:
+    """doc_id, n_words, weighing, strong_words, and per share s of SHARES the mean over the document's words of the log
+    likelihood ratio at that share. told: profiles; answers: word_ratios; a word that isn't there has ratio 0."""
+    names = [f"at_{k}" for k in range(len(SHARES))]
+
+    def compared(docs: pa.Table, found: pa.Table) -> pa.Table:
+        codes, n = ([of_planes(x) for x in docs.column(c).to_pylist()] for c in ("codes", "n"))
+        row, code, times = np.repeat(np.arange(len(codes)), [len(x) for x in codes]), np.concatenate(codes), np.concatenate(n)
+        ratio = np.zeros(1 + max(code.max(initial=0), found.column("code").to_numpy().max(initial=0)))
+        ratio[found.column("code").to_numpy()] = found.column("ratio").to_numpy()
+        sizes = docs.column("n_words").to_numpy()
+
+        def summed(value: np.ndarray) -> np.ndarray:
+            return np.bincount(row, times * value[code], len(codes))
+
+        # log(1 - s + s e^r) without taking a small difference of large numbers
+        means = [pa.array(summed(ratio if s == 1 else np.log1p(s * np.expm1(ratio))) / np.maximum(sizes, 1)) for s in SHARES]
+        strong = pa.array(summed(ratio >= LEAST_RATIO).astype(np.int64))
+        return pa.table([docs.column("doc_id"), docs.column("n_words"), docs.column("weighing"), strong, *means], names=["doc_id", "n_words", "weighing", "strong_words", *names])
+
+    docs = told.where("NOT of_slice").drop("words", "of_slice")
+    schema = "doc_id long, n_words long, weighing boolean, strong_words long, " + ", ".join(f"{c} double" for c in names)
+    return docs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(compared, schema)
 
 
 def fitted(rows: list[tuple], ridge: float = RIDGE) -> tuple[list[float], float] | None:
-    """Weights of the levels and the constant of a logistic regression over (shares per level ..., toxic), by Newton's
-    method; None where a class is missing."""
+    """Weights and the constant of a logistic regression over (likelihood ratio per share ..., toxic), by Newton's method;
+    None where a class is missing. The order of the rows doesn't matter."""
     if len({r[-1] for r in rows}) < 2:
         return None
-    data = np.array(rows, float)
+    data = np.array(sorted(rows), float)
     y, x = data[:, -1], data[:, :-1]
     scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = np.column_stack([x / scale, np.ones(len(x))])
@@ -265,22 +307,23 @@ def scored(docs: DataFrame, labels: DataFrame, learned_from: Column) -> DataFram
     labelled_ids = bloom_filter(marks.select(key.alias("w")), marks.count())
     training = passing(rows.where(learned_from), key, labelled_ids).join(marks.hint("merge"), "doc_id")
     counts = stored(continuation_counts(training), "continuations")
-    level = sum((F.col("ratio") >= x).cast("int") for x in LEVELS) - 1
-    strong = stored(log_ratios(counts).where(F.col("ratio") >= LEAST_RATIO).select("w", level.alias("level")), "toxic-words")
-    told = stored(profiles(rows, bloom_filter(strong, strong.count())).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    found = told.select("row", "doc_id", "n_words", "weighing").join(evidence(told, strong).hint("merge"), "row", "left")
-    at = [f"at_{k}" for k in range(len(LEVELS))]
-    found = stored(found.na.fill(0, at), "evidence")
-
-    shares = [F.col(a) / F.greatest("n_words", F.lit(1)) for a in at]
+    ratios = stored(log_ratios(counts), "ratios")
+    made, made_at = stored_at(profiles(rows), "profiles", "of_slice")
+    answers, answers_at = stored_at(word_ratios(made, ratios), "ratios-of-slices")
+    discarded(docs.sparkSession, f"{made_at}/of_slice=true")
+    found = stored(evidence(made, answers), "evidence")
+    for path in (made_at, answers_at):
+        discarded(docs.sparkSession, path)
+
+    at = [f"at_{k}" for k in range(len(SHARES))]
     labelled = found.where(learned_from).join(marks.hint("merge"), "doc_id")
     figures = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share"), F.count_if("weighing").alias("weighing")).first()
     place = F.pmod(F.xxhash64("doc_id", "n_words", *at), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.where("weighing").where(place < min(1.0, FIT_ROWS / max(1, figures["weighing"]))).select(*shares, "toxic")
+    sample = labelled.where("weighing").where(place < min(1.0, FIT_ROWS / max(1, figures["weighing"]))).select(*at, "toxic")
     model = fitted([tuple(r) for r in sample.limit(2 * FIT_ROWS).collect()])
     if model is None:
         score = F.lit(figures["share"] or 0.0)
     else:
         weights, constant = model
-        score = 1 / (1 + F.exp(-sum((w * s for w, s in zip(weights, shares, strict=True)), F.lit(constant))))
-    return found.select("doc_id", score.cast("double").alias("score"), "n_words", sum((F.col(a) for a in at), F.lit(0)).cast("long").alias("strong_words"))
+        score = 1 / (1 + F.exp(-sum((w * F.col(a) for w, a in zip(weights, at, strict=True)), F.lit(constant))))
+    return found.select("doc_id", score.cast("double").alias("score"), "n_words", "strong_words")

@@ -125,3 +125,29 @@ def test_long_texts_in_steps(monkeypatch):
     whole = tx.words(long, tx._Codes())
     monkeypatch.setattr(kneser_ney, "STEP", 7)
     assert (tx.words(long, tx._Codes()) == whole).all()
+
+
+def test_likelihoods_of_all_words(spark, monkeypatch):
+    """Every word of a text takes part in the comparison of the models, ordinary ones and weak ones too, also where a slice
+    holds few documents."""
+    monkeypatch.setattr(tx, "SLICE_CHARS", 1500)
+    rows = corpus(60, 7) + [(900, "w1", 0), (901, "never_seen", 0), (902, "", 0)]
+    docs, _ = frames(spark, rows)
+    told = tx.profiles(docs).cache()
+    counted = [(t, c) for _, t, c in corpus(80, 1)]
+    ratio = brute_ratios(counted)
+    table = spark.createDataFrame([(int(tx._Codes().of([w]).view(np.int64)[0]), r) for w, r in ratio.items()], "w long, ratio double")
+    found = {r["doc_id"]: r for r in tx.evidence(told, tx.stored(tx.word_ratios(told, table), "answers")).collect()}
+    assert len(found) == len(rows) and told.where("of_slice").count() > 3
+    for i, t, _ in rows:
+        own = [ratio.get(w, 0.0) for w in tokens(t)]
+        for k, s in enumerate(tx.SHARES):
+            want = sum(math.log(1 - s + s * math.exp(r)) for r in own) / max(1, len(own))
+            assert found[i][f"at_{k}"] == pytest.approx(want, rel=1e-9, abs=1e-12)
+        assert found[i]["n_words"] == len(own) and found[i]["strong_words"] == sum(r >= 1 for r in own)
+    assert found[900]["at_6"] == pytest.approx(ratio["w1"]) and -1 < ratio["w1"] < 1 and ratio["w1"] != 0
+
+
+def test_numbers_in_planes():
+    for own in (np.zeros(0, np.int64), np.array([0, 1, 255, 256, 70_000, 2**32 - 1])):
+        assert (tx.of_planes(tx.planes(own)) == own).all()
