@@ -23,11 +23,13 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,7 @@ class Codec:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             if all(vocab.get("".join(map(self.alphabet.get, t))) == i for t, i in table.items()):
                 self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.kept = Words(lambda word: self._packed(" " + word))
+        self.kept = Words(self._after_space)
         self.pairs: dict[int, bool] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -135,6 +137,56 @@ class Codec:
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.frombuffer(self._packed(first) + found, np.uint32)
 
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """encode of each text. Words between single spaces are looked up once for all the texts that consist of them."""
+        simple = [bool(t) and self.fast is not None and not _BEYOND.search(t) and not (self.specials and self.special.search(t)) for t in texts]
+        known = iter(self._word_by_word([t for t, s in zip(texts, simple, strict=True) if s]))
+        for text, s in zip(texts, simple, strict=True):
+            ids = next(known) if s else None
+            yield self.encode(text) if ids is None else ids
+
+    def _word_by_word(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of texts that are not empty, or None where what follows decides on a split."""
+        if not texts:
+            return []
+        listed = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = listed.offsets.to_numpy()
+        coded = listed.flatten().dictionary_encode()
+        packed, unsure = [], []
+        for word in coded.dictionary.to_numpy(zero_copy_only=False):
+            try:
+                packed.append(self.kept[word])
+            except UnsureSplit:
+                unsure.append(len(packed))
+                packed.append(b"")
+        firsts = [t[: t.index(" ")] if " " in t else t for t in texts]
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[ends[:-1]] = len(packed) + np.arange(len(texts))  # a first word has no space before it
+        unsure += [len(packed) + i for i, f in enumerate(firsts) if not f or f[-1].isspace()]
+        packed += [self._packed(f) for f in firsts]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        own = size[code]
+        until = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat((np.cumsum(size) - size)[code] - until[:-1], own)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(packed), np.uint32)[at]
+        wrong = np.zeros(len(texts), bool)
+        if unsure:
+            odd = np.zeros(len(packed), bool)
+            odd[unsure] = True
+            wrong = np.logical_or.reduceat(odd[code], ends[:-1])
+        starts = until[ends].tolist()
+        return [None if w else ids[a:b] for w, a, b in zip(wrong.tolist(), starts, starts[1:])]
+
+    def _after_space(self, word: str) -> bytes:
+        """The ids of a word that follows a space. Letters alone are one piece of the pre-tokenizer, and a mark after
+        them is another, so neither needs its pattern."""
+        if word.isalpha():
+            return array("I", self.bpe(b" " + word.encode())).tobytes()
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.kept[word[:-1]] + array("I", self.bpe(word[-1].encode())).tobytes()
+        return self._packed(" " + word)
+
     def _packed(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), np.uint32).tobytes()
 

@@ -85,12 +85,12 @@ def sequences(docs: DataFrame, path: str | None, length: int = LENGTH) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path) if path else None
-        for batch, texts in slices(batches, most_chars=1_000_000):
+        for batch, texts in slices(batches):
             at, numbers, sizes, totals, records = [], [], [], [], []
-            for i, text in enumerate(texts):
-                if not text:
-                    continue
-                raw = codec.encode(text).astype("<u2") if codec else np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype("<u2")
+            full = [i for i, text in enumerate(texts) if text]
+            given = [texts[i] for i in full]
+            found = codec.encode_all(given) if codec else (np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in given)
+            for i, raw in zip(full, found, strict=True):
                 n = -(-len(raw) // length)
                 padded = np.full(n * length, PAD, "<u2")
                 padded[: len(raw)] = raw

@@ -28,6 +28,26 @@ def test_tree_is_exact(text, leaf):
     assert codec.decode(np.array(want, np.uint32)) == codec.library.decode(want, skip_special_tokens=False) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXTS | REPEATED | st.sampled_from(["a cat, the cat.", " a", "a ", "don't a1 b. é,"]), max_size=6))
+def test_all_together(texts):
+    assert [ids.tolist() for ids in bpe.Codec.of(PATH).encode_all(texts)] == [library(t) for t in texts]
+
+
+def test_a_word_is_looked_up_once_for_all_texts(monkeypatch):
+    codec, asked = bpe.Codec.of(PATH), []
+
+    class Kept(bpe.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(codec, "kept", Kept(codec.kept.make))
+    texts = ["the cat, and the cat", "a cat and the zqxv"] * 5
+    assert [ids.tolist() for ids in codec.encode_all(texts)] == [library(t) for t in texts]
+    assert asked.count("the") == asked.count("and") == asked.count("zqxv") == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(TEXTS)
 def test_every_prefix(text):
