@@ -21,17 +21,29 @@ from evidentia.llm.common import ship_package, stored, table
 #: A document goes if no language is found in it, or none that has this share of its words.
 LEAST_SHARE = 0.5
 
+#: Rows that a task hands to a Python worker at once. Whole texts go both ways here, and Spark's default of 10,000 holds
+#: tens of MB of them in every buffer of executor and worker.
+MOST_ROWS = 2000
+
+
+def prepared(spark: SparkSession) -> None:
+    """The session as the stages want it; it stays so, as what a stage returns runs later."""
+    ship_package(spark)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= MOST_ROWS:
+        spark.conf.set(conf, MOST_ROWS)
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a predominant language; the model is trained on the labelled documents it is given."""
-    ship_package(spark)
+    prepared(spark)
     model = langid.fit(docs.where(~F.coalesce(queries.held_out(), F.lit(False))))
     return langid.predominant(docs, model, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
-    ship_package(spark)
+    prepared(spark)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -44,13 +56,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format; n_chars follows the new text."""
-    ship_package(spark)
+    prepared(spark)
     return pii.pseudonymise(docs, queries.PII_KEY).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of ids and decoded text."""
-    ship_package(spark)
+    prepared(spark)
     return bpe.encode_documents(docs, queries.tokenizer_path())
 
 

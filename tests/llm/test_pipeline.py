@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from evidentia.llm import bpe, pii, queries
@@ -64,3 +65,24 @@ def test_stages_keep_columns(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_workers_get_few_rows_at_once(spark, monkeypatch):
+    """Whole texts go to the workers and back, so the rows of a batch are bounded; a smaller bound of the session stays."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"the thing with {i}", "en", "s", 16) for i in range(40)], SCHEMA).coalesce(1)
+    before = spark.conf.get(conf)
+    monkeypatch.setattr(corpus_pipeline, "MOST_ROWS", 7)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "benchmark decontamination":  # without Python workers
+                for given, most in (("10000", 7), ("0", 7), ("5", 5)):
+                    spark.conf.set(conf, given)
+                    stage(spark, docs.limit(0) if name == "near-duplicates" else docs, "")
+                    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) == most
+    finally:
+        spark.conf.set(conf, before)
