@@ -1,4 +1,6 @@
 import math
+import os
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -123,6 +125,56 @@ def test_long_texts_are_taken_in_steps(monkeypatch):
     assert all((np.concatenate(a) == b).all() for a, b in zip(zip(*steps), whole))
 
 
+def test_grams_move_packed_and_in_rounds(spark):
+    """Shuffles and stored tables together stay within a few times the bytes of the texts."""
+    rng = np.random.default_rng(5)
+    words = np.minimum(rng.zipf(1.3, (500, 400)), 20_000)
+    rows = [(i, " ".join(f"word{x}" for x in line), "en") for i, line in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dirs = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), spark.sparkContext.getCheckpointDir().removeprefix("file:")]
+
+    def used():
+        total = 0
+        for top in dirs:
+            for d, _, names in os.walk(top):
+                for name in names:
+                    try:
+                        total += os.lstat(os.path.join(d, name)).st_size
+                    except OSError:  # gone meanwhile
+                        pass
+        return total
+
+    before, peak, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            peak[0] = max(peak[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = kn.judge(docs, docs.select("doc_id")).collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert len(found) == 500 and all(r["n_scored"] == 401 for r in found)
+    size = sum(len(t) for _, t, _ in rows)
+    assert 0.1 * size < peak[0] < 4 * size, peak[0] / size
+
+
+def test_every_gram_has_its_turn_once():
+    rng = np.random.default_rng(6)
+    numbers = kn.Numbers()
+    lines = numbers.lines([" ".join(f"w{x}" for x in rng.integers(0, 50, 300)), None, "", "one", "w1 w2 " * 50])
+    sizes = [max(0, len(x) - 2) for x in lines]
+    own = kn.Slice({"n_buckets": 3, "sizes": sizes, "trusted": [0, 3], "data": kn.pack(np.array(numbers.hashes, np.uint64), np.concatenate(lines))})
+    for asked in (own.asked_trigrams, own.asked_bigrams):
+        at = np.concatenate([asked(turn)[0] for turn in range(kn.ROUNDS)])
+        assert sorted(at) == np.flatnonzero(own.predicted).tolist() and len(at) == sum(sizes)
+    values = [np.array([], np.uint64), np.array([0, 1, 255, 256]), np.array([2**64 - 1, 0], np.uint64)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(kn.unpack(kn.pack(*values)), values))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert kn.judge(docs, docs.select("doc_id")).count() == 0
