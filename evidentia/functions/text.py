@@ -32,6 +32,8 @@ FAMILY_SEGMENTS = (
 INFRASTRUCTURE = ("sandbox", "network", "econn", "timed out", "permission denied")
 # The same for results that come as objects.
 STRUCTURED_INFRASTRUCTURE = (*INFRASTRUCTURE, "timeout", "connection refused", "could not resolve", "no space left", "resource temporarily unavailable")
+# Options that read JSON as try_parse_json does, which has none and drops what holds a text of over 20 million characters.
+LONG_TEXTS = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def matches_sensitive(text: Column) -> list[Column]:
@@ -89,17 +91,18 @@ def structured_outcome(exit_code: Column, diagnostic: Column) -> dict[str, Colum
 def structured_result(output: Column) -> dict[str, Column]:
     """exit_status, outcome, cause and completeness of a call's output (JSON text): an object whose exit_code is a whole
     number, or a list that holds exactly one object with an exit_code, plain or as the text of an input_text. Several
-    such objects in a list are a conflict; anything else has no exit status."""
+    such objects in a list are a conflict; anything else has no exit status. Texts tell the cause by their whole length."""
+    parsed = lambda t: F.from_json(t, "variant", LONG_TEXTS)
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     field = lambda v, name, of: F.try_variant_get(v, f"$.{name}", of)
 
     def unwrapped(item: Column) -> Column:
-        own = F.when(field(item, "type", "string") == "input_text", F.try_parse_json(field(item, "text", "string"))).otherwise(item)
-        return bound(own, lambda v: F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
+        own = F.when(field(item, "type", "string") == "input_text", parsed(field(item, "text", "string"))).otherwise(item)
+        return bound(own, lambda v: F.when(kind(v) == "STRING", parsed(F.try_variant_get(v, "$", "string"))).otherwise(v))
 
     def told(one: Column, several: Column) -> Column:
         code = lambda c: F.when(kind(c).isin("BIGINT", "DECIMAL"), F.try_variant_get(c, "$", "long"))
-        said = [bound(field(one, c, "variant"), lambda v: F.when(kind(v) == "STRING", F.substring(F.try_variant_get(v, "$", "string"), 1, 4096))) for c in ("stdout", "stderr", "message", "output")]
+        said = [bound(field(one, c, "variant"), lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))) for c in ("stdout", "stderr", "message", "output")]
         outcome = lambda status: F.when(status.isNull(), "unknown").when(status == 0, "success").otherwise("failed")
         infra = bound(F.lower(F.concat_ws(" ", *said)), lambda t: points_to_infrastructure(t, STRUCTURED_INFRASTRUCTURE))
         return bound(bound(field(one, "exit_code", "variant"), code), lambda status: F.struct(
@@ -116,7 +119,7 @@ def structured_result(output: Column) -> dict[str, Column]:
         alone = lambda k: F.struct(F.when(k.startswith("OBJECT"), whole).alias("one"), F.lit(False).alias("several"))
         return bound(bound(kind(whole), lambda k: F.when(k.startswith("ARRAY"), of_list(whole)).otherwise(alone(k))), lambda x: told(x["one"], x["several"]))
 
-    result = bound(F.try_parse_json(output), of)
+    result = bound(parsed(output), of)
     return {c: result[c] for c in ("exit_status", "outcome", "cause", "completeness")}
 
 

@@ -5,6 +5,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.shipping import ship_package
 from evidentia.sources import ingest, rollout
@@ -105,6 +106,35 @@ def test_structured_results(spark, output, want):
     assert (found["exit_status"], found["outcome"], found["cause"], found["completeness"]) == want
 
 
+def test_structured_results_of_long_texts(spark):
+    """A text tells the cause wherever it says so, however long it is and in whichever form it comes."""
+    from evidentia.functions import text
+
+    infra, product = (3, "failed", "infra_failure", "complete"), (3, "failed", "product_failure", "complete")
+    late = {f: json.dumps({"exit_code": 3, f: "é" * 5000 + "x Connection REFUSED y" + "é" * 5000}) for f in ("stdout", "stderr", "message", "output")}
+    given = [(o, infra) for o in late.values()] + [(f'["words", {late["stderr"]}]', infra), (json.dumps([{"type": "input_text", "text": late["output"]}]), infra), (json.dumps([late["stdout"]]), infra)]
+    given += [(json.dumps({"exit_code": 3, "stdout": "x" * n + "sandbox"}), infra) for n in (4089, 4090, 4095, 4096, 1_000_000)]
+    # no word that only a cut would make
+    given += [(json.dumps({"exit_code": 3, "stdout": "x" * 4091 + "timedly", "stderr": "out"}), product), (json.dumps({"exit_code": 3, "stdout": "x" * 9000}), product)]
+    given += [(json.dumps({"exit_code": 0, "stdout": "x" * 9000 + "sandbox"}), (0, "success", "none", "complete"))]
+    rows = spark.createDataFrame([(i, o) for i, (o, _) in enumerate(given)], "i int, o string")
+    longest = spark.range(1).select(F.lit(len(given)).alias("i"), F.concat(F.lit('{"exit_code":3,"stdout":"'), F.repeat(F.lit("x"), 21_000_000), F.lit('sandbox"}')).alias("o"))
+    columns = lambda df: df.select("i", *[v.alias(k) for k, v in text.structured_result(df["o"]).items()])
+    found = {r[0]: tuple(r)[1:] for r in columns(rows).collect() + columns(longest).collect()}
+    assert found == dict(enumerate([w for _, w in given] + [infra]))
+
+
+def test_odd_outputs_are_read_as_json_is(spark):
+    from evidentia.functions import text
+
+    given = [
+        "{'exit_code': 1}", '{"exit_code": 1, "x": NaN}', '{"exit_code": 1, "x": Infinity}', "{exit_code: 1}", '{"exit_code": 01}', '{"exit_code": 1,}', '{"exit_code": 1', '{"exit_code": 1, "exit_code": 2}', '/**/{"exit_code": 1}',
+        '{"exit_code": 1} x', '{"exit_code": 1e2}', '{"exit_code": 1.0}', '{"exit_code": 100000000000000000000}', '{"exit_code": 1, "stdout": "a\nb"}', '{"exit_code": null}', "null", "", " ", '"{\\"exit_code\\": 1}"', "[[1]]", None]
+    rows = spark.createDataFrame([(o,) for o in given], "o string")
+    found = rows.select("o", F.to_json(F.from_json("o", "variant", text.LONG_TEXTS)).alias("a"), F.to_json(F.try_parse_json("o")).alias("b")).collect()
+    assert {r["o"]: r["a"] for r in found} == {r["o"]: r["b"] for r in found}
+
+
 def test_parents_are_claims(spark, tmp_path):
     """Two files of a session that confirm different parents leave it without one; a root without an end is a task."""
     metas = [("a1/rollout-c.jsonl", "c", "p"), ("a2/rollout-c.jsonl", "c", "q"), ("rollout-p.jsonl", "p", None), ("rollout-q.jsonl", "q", None), ("rollout-o.jsonl", "o", "unknown")]
@@ -185,3 +215,11 @@ def test_results_and_commands_are_parsed_once(spark):
     for value in text.structured_result(df["o"]).values():
         assert plan(value).count("parse_json(") + plan(value).count("parsejson(") <= 3
     assert plan(commands.shell_files(df["o"])).count("regexp_extract_all(") == 1
+
+
+def test_results_are_read_once(spark):
+    from evidentia.functions import text
+
+    df = spark.createDataFrame([('{"exit_code": 0}',)], "o string")
+    for value in text.structured_result(df["o"]).values():
+        assert df.select(value.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(") == 3
